@@ -9,6 +9,13 @@ per partition, a size bound fixed by configuration, so it is broadcast.
 
 The same machinery carries the "last non-null before / first non-null after"
 values across partition borders for linear interpolation.
+
+The range partitioner samples its bounds when a shuffle is planned, so two
+separately planned copies of the numbered frame may cut the data
+differently. The numbered frame is therefore checkpointed (reliably, into
+the shared checkpoint folder) before the offsets are derived from it: the
+offsets and the rows then come from the same files, and a lost executor
+cannot make them disagree.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES
+from ..session import cut_lineage
 
 PID, LPOS = "_pid", "_lpos"
 
@@ -53,7 +61,7 @@ def with_position(df: DataFrame, order: Sequence[Column] | None = None, pos: str
     """Add a 0-based position in the global ``order`` (dense, unique)."""
     order = list(order or time_order())
     ranged, w = _ranged(df, order, partitions)
-    local = ranged.withColumn(LPOS, (F.row_number().over(w) - 1).cast("long"))
+    local = cut_lineage(ranged.withColumn(LPOS, (F.row_number().over(w) - 1).cast("long")))
     offs = _offsets(local).select(PID, "_off")
     return (local.join(F.broadcast(offs), PID)
             .withColumn(pos, F.col("_off") + F.col(LPOS))
@@ -88,6 +96,7 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth
     local = local.withColumns({f"_prev_{c}": F.last(mark(c), ignorenulls=True).over(upto) for c in cols}
                               | {f"_next_{c}": F.first(mark(c), ignorenulls=True).over(after)
                                  for c in cols})
+    local = cut_lineage(local)
     # Per partition: row count, first and last non-null (local pos, value).
     extras = []
     for c in cols:
