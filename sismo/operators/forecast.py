@@ -8,7 +8,8 @@ scaled next value. Three kinds:
 * MLlib models (``LinearRegression``, ``GBTRegressor``,
   ``RandomForestRegressor``) fitted on the sliding windows of all cells,
   distributed by MLlib and scored by ``model.transform``;
-* ``RecurrentForecaster`` (see ``learn``) for the recurrent network.
+* the recurrent network (``RecurrentForecaster``), trained by the same
+  model-averaging loop as the autoencoder.
 
 Scoring all cells is one projection; the top-k is a ``TakeOrderedAndProject``.
 """
@@ -23,8 +24,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import SEED, SEQUENCE_LENGTH, TARGET_YEAR, TOP_K
-from .series import last_sequence, minmax_inverse, minmax_scale_series
+from ..schema import (BIN_SIZE, METHOD_FREQUENCY, METHOD_LSTM, SEED, SEQUENCE_LENGTH, TARGET_YEAR,
+                      TOP_K)
+from .series import cell_year_series, last_sequence, minmax_inverse, minmax_scale_series
+from .spatial import hotspots_frequency
 
 XS = [f"x{i}" for i in range(SEQUENCE_LENGTH)]
 
@@ -111,3 +114,22 @@ def hotspots_forecast(series: DataFrame, model, top_k: int = TOP_K,
                         F.lit(target_year).cast("int").alias("year"),
                         F.lit(None).cast("int").alias("month"))
     return pts.orderBy(F.col("count").desc(), "lat", "lon").limit(top_k)
+
+
+def hotspots_forecast_or_frequency(df: DataFrame, model, top_k: int = TOP_K,
+                                   bin_size: float = BIN_SIZE, target_year: int = TARGET_YEAR,
+                                   method: str = METHOD_LSTM):
+    """Learned next-year hotspots, falling back to the frequency ranking when
+    there is no model, no usable cell series or an empty forecast. Returns
+    ``(points, method_name)``; the emptiness checks are ``isEmpty`` jobs
+    (one row each), decided on the driver."""
+    freq = hotspots_frequency(df, bin_size, top_k, target_year)
+    if model is None:
+        return freq, METHOD_FREQUENCY
+    ser = cell_year_series(df, bin_size)
+    if ser.isEmpty():
+        return freq, METHOD_FREQUENCY
+    pts = hotspots_forecast(ser, model, top_k, target_year)
+    if pts.isEmpty():
+        return freq, METHOD_FREQUENCY
+    return pts, method
