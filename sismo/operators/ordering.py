@@ -86,16 +86,21 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth
     order = list(order or time_order())
     cols = list(cols)
     ranged, w = _ranged(df, order, partitions)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Both carries use running frames (unbounded preceding .. current row),
+    # which Spark evaluates in one pass; the "next non-null" one runs over
+    # the reversed local order. (A current .. unbounded following frame
+    # would be re-aggregated for every row: quadratic in the partition.)
+    upto = Window.partitionBy(PID).orderBy(F.col(LPOS).asc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(PID).orderBy(F.col(LPOS).desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
 
     def mark(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(LPOS).alias("p"), F.col(c).alias("v")))
 
     local = ranged.withColumn(LPOS, (F.row_number().over(w) - 1).cast("long"))
-    local = local.withColumns({f"_prev_{c}": F.last(mark(c), ignorenulls=True).over(upto) for c in cols}
-                              | {f"_next_{c}": F.first(mark(c), ignorenulls=True).over(after)
-                                 for c in cols})
+    local = local.withColumns({f"_prev_{c}": F.last(mark(c), ignorenulls=True).over(upto) for c in cols})
+    local = local.withColumns({f"_next_{c}": F.last(mark(c), ignorenulls=True).over(back) for c in cols})
     local = cut_lineage(local)
     # Per partition: row count, first and last non-null (local pos, value).
     extras = []

@@ -63,7 +63,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (never localCheckpoint):
-    survives executor loss and keeps iterative plans short."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and read it back (never ``localCheckpoint``): one write job, survives
+    executor loss, and keeps iterative plans short. Unlike
+    ``Dataset.checkpoint`` it does not recompute the plan after the first
+    action to write the checkpoint files."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
