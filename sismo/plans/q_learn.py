@@ -447,3 +447,42 @@ def q_pca_reconstruct_error(spark, sf):
     from ..operators.pca import pca_reconstruct_error
     s, _ = scaled(spark, sf)
     return an.anomaly_counts(an.anomaly_report(pca_reconstruct_error(s, F4, k=2)))
+
+
+# ---------------------------------------------------------------------------
+# 2-D density of each (year, cluster)
+# ---------------------------------------------------------------------------
+KDE2_GRID = 40
+cte("kde2", f"""k2pts AS (SELECT k.year, k.lab AS cluster_label, f.longitude AS px, f.latitude AS py
+  FROM km_lab k JOIN feat f ON k.pos = f.pos),
+k2st0 AS (SELECT year, cluster_label, count(*) AS n, var_samp(px) AS vx, var_samp(py) AS vy,
+    covar_samp(px, py) AS cxy, min(px) AS x_lo, max(px) AS x_hi, min(py) AS y_lo, max(py) AS y_hi
+  FROM k2pts GROUP BY 1, 2 HAVING count(*) >= 2),
+k2st1 AS (SELECT *, vx * pow(CAST(n AS DOUBLE), -0.3333333333333333) AS hxx,
+    vy * pow(CAST(n AS DOUBLE), -0.3333333333333333) AS hyy,
+    cxy * pow(CAST(n AS DOUBLE), -0.3333333333333333) AS hxy FROM k2st0),
+k2st2 AS (SELECT *, hxx * hyy - hxy * hxy AS det, x_lo - 3.0 * sqrt(hxx) AS gx0, y_lo - 3.0 * sqrt(hyy) AS gy0
+  FROM k2st1),
+k2st AS (SELECT *, ((x_hi + 3.0 * sqrt(hxx)) - gx0) / {float(KDE2_GRID - 1)} AS sx,
+    ((y_hi + 3.0 * sqrt(hyy)) - gy0) / {float(KDE2_GRID - 1)} AS sy FROM k2st2 WHERE det > 0),
+k2grid AS (SELECT s.*, CAST(i.range AS INTEGER) AS gi, CAST(j.range AS INTEGER) AS gj
+  FROM k2st s, range({KDE2_GRID}) i, range({KDE2_GRID}) j),
+k2 AS (SELECT g.year, g.cluster_label, g.gi, g.gj, g.gx0 + g.gi * g.sx AS x, g.gy0 + g.gj * g.sy AS y,
+    sum(exp(-0.5 * ((((g.gx0 + g.gi * g.sx) - p.px) * ((g.gx0 + g.gi * g.sx) - p.px) * g.hyy
+      - 2.0 * ((g.gx0 + g.gi * g.sx) - p.px) * ((g.gy0 + g.gj * g.sy) - p.py) * g.hxy
+      + ((g.gy0 + g.gj * g.sy) - p.py) * ((g.gy0 + g.gj * g.sy) - p.py) * g.hxx) / g.det)))
+      / (CAST(g.n AS DOUBLE) * 6.283185307179586 * sqrt(g.det)) AS density
+  FROM k2grid g JOIN k2pts p ON g.year = p.year AND g.cluster_label = p.cluster_label
+  GROUP BY g.year, g.cluster_label, g.gi, g.gj, g.gx0, g.gy0, g.sx, g.sy, g.n, g.det)""", ("kmeans",))
+
+
+@register("kde_2d_by_cluster", build(f"""SELECT year, cluster_label, gi, gj, {R6('x')} AS x, {R6('y')} AS y,
+  {R6('density')} AS density FROM k2""", "kde2"))
+def q_kde_2d_by_cluster(spark, sf):
+    from ..operators.explore import kde_2d_by_group
+    lab, _ = kmeans_fixed(spark, sf)
+    d = dedup(spark, sf)
+    pts = lab.select("pos", "year", "cluster_label").join(d.select("pos", "latitude", "longitude"), "pos")
+    k = kde_2d_by_group(pts, gridsize=KDE2_GRID)
+    return k.select("year", "cluster_label", "gi", "gj", r6("x").alias("x"), r6("y").alias("y"),
+                    r6("density").alias("density"))
