@@ -203,19 +203,23 @@ _TRAIN_SCHEMA = T.StructType([
 ])
 
 
-def _epoch_fn(flat_w, flat_m, flat_v, t0, layers, in_cols, out_cols, val_col, batch, lr, seed,
-              epoch, train: bool):
+def _epoch_fn(flat_w, flat_m, flat_v, t0, in_cols, out_cols, val_col, batch, lr, seed, epoch,
+              train: bool, loss_grad, row_loss):
+    """One epoch on one partition: Adam minibatches over the partition's
+    training rows (shuffled within each Arrow batch), validation loss of the
+    incoming weights on its validation rows."""
     b1, b2, eps = 0.9, 0.999, 1e-7
 
     def run(batches):
+        import pandas as pd
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, epoch, pid])
-        params = unflatten(np.asarray(flat_w), layers)
+        start = np.asarray(flat_w, dtype=np.float64)
+        w = start.copy()
         m = np.asarray(flat_m).copy()
         v = np.asarray(flat_v).copy()
         t = int(t0)
-        start = [(w.copy(), b.copy()) for w, b in params]
         n = vn = 0
         loss_sum = vloss_sum = 0.0
         for pdf in batches:
@@ -223,8 +227,7 @@ def _epoch_fn(flat_w, flat_m, flat_v, t0, layers, in_cols, out_cols, val_col, ba
             y_all = pdf[out_cols].to_numpy(dtype=np.float64)
             is_val = (pdf[val_col].to_numpy() == 1) if val_col else np.zeros(len(pdf), bool)
             if is_val.any():
-                r = forward_np(start, x_all[is_val]) - y_all[is_val]
-                vloss_sum += float(np.sum(np.mean(r * r, axis=1)))
+                vloss_sum += float(np.sum(row_loss(start, x_all[is_val], y_all[is_val])))
                 vn += int(is_val.sum())
             x, y = x_all[~is_val], y_all[~is_val]
             if not train or len(x) == 0:
@@ -232,71 +235,83 @@ def _epoch_fn(flat_w, flat_m, flat_v, t0, layers, in_cols, out_cols, val_col, ba
             order = rng.permutation(len(x))
             for s in range(0, len(x), batch):
                 idx = order[s:s + batch]
-                loss, grads = _backprop(params, x[idx], y[idx])
-                g = flatten(grads)
+                loss, g = loss_grad(w, x[idx], y[idx], rng)
                 t += 1
                 m = b1 * m + (1 - b1) * g
                 v = b2 * v + (1 - b2) * g * g
-                mh = m / (1 - b1 ** t)
-                vh = v / (1 - b2 ** t)
-                params = unflatten(flatten(params) - lr * mh / (np.sqrt(vh) + eps), layers)
+                w = w - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
                 loss_sum += loss * len(idx)
                 n += len(idx)
-        import pandas as pd
         yield pd.DataFrame({"n": [n], "loss": [loss_sum], "vn": [vn], "vloss": [vloss_sum],
-                            "w": [flatten(params).tolist()], "m": [m.tolist()], "v": [v.tolist()],
-                            "t": [t]})
+                            "w": [w.tolist()], "m": [m.tolist()], "v": [v.tolist()], "t": [t]})
 
     return run
 
 
-def fit_mlp(df: DataFrame, in_cols: Sequence[str], out_cols: Sequence[str] | None = None,
-            layers: Sequence[int] = AE_LAYERS, epochs: int = AE_EPOCHS, batch: int = AE_BATCH,
-            lr: float = 1e-3, val_col: str | None = None, seed: int = SEED,
-            partitions: int | None = None) -> TrainResult:
-    """Train a ReLU MLP (linear output, MSE, Adam) by per-epoch model
-    averaging. ``val_col`` flags validation rows (never trained on); the
-    history holds (epoch, train loss, validation loss after the epoch)."""
+def train_averaged(df: DataFrame, in_cols: Sequence[str], out_cols: Sequence[str], flat0: np.ndarray,
+                   loss_grad, row_loss, epochs: int, batch: int, lr: float = 1e-3,
+                   val_col: str | None = None, seed: int = SEED, partitions: int | None = None):
+    """Data-parallel Adam with per-epoch model averaging for any model given
+    as ``loss_grad(flat, x, y, rng) -> (loss, grad)`` and ``row_loss(flat,
+    x, y) -> per-row loss``. Returns (flat weights, history)."""
     from ..session import cut_lineage
-    in_cols = list(in_cols)
-    out_cols = list(out_cols or in_cols)
-    layers = tuple(layers)
+    in_cols, out_cols = list(in_cols), list(out_cols)
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     cols = list(dict.fromkeys(in_cols + out_cols + ([val_col] if val_col else [])))
     # fixed, hash-balanced partitions; written once so every epoch reads the
-    # same rows in the same partitions and lineage stays short
+    # same rows in the same partitions and the lineage stays short
     data = cut_lineage(df.select(*cols).repartition(parts, *cols))
-    params = init_mlp(layers, seed)
-    w = flatten(params)
+    w = np.asarray(flat0, dtype=np.float64)
     m = np.zeros_like(w)
     v = np.zeros_like(w)
     t = 0
-    res = TrainResult(params, layers)
+    history: list[tuple[int, float, float | None]] = []
     for epoch in range(epochs + 1):
         train = epoch < epochs
-        rows = data.mapInPandas(_epoch_fn(w.tolist(), m.tolist(), v.tolist(), t, layers, in_cols,
-                                          out_cols, val_col, batch, lr, seed, epoch, train),
-                                _TRAIN_SCHEMA).collect()
+        fn = _epoch_fn(w.tolist(), m.tolist(), v.tolist(), t, in_cols, out_cols, val_col, batch, lr,
+                       seed, epoch, train, loss_grad, row_loss)
+        rows = data.mapInPandas(fn, _TRAIN_SCHEMA).collect()
         vn = sum(r["vn"] for r in rows)
         vloss = (sum(r["vloss"] for r in rows) / vn) if vn else None
         if epoch > 0:
-            res.history[-1] = (res.history[-1][0], res.history[-1][1], vloss)
+            history[-1] = (history[-1][0], history[-1][1], vloss)
         if not train:
             break
-        n = sum(r["n"] for r in rows)
         live = [r for r in rows if r["n"] > 0]
         if not live:
             break
-        wts = np.array([r["n"] for r in live], dtype=np.float64)
-        wts /= wts.sum()
+        n = sum(r["n"] for r in live)
+        wts = np.array([r["n"] for r in live], dtype=np.float64) / n
         w = sum(wt * np.asarray(r["w"]) for wt, r in zip(wts, live))
         m = sum(wt * np.asarray(r["m"]) for wt, r in zip(wts, live))
         v = sum(wt * np.asarray(r["v"]) for wt, r in zip(wts, live))
         t = int(max(r["t"] for r in live))
-        res.history.append((epoch + 1, sum(r["loss"] for r in rows) / max(n, 1), None))
-    res.params = unflatten(w, layers)
-    return res
+        history.append((epoch + 1, sum(r["loss"] for r in live) / n, None))
+    return w, history
+
+
+def fit_mlp(df: DataFrame, in_cols: Sequence[str], out_cols: Sequence[str] | None = None,
+            layers: Sequence[int] = AE_LAYERS, epochs: int = AE_EPOCHS, batch: int = AE_BATCH,
+            lr: float = 1e-3, val_col: str | None = None, seed: int = SEED,
+            partitions: int | None = None) -> TrainResult:
+    """Train a ReLU MLP (linear output, MSE, Adam) by per-epoch model
+    averaging. ``val_col`` flags validation rows (never trained on); the
+    history holds (epoch, train loss, validation loss after the epoch)."""
+    layers = tuple(layers)
+    out_cols = list(out_cols or in_cols)
+
+    def loss_grad(flat, x, y, rng):
+        loss, grads = _backprop(unflatten(flat, layers), x, y)
+        return loss, flatten(grads)
+
+    def row_loss(flat, x, y):
+        r = forward_np(unflatten(flat, layers), x) - y
+        return np.mean(r * r, axis=1)
+
+    w, hist = train_averaged(df, in_cols, out_cols, flatten(init_mlp(layers, seed)), loss_grad,
+                             row_loss, epochs, batch, lr, val_col, seed, partitions)
+    return TrainResult(unflatten(w, layers), layers, hist)
 
 
 def loss_history(spark, result: TrainResult, long: bool = False) -> DataFrame:

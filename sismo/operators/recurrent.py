@@ -1,0 +1,179 @@
+"""Recurrent next-value forecaster: LSTM(50, sequences) -> dropout ->
+LSTM(50) -> dropout -> Dense(25) -> Dense(1), MSE, Adam; 31 901 weights for
+one input feature.
+
+numpy forward pass and backpropagation through time over the 5-step
+windows; trained by ``net.train_averaged`` (one Spark job per epoch, model
+averaging) and scored with ``mapInPandas`` over Arrow batches.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from ..schema import FORECAST_BATCH, FORECAST_EPOCHS, SEED, SEQUENCE_LENGTH
+from .net import train_averaged
+
+XS = [f"x{i}" for i in range(SEQUENCE_LENGTH)]
+
+
+def _shapes(units: int, dense: int, d_in: int = 1):
+    h4 = 4 * units
+    return [("W1", (d_in, h4)), ("U1", (units, h4)), ("b1", (h4,)),
+            ("W2", (units, h4)), ("U2", (units, h4)), ("b2", (h4,)),
+            ("D1", (units, dense)), ("c1", (dense,)), ("D2", (dense, 1)), ("c2", (1,))]
+
+
+def unpack(flat: np.ndarray, units: int, dense: int) -> dict:
+    out, k = {}, 0
+    for name, shp in _shapes(units, dense):
+        size = int(np.prod(shp))
+        out[name] = flat[k:k + size].reshape(shp)
+        k += size
+    return out
+
+
+def pack(p: dict, units: int, dense: int) -> np.ndarray:
+    return np.concatenate([p[name].ravel() for name, _ in _shapes(units, dense)])
+
+
+def init_params(units: int = 50, dense: int = 25, seed: int = SEED) -> np.ndarray:
+    """Glorot-uniform input/dense weights, orthogonal recurrent weights, zero
+    biases with forget-gate bias 1."""
+    rng = np.random.default_rng(seed)
+    p = {}
+    for name, shp in _shapes(units, dense):
+        if name.startswith("U"):
+            q, _ = np.linalg.qr(rng.normal(size=(shp[1], shp[0])))
+            p[name] = q.T[:shp[0], :shp[1]]
+        elif len(shp) == 2:
+            lim = np.sqrt(6.0 / (shp[0] + shp[1]))
+            p[name] = rng.uniform(-lim, lim, size=shp)
+        else:
+            p[name] = np.zeros(shp)
+    for b in ("b1", "b2"):
+        p[b][units:2 * units] = 1.0
+    return pack(p, units, dense)
+
+
+def _sig(z):
+    return 1.0 / (1.0 + np.exp(-z))
+
+
+def _lstm(W, U, b, X):
+    B, Tn, _ = X.shape
+    H = U.shape[0]
+    h = np.zeros((B, H))
+    c = np.zeros((B, H))
+    cache, hs = [], []
+    for t in range(Tn):
+        z = X[:, t, :] @ W + h @ U + b
+        i, f = _sig(z[:, :H]), _sig(z[:, H:2 * H])
+        g, o = np.tanh(z[:, 2 * H:3 * H]), _sig(z[:, 3 * H:])
+        c2 = f * c + i * g
+        h2 = o * np.tanh(c2)
+        cache.append((X[:, t, :], h, c, i, f, g, o, c2))
+        h, c = h2, c2
+        hs.append(h)
+    return np.stack(hs, 1), cache
+
+
+def _lstm_back(W, U, cache, dhs):
+    H = U.shape[0]
+    dW, dU = np.zeros_like(W), np.zeros_like(U)
+    db = np.zeros(4 * H)
+    B, Tn, _ = dhs.shape
+    dX = np.zeros((B, Tn, W.shape[0]))
+    dh_next = np.zeros((B, H))
+    dc_next = np.zeros((B, H))
+    for t in range(Tn - 1, -1, -1):
+        x, h_prev, c_prev, i, f, g, o, c = cache[t]
+        dh = dhs[:, t, :] + dh_next
+        tc = np.tanh(c)
+        do = dh * tc
+        dc = dh * o * (1 - tc * tc) + dc_next
+        di, dg, df = dc * g, dc * i, dc * c_prev
+        dc_next = dc * f
+        dz = np.concatenate([di * i * (1 - i), df * f * (1 - f), dg * (1 - g * g), do * o * (1 - o)], 1)
+        dW += x.T @ dz
+        dU += h_prev.T @ dz
+        db += dz.sum(0)
+        dX[:, t, :] = dz @ W.T
+        dh_next = dz @ U.T
+    return dX, dW, dU, db
+
+
+def forward(flat, x, units=50, dense=25, rng=None, dropout=0.0):
+    """x: (B, L) scaled windows -> (B,) predictions; caches for backprop."""
+    p = unpack(np.asarray(flat), units, dense)
+    X = x[:, :, None]
+    H1, c1 = _lstm(p["W1"], p["U1"], p["b1"], X)
+    m1 = (rng.random(H1.shape) >= dropout) / (1 - dropout) if rng is not None and dropout else None
+    H1d = H1 * m1 if m1 is not None else H1
+    H2, c2 = _lstm(p["W2"], p["U2"], p["b2"], H1d)
+    last = H2[:, -1, :]
+    m2 = (rng.random(last.shape) >= dropout) / (1 - dropout) if rng is not None and dropout else None
+    lastd = last * m2 if m2 is not None else last
+    a1 = lastd @ p["D1"] + p["c1"]
+    out = a1 @ p["D2"] + p["c2"]
+    return out[:, 0], (p, X, H1, c1, m1, H1d, H2, c2, m2, lastd, a1)
+
+
+def loss_grad(flat, x, y, rng, units=50, dense=25, dropout=0.2):
+    pred, (p, X, H1, c1, m1, H1d, H2, c2, m2, lastd, a1) = forward(flat, x, units, dense, rng, dropout)
+    yv = y.reshape(-1)
+    diff = pred - yv
+    loss = float(np.mean(diff * diff))
+    dout = (2.0 * diff / len(diff))[:, None]
+    g = {"D2": a1.T @ dout, "c2": dout.sum(0)}
+    da1 = dout @ p["D2"].T
+    g["D1"], g["c1"] = lastd.T @ da1, da1.sum(0)
+    dlast = da1 @ p["D1"].T
+    if m2 is not None:
+        dlast = dlast * m2
+    dH2 = np.zeros_like(H2)
+    dH2[:, -1, :] = dlast
+    dH1d, g["W2"], g["U2"], g["b2"] = _lstm_back(p["W2"], p["U2"], c2, dH2)
+    dH1 = dH1d * m1 if m1 is not None else dH1d
+    _, g["W1"], g["U1"], g["b1"] = _lstm_back(p["W1"], p["U1"], c1, dH1)
+    return loss, pack(g, units, dense)
+
+
+@dataclass
+class RecurrentForecaster:
+    flat: np.ndarray
+    units: int = 50
+    dense: int = 25
+    history: list | None = None
+
+    def predict(self, df: DataFrame, out: str = "pred_scaled") -> DataFrame:
+        flat, units, dense = self.flat, self.units, self.dense
+        schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
+
+        def run(batches):
+            for pdf in batches:
+                x = pdf[XS].to_numpy(dtype=np.float64)
+                pdf[out] = forward(flat, x, units, dense)[0] if len(pdf) else np.zeros(0)
+                yield pdf
+
+        return df.mapInPandas(run, schema)
+
+
+def fit_recurrent(sequences: DataFrame, epochs: int = FORECAST_EPOCHS, batch: int = FORECAST_BATCH,
+                  units: int = 50, dense: int = 25, lr: float = 1e-3, seed: int = SEED,
+                  val_col: str | None = None, partitions: int | None = None) -> RecurrentForecaster:
+    """Fit on sliding windows ``x0..x4 -> y`` of all cells."""
+    def lg(flat, x, y, rng):
+        return loss_grad(flat, x, y, rng, units, dense)
+
+    def rl(flat, x, y):
+        d = forward(flat, x, units, dense)[0] - y.reshape(-1)
+        return d * d
+
+    w, hist = train_averaged(sequences.where("y IS NOT NULL"), XS, ["y"], init_params(units, dense, seed),
+                             lg, rl, epochs, batch, lr, val_col, seed, partitions)
+    return RecurrentForecaster(w, units, dense, hist)

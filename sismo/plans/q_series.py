@@ -258,3 +258,21 @@ def q_hotspots_forecast_learned(spark, sf):
     sp = split(spark, sf)
     model = fc.fit_sequence_forecaster(sp.where(F.col("is_train") == 1), "linear")
     return fc.hotspots_forecast(series(spark, sf), model)
+
+
+@register("fit_recurrent_forecaster")
+def q_fit_recurrent_forecaster(spark, sf):
+    """2 x LSTM(50) forecaster, model-averaged over partitions (3 epochs)."""
+    from ..operators.recurrent import fit_recurrent
+    sp = split(spark, sf)
+    model = fit_recurrent(sp.where(F.col("is_train") == 1), epochs=3)
+    return fc.forecaster_metrics(model, sp.where(F.col("is_test") == 1))
+
+
+@register("hotspots_forecast_recurrent")
+def q_hotspots_forecast_recurrent(spark, sf):
+    from ..operators.recurrent import fit_recurrent
+    sp = split(spark, sf)
+    model = fit_recurrent(sp.where(F.col("is_train") == 1), epochs=2)
+    pts, method = fc.hotspots_forecast_or_frequency(clean(spark, sf), model)
+    return pts.withColumn("method", F.lit(method))

@@ -160,3 +160,25 @@ def test_pca_error_zero_for_rank_deficient(spark):
     df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")))
     e = pca_reconstruct_error(df, list("abcd"), k=2).agg(F.max("reconstruction_error")).first()[0]
     assert e < 1e-6
+
+
+def test_lstm_gradient_check():
+    from sismo.operators import recurrent as rc
+    rng = np.random.default_rng(8)
+    flat = rc.init_params(units=4, dense=3, seed=2)
+    x = rng.random((6, 5))
+    y = rng.random((6, 1))
+    loss, g = rc.loss_grad(flat, x, y, None, units=4, dense=3, dropout=0.0)
+    eps = 1e-6
+    for k in rng.choice(len(flat), 15, replace=False):
+        f2 = flat.copy()
+        f2[k] += eps
+        lp, _ = rc.loss_grad(f2, x, y, None, units=4, dense=3, dropout=0.0)
+        f2[k] -= 2 * eps
+        lm, _ = rc.loss_grad(f2, x, y, None, units=4, dense=3, dropout=0.0)
+        assert abs((lp - lm) / (2 * eps) - g[k]) < 1e-6
+
+
+def test_lstm_parameter_count():
+    from sismo.operators import recurrent as rc
+    assert len(rc.init_params()) == 31901
