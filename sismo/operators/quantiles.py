@@ -22,12 +22,16 @@ def qname(p: float) -> str:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    broadcast_targets: bool = True, partitions: int | None = None) -> DataFrame:
+                    broadcast_targets: bool | None = None, partitions: int | None = None) -> DataFrame:
     """One row per group: ``*by, n, q_<p>...`` (nulls ignored).
 
-    ``broadcast_targets``: the target table has groups x probs rows; keep it
-    on when the number of groups is small (years, columns)."""
+    The target table has groups x probs rows. It is broadcast when there is
+    no grouping (probs rows) or the caller declares the groups few
+    (``broadcast_targets=True``, e.g. years); otherwise the optimizer picks
+    the join from size statistics."""
     by = list(by)
+    if broadcast_targets is None:
+        broadcast_targets = not by
     vals = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     # The row id only splits runs of equal values across range partitions.
     vals = vals.withColumn("_tie", F.monotonically_increasing_id())

@@ -72,3 +72,18 @@ def minmax_scale(df: DataFrame, stats: MinMaxStats) -> DataFrame:
         out[c] = (F.when(F.col(c).isNotNull(), F.lit(0.0)) if rng == 0
                   else (F.col(c) - F.lit(mn)) / F.lit(rng))
     return df.withColumns(out)
+
+
+def standard_scale_lazy(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
+    """Fit and apply in one lazy plan: every row sees the fitted mean/std as
+    scalar subqueries (Spark merges them into one aggregate job and inlines
+    the results) — the Spark form of broadcasting a one-row model to all
+    rows, with no join."""
+    cols = list(cols)
+    fields = []
+    for i, c in enumerate(cols):
+        sd = F.stddev_pop(c)
+        fields += [F.avg(c).alias(f"m{i}"), F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias(f"s{i}")]
+    # one aggregate, one scalar subquery (a struct), referenced per column
+    model = df.agg(F.struct(*fields).alias("st")).scalar()
+    return df.withColumns({c: (F.col(c) - model[f"m{i}"]) / model[f"s{i}"] for i, c in enumerate(cols)})

@@ -486,3 +486,11 @@ def q_kde_2d_by_cluster(spark, sf):
     k = kde_2d_by_group(pts, gridsize=KDE2_GRID)
     return k.select("year", "cluster_label", "gi", "gj", r6("x").alias("x"), r6("y").alias("y"),
                     r6("density").alias("density"))
+
+
+@register("model_broadcast_join", build(f"""SELECT pos, year, {R6('magnitude')} AS magnitude, {R6('depth')} AS depth,
+  {R6('latitude')} AS latitude, {R6('longitude')} AS longitude FROM fscaled""", "feat"))
+def q_model_broadcast_join(spark, sf):
+    """Every row sees the fitted scaler through scalar subqueries."""
+    s = sc.standard_scale_lazy(dedup(spark, sf), F4)
+    return s.select("pos", "year", *[r6(c).alias(c) for c in F4])
