@@ -15,35 +15,40 @@ from pyspark.sql import functions as F
 from ..functions.parse import parse_datetime_coerce, to_numeric_coerce
 
 DUP_OFFSET = 10_000_000
+EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+                 "value double, props string")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The driver's ``events`` table with its declared schema (no footer
+    scan for schema inference; column pruning still reads only what the
+    plan needs)."""
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def catalog_from_events(events: DataFrame) -> DataFrame:
-    """``event_id, datetime, magnitude, depth, latitude, longitude, location``."""
-    eid = F.col("event_id")
-
-    def unless(mod: int, value):
-        return F.when(eid % mod == 0, F.lit(None)).otherwise(value)
-
-    months = F.expr("make_interval(0, 23 - cast(event_id * 5 % 216 as int))")
-    jk = F.get_json_object("props", "$.k").cast("int")
-    base = events.select(
-        eid.alias("event_id"),
-        unless(211, F.col("ts") + months).alias("datetime"),
-        unless(37, F.lit(2.0) + F.col("value") / F.lit(100.0)).alias("magnitude"),
-        unless(41, F.lit(5.0) + F.lit(6.0) * jk.cast("double")).alias("depth"),
-        unless(113, F.lit(-11.0) + (F.col("user_id") * 37 % 1700).cast("double") / F.lit(100.0)
-               + (eid * 13 % 97 - 48).cast("double") / F.lit(200.0)).alias("latitude"),
-        unless(113, F.lit(95.0) + (F.col("user_id") * 91 % 4600).cast("double") / F.lit(100.0)
-               + (eid * 29 % 89 - 44).cast("double") / F.lit(200.0)).alias("longitude"),
-        F.col("event_type").alias("location"),
-    )
-    dups = base.where(F.col("event_id") % 53 == 0).select(
-        (F.col("event_id") + DUP_OFFSET).alias("event_id"),
-        (F.col("datetime") + F.expr("interval 1 day")).alias("datetime"),
+    """``event_id, datetime, magnitude, depth, latitude, longitude, location``.
+
+    Written as SQL expressions (one parse per column instead of hundreds of
+    client calls to assemble the same expression trees)."""
+    base = events.selectExpr(
+        "event_id",
+        "CASE WHEN event_id % 211 = 0 THEN NULL"
+        " ELSE ts + make_interval(0, 23 - CAST(event_id * 5 % 216 AS INT)) END AS datetime",
+        "CASE WHEN event_id % 37 = 0 THEN NULL ELSE CAST(2.0 AS DOUBLE) + value / CAST(100 AS DOUBLE) END"
+        " AS magnitude",
+        "CASE WHEN event_id % 41 = 0 THEN NULL"
+        " ELSE CAST(5 AS DOUBLE) + CAST(6 AS DOUBLE) * CAST(CAST(get_json_object(props, '$.k') AS INT) AS DOUBLE)"
+        " END AS depth",
+        "CASE WHEN event_id % 113 = 0 THEN NULL"
+        " ELSE CAST(-11 AS DOUBLE) + CAST(user_id * 37 % 1700 AS DOUBLE) / CAST(100 AS DOUBLE)"
+        " + CAST(event_id * 13 % 97 - 48 AS DOUBLE) / CAST(200 AS DOUBLE) END AS latitude",
+        "CASE WHEN event_id % 113 = 0 THEN NULL"
+        " ELSE CAST(95 AS DOUBLE) + CAST(user_id * 91 % 4600 AS DOUBLE) / CAST(100 AS DOUBLE)"
+        " + CAST(event_id * 29 % 89 - 44 AS DOUBLE) / CAST(200 AS DOUBLE) END AS longitude",
+        "event_type AS location")
+    dups = base.where("event_id % 53 = 0").selectExpr(
+        f"event_id + {DUP_OFFSET} AS event_id", "datetime + INTERVAL 1 DAY AS datetime",
         "magnitude", "depth", "latitude", "longitude", "location")
     return base.unionByName(dups)
 
