@@ -261,7 +261,7 @@ def train_averaged(df: DataFrame, in_cols: Sequence[str], out_cols: Sequence[str
     cols = list(dict.fromkeys(in_cols + out_cols + ([val_col] if val_col else [])))
     # fixed, hash-balanced partitions; written once so every epoch reads the
     # same rows in the same partitions and the lineage stays short
-    data = cut_lineage(df.select(*cols).repartition(parts, *cols))
+    data = cut_lineage(df.select(*cols).repartition(parts, *cols)).persist()
     w = np.asarray(flat0, dtype=np.float64)
     m = np.zeros_like(w)
     v = np.zeros_like(w)
@@ -288,6 +288,7 @@ def train_averaged(df: DataFrame, in_cols: Sequence[str], out_cols: Sequence[str
         v = sum(wt * np.asarray(r["v"]) for wt, r in zip(wts, live))
         t = int(max(r["t"] for r in live))
         history.append((epoch + 1, sum(r["loss"] for r in live) / n, None))
+    data.unpersist()
     return w, history
 
 
