@@ -57,12 +57,13 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                        for c in cols])
     moments = moments.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c + ".*")) for c in cols])))
-    quarts = None
-    for c in cols:
-        q = exact_quantiles(df.select(F.col(c).cast("double").alias("v")), "v", (0.25, 0.5, 0.75))
-        q = q.select(F.lit(c).alias("column"), F.col("q_0_25").alias("p25"),
-                     F.col("q_0_5").alias("p50"), F.col("q_0_75").alias("p75"))
-        quarts = q if quarts is None else quarts.unionByName(q)
+    # all columns in one ordering pass: long form (column, value), quartiles
+    # per column (few groups, so the targets are broadcast)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [], cols, "column", "v")
+    quarts = exact_quantiles(long, "v", (0.25, 0.5, 0.75), by=("column",), broadcast_targets=True)
+    quarts = quarts.select("column", F.col("q_0_25").alias("p25"), F.col("q_0_5").alias("p50"),
+                           F.col("q_0_75").alias("p75"))
     return (moments.join(quarts, "column", "left")
             .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
