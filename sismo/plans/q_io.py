@@ -96,13 +96,20 @@ def q_save_scaler(spark, sf):
     return loaded.select("feature", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@register("load_scaler")
+_SCALER_SQL = build(f"""SELECT 'magnitude' AS feature, {R6('mu0')} AS mean, {R6('sd0')} AS std FROM fstats
+UNION ALL SELECT 'depth', {R6('mu1')}, {R6('sd1')} FROM fstats
+UNION ALL SELECT 'latitude', {R6('mu2')}, {R6('sd2')} FROM fstats
+UNION ALL SELECT 'longitude', {R6('mu3')}, {R6('sd3')} FROM fstats""", "feat")
+
+
+@register("load_scaler", _SCALER_SQL)
 def q_load_scaler(spark, sf):
     """Missing file -> fit and save; second load reads the saved rows."""
     path = scratch_path(spark, "scaler")
     d = dedup(spark, sf)
     io.load_scaler(spark, path, fit=lambda: sc.standard_stats(d))
-    return io.load_scaler(spark, path)
+    loaded = io.load_scaler(spark, path)
+    return loaded.select("feature", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
 def _trained_model_path(spark, sf, epochs=2):
@@ -127,14 +134,17 @@ def q_load_model(spark, sf):
     return an.anomaly_counts(an.anomaly_report(net.score_arrow(s, params, F4)))
 
 
-@register("reuse_predictions")
+@register("reuse_predictions", build(
+    f"SELECT rank, lat, lon, count, historical_count, mag, year, month FROM ({_POINTS_SQL}) WHERE rank < 10",
+    "cells"))
 def q_reuse_predictions(spark, sf):
     path = scratch_path(spark, "reuse-json")
     compute = lambda: sp.hotspots_frequency(clean(spark, sf), top_k=15)
     first, reused1 = io.reuse_predictions(spark, path, METHOD_FREQUENCY, 15, compute)
     second, reused2 = io.reuse_predictions(spark, path, METHOD_FREQUENCY, 10, compute)
     assert not reused1 and reused2
-    return second
+    return second.select("rank", "lat", "lon", "count", "historical_count", r6("mag").alias("mag"),
+                         "year", "month")
 
 
 @register("forecast_with_fallback", build(
