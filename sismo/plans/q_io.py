@@ -21,7 +21,7 @@ from .q_core import HOTSPOT_FREQ_BODY, clean
 from .q_learn import CHECK_PARAMS, dedup, scaled
 from .q_series import series
 from .registry import register
-from .sqlkit import R6, build, cte, r6
+from .sqlkit import R6, build, r6
 
 F4 = list(FEATURES)
 

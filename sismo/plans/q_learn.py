@@ -4,7 +4,6 @@ autoencoder / PCA paths."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as an
