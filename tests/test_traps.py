@@ -159,3 +159,27 @@ def test_heat_weights_bounds(spark):
                         "magnitude": rng.uniform(2, 6, 300)})
     w = sp.heat_weights(spark.createDataFrame(pdf)).toPandas()["weight"]
     assert (w > 0).all() and (w <= 1.0 + 1e-12).all()
+
+
+def test_hot_cell_and_hot_year_stay_exact(spark):
+    """One cell and one year hold a third of the rows: results equal pandas."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    lat = rng.uniform(-10, 5, n)
+    lon = rng.uniform(95, 140, n)
+    year = rng.integers(2008, 2026, n)
+    hot_cell = np.arange(n) % 3 == 0
+    lat[hot_cell], lon[hot_cell] = -2.4, 121.1
+    year[np.arange(n) % 3 == 1] = 2015
+    pdf = pd.DataFrame({"latitude": lat, "longitude": lon, "magnitude": rng.uniform(2, 6, n),
+                        "year": year.astype(int)})
+    df = spark.createDataFrame(pdf).repartition(7)
+    got = {(r["lat_bin"], r["lon_bin"]): r["count"] for r in sp.cell_aggregate(df).collect()}
+    cells = pdf.assign(a=np.rint(pdf.latitude / 0.5) * 0.5 + 0.0, b=np.rint(pdf.longitude / 0.5) * 0.5 + 0.0)
+    want = cells.groupby(["a", "b"]).size().to_dict()
+    assert got == want
+    med = {r["year"]: r["median"] for r in ex.year_magnitude_stats(df).collect()}
+    for y, g in pdf.groupby("year"):
+        assert abs(med[y] - g.magnitude.median()) < 1e-12
+    ser = {(r["lat_bin"], r["lon_bin"]): r["historical_count"] for r in se.cell_year_series(df).collect()}
+    assert ser[(-2.5, 121.0)] == want[(-2.5, 121.0)]
