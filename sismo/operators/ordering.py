@@ -98,9 +98,24 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth
     def mark(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(LPOS).alias("p"), F.col(c).alias("v")))
 
+    def pos_if(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.col(LPOS))
+
+    # primitive running "last non-null" values (position and value come from
+    # the same row: the last one where the value is present)
     local = ranged.withColumn(LPOS, (F.row_number().over(w) - 1).cast("long"))
-    local = local.withColumns({f"_prev_{c}": F.last(mark(c), ignorenulls=True).over(upto) for c in cols})
-    local = local.withColumns({f"_next_{c}": F.last(mark(c), ignorenulls=True).over(back) for c in cols})
+    prev, nxt = {}, {}
+    for c in cols:
+        prev[f"_pp_{c}"] = F.last(pos_if(c), ignorenulls=True).over(upto)
+        prev[f"_pv_{c}"] = F.last(F.col(c), ignorenulls=True).over(upto)
+        nxt[f"_np_{c}"] = F.last(pos_if(c), ignorenulls=True).over(back)
+        nxt[f"_nv_{c}"] = F.last(F.col(c), ignorenulls=True).over(back)
+    local = local.withColumns(prev).withColumns(nxt)
+    local = local.withColumns({f"_prev_{c}": F.when(F.col(f"_pp_{c}").isNotNull(), F.struct(
+        F.col(f"_pp_{c}").alias("p"), F.col(f"_pv_{c}").alias("v"))) for c in cols}
+                              | {f"_next_{c}": F.when(F.col(f"_np_{c}").isNotNull(), F.struct(
+                                  F.col(f"_np_{c}").alias("p"), F.col(f"_nv_{c}").alias("v"))) for c in cols})
+    local = local.drop(*prev, *nxt)
     local = cut_lineage(local)
     # Per partition: row count, first and last non-null (local pos, value).
     extras = []
