@@ -114,11 +114,12 @@ def kde_1d(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = KDE_C
     grid = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("g")
     contrib = weighted.select("x", "w", grid)
     gx = lo + F.col("g") * step
-    z = (gx - F.col("x")) / bw
+    z = F.try_divide(gx - F.col("x"), bw)          # constant input: bw = 0 -> null
     contrib = contrib.select("g", (F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("k"))
     norm = n * bw * F.lit(math.sqrt(2.0 * math.pi))
     return (contrib.groupBy("g").agg(F.sum("k").alias("s"))
-            .select(F.col("g").cast("int").alias("g"), gx.alias("x"), (F.col("s") / norm).alias("density")))
+            .select(F.col("g").cast("int").alias("g"), gx.alias("x"),
+                    F.try_divide(F.col("s"), norm).alias("density")))
 
 
 def correlation(df: DataFrame, x: str = "depth", y: str = "magnitude") -> DataFrame:

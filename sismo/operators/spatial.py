@@ -64,8 +64,9 @@ def heat_weights(df: DataFrame, bin_size: float = BIN_SIZE,
     cells = cell_aggregate(df, bin_size)
     maxima = cells.agg(F.greatest(F.max("count"), F.lit(1)).cast("double").alias("mc"))
     max_mag = cells.agg(F.max("mean_mag").alias("mm"))
+    # try_divide: an all-zero magnitude column gives null, not a query error
     weight = (F.lit(w_count) * (F.col("count") / maxima.scalar())
-              + F.lit(w_mag) * (F.col("mean_mag") / max_mag.scalar()))
+              + F.lit(w_mag) * F.try_divide(F.col("mean_mag"), max_mag.scalar()))
     return cells.select("lat_bin", "lon_bin", weight.alias("weight"))
 
 

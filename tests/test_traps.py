@@ -183,3 +183,19 @@ def test_hot_cell_and_hot_year_stay_exact(spark):
         assert abs(med[y] - g.magnitude.median()) < 1e-12
     ser = {(r["lat_bin"], r["lon_bin"]): r["historical_count"] for r in se.cell_year_series(df).collect()}
     assert ser[(-2.5, 121.0)] == want[(-2.5, 121.0)]
+
+
+def test_degenerate_inputs_do_not_fail_under_ansi(spark):
+    """Zero denominators (constant values, coincident points) give null or 0,
+    never a division-by-zero error (ANSI mode is on by default)."""
+    from sismo.operators import silhouette as sil
+    const = spark.createDataFrame([(1.0,)] * 5, "v double")
+    k = ex.kde_1d(const, "v").collect()
+    assert len(k) == 200 and all(r["density"] is None for r in k)
+    zero = spark.createDataFrame([(0.1, 0.1, 0.0), (3.1, 3.1, 0.0)],
+                                 "latitude double, longitude double, magnitude double")
+    assert sp.heat_weights(zero).count() == 2
+    same = spark.createDataFrame([(2010, i, i % 2, 1.0, 1.0) for i in range(6)],
+                                 "year int, pos long, cluster_label int, a double, b double")
+    assert sil.silhouette_by_year(same, ["a", "b"]).first()["silhouette"] == 0.0
+    assert sil.silhouette_by_year_fast(same, ["a", "b"]).first()["silhouette"] == 0.0
