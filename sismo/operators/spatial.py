@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import cell_of
-from ..schema import (BIN_SIZE, DEFAULT_BOUNDS_MAIN, PAD_CELLS_MAIN, TARGET_YEAR,
-                      TOP_K, W_COUNT, W_MAG)
+from ..schema import (BIN_SIZE, DEFAULT_BOUNDS_MAIN, OTHER_CENTER_SPAN, PAD_CELLS_MAIN,
+                      TARGET_YEAR, TOP_K, W_COUNT, W_MAG)
 
 
 def with_cells(df: DataFrame, bin_size: float = BIN_SIZE) -> DataFrame:
@@ -72,9 +72,14 @@ def heat_weights(df: DataFrame, bin_size: float = BIN_SIZE,
 
 def map_bounds(points: DataFrame, lat: str = "latitude", lon: str = "longitude",
                bin_size: float = BIN_SIZE, pad_cells: int = PAD_CELLS_MAIN,
-               default=DEFAULT_BOUNDS_MAIN) -> DataFrame:
+               default=DEFAULT_BOUNDS_MAIN, center: tuple[float, float] | None = None,
+               span: float = OTHER_CENTER_SPAN) -> DataFrame:
     """1 row: ``min_lat, max_lat, min_lon, max_lon`` padded by ``pad_cells``
-    cells; the default box when there are no points."""
+    cells; the default box when there are no points — or, when ``center``
+    is given, ``center +- span`` degrees (the hotspot-map variant uses
+    ``pad_cells=3`` and the map centre)."""
+    if center is not None:
+        default = (center[0] - span, center[0] + span, center[1] - span, center[1] + span)
     pad = float(bin_size) * pad_cells
     d_lat0, d_lat1, d_lon0, d_lon1 = (float(v) for v in default)
     agg = points.agg(F.min(lat).alias("a"), F.max(lat).alias("b"),

@@ -199,3 +199,14 @@ def test_degenerate_inputs_do_not_fail_under_ansi(spark):
                                  "year int, pos long, cluster_label int, a double, b double")
     assert sil.silhouette_by_year(same, ["a", "b"]).first()["silhouette"] == 0.0
     assert sil.silhouette_by_year_fast(same, ["a", "b"]).first()["silhouette"] == 0.0
+
+
+def test_map_bounds_variants(spark):
+    pts = spark.createDataFrame([(-2.5, 121.0), (1.0, 100.0)], "lat double, lon double")
+    b = sp.map_bounds(pts, "lat", "lon", pad_cells=3).first()
+    assert (b["min_lat"], b["max_lat"], b["min_lon"], b["max_lon"]) == (-4.0, 2.5, 98.5, 122.5)
+    empty = pts.where("lat > 100")
+    d = sp.map_bounds(empty, "lat", "lon").first()
+    assert (d["min_lat"], d["max_lat"], d["min_lon"], d["max_lon"]) == (-11.0, 6.0, 95.0, 141.0)
+    c = sp.map_bounds(empty, "lat", "lon", pad_cells=3, center=(-5.0, 115.0)).first()
+    assert (c["min_lat"], c["max_lat"], c["min_lon"], c["max_lon"]) == (-10.0, 0.0, 110.0, 120.0)
