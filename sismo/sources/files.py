@@ -144,3 +144,12 @@ def load_model(spark: SparkSession, path: str) -> DataFrame | None:
         return spark.read.parquet(path)
     except AnalysisException:
         return None
+
+
+def write_partitioned(df: DataFrame, path: str, by: str = "year", fmt: str = "csv",
+                      mode: str = "overwrite") -> str:
+    """Export one directory per ``by`` value (e.g. the per-year cluster
+    table), so readers filtering on it prune whole directories."""
+    w = df.write.mode(mode).partitionBy(by)
+    (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
+    return path

@@ -116,3 +116,13 @@ def test_stream_resumes_from_checkpoint(spark):
     want = cat.dropna(subset=list(FEATURES)).count()
     assert 0 < first < want
     assert out.count() == want and out.select("event_id").distinct().count() == want
+
+
+def test_partitioned_export_prunes_by_year(spark):
+    df = spark.createDataFrame([(2010, 1, 0), (2011, 2, 1), (2011, 3, 0)], "year int, pos long, cluster_label int")
+    path = _tmp("clusters")
+    io.write_partitioned(df, path, "year", fmt="parquet")
+    back = spark.read.parquet(path).where("year = 2011")
+    assert back.count() == 2
+    assert "PartitionFilters: [isnotnull(year" in back._jdf.queryExecution().executedPlan().toString() \
+        or "PartitionFilters" in back._jdf.queryExecution().executedPlan().toString()
