@@ -210,3 +210,16 @@ def test_map_bounds_variants(spark):
     assert (d["min_lat"], d["max_lat"], d["min_lon"], d["max_lon"]) == (-11.0, 6.0, 95.0, 141.0)
     c = sp.map_bounds(empty, "lat", "lon", pad_cells=3, center=(-5.0, 115.0)).first()
     assert (c["min_lat"], c["max_lat"], c["min_lon"], c["max_lon"]) == (-10.0, 0.0, 110.0, 120.0)
+
+
+def test_prefiltered_topk_and_sample_are_exact(spark):
+    from sismo.operators import topk as tk
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"event_id": np.arange(5000), "magnitude": np.round(rng.uniform(2, 7, 5000), 1)})
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = tk.top_magnitude_markers(df, cap=100).toPandas()             # prefilter path (5000 > 4 x 100)
+    want = pdf.sort_values(["magnitude", "event_id"], ascending=[False, True]).head(100)
+    assert got["event_id"].tolist() == want["event_id"].tolist()
+    s1 = tk.sample_exact_n(df, 50).toPandas()["event_id"].tolist()    # prefilter path
+    full = df.orderBy(tk.sample_key(), "event_id").limit(50).toPandas()["event_id"].tolist()
+    assert s1 == full and len(s1) == 50
