@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from ..schema import AE_BATCH, AE_EPOCHS, AE_LAYERS, SEED
 
 Params = list[tuple[np.ndarray, np.ndarray]]
+MAX_MODEL_COPIES = 256   # training partitions (model replicas averaged per epoch)
 
 
 # ---------------------------------------------------------------------------
@@ -257,7 +258,10 @@ def train_averaged(df: DataFrame, in_cols: Sequence[str], out_cols: Sequence[str
     from ..session import cut_lineage
     in_cols, out_cols = list(in_cols), list(out_cols)
     spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    # one model copy (weights + Adam moments) per partition comes back each
+    # epoch: bound the copies so the driver payload stays model-sized
+    parts = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions", "8")),
+                              MAX_MODEL_COPIES)
     cols = list(dict.fromkeys(in_cols + out_cols + ([val_col] if val_col else [])))
     # fixed, hash-balanced partitions; written once so every epoch reads the
     # same rows in the same partitions and the lineage stays short
