@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import (DATE_FORMAT, DATETIME_LABEL_FORMAT, NOT_AVAILABLE, NOT_AVAILABLE_LONG,
-                      TIME_FORMAT)
+from ..schema import (DATE_FORMAT, DATETIME_LABEL_FORMAT, FIRST_YEAR, LAST_YEAR, NOT_AVAILABLE,
+                      NOT_AVAILABLE_LONG, TIME_FORMAT)
 
 
 def fixed(c, dp: int):
@@ -43,16 +43,18 @@ def event_popup_text(df: DataFrame) -> DataFrame:
     return labelled.withColumn("popup", text).drop("dt_label", "date_label", "time_label")
 
 
-def hotspot_label(points: DataFrame) -> DataFrame:
+def hotspot_label(points: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """Both counts when ``historical_count`` is present and differs from
-    ``count``, else one; zero-padded month when present."""
+    ``count`` (a learned forecast), else the historical frequency alone; a
+    zero-padded month in front when present; plus a tooltip."""
     hc, c = F.col("historical_count"), F.col("count")
-    both = F.format_string("Prediksi %d: %d kejadian (historis %d)", F.col("year"), c, hc)
-    one = F.format_string("Tahun %d: %d kejadian", F.col("year"), c)
+    both = F.format_string("Frekuensi Historis (%d-%d): %d kejadian | Prediksi Frekuensi %d: %d kejadian",
+                           F.lit(first), F.lit(last), hc, F.col("year"), c)
+    one = F.format_string("Frekuensi Historis: %d kejadian", c)
     label = F.when(hc.isNotNull() & (hc != c), both).otherwise(one)
     month = F.when(F.col("month").isNotNull(),
-                   F.concat(F.lit(" bulan "), F.lpad(F.col("month").cast("string"), 2, "0")))
-    label = F.concat(label, F.coalesce(month, F.lit("")))
+                   F.concat(F.lit("Bulan: "), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit(" | ")))
+    label = F.concat(F.coalesce(month, F.lit("")), label)
     tip = F.format_string("Grid (%s, %s) | magnitudo rata-rata %s",
                           fixed("lat", 2), fixed("lon", 2), fixed("mag", 2))
     return points.withColumns({"label": label, "tooltip": tip})

@@ -171,10 +171,11 @@ def q_stream_score_records(spark, sf):
 
 
 @register("hotspot_label", build(f"""SELECT lat, lon,
+  coalesce('Bulan: ' || lpad(CAST(month AS VARCHAR), 2, '0') || ' | ', '') ||
   CASE WHEN historical_count IS NOT NULL AND historical_count <> count
-       THEN printf('Prediksi %d: %d kejadian (historis %d)', year, count, historical_count)
-       ELSE printf('Tahun %d: %d kejadian', year, count) END
-  || coalesce(' bulan ' || lpad(CAST(month AS VARCHAR), 2, '0'), '') AS label,
+       THEN printf('Frekuensi Historis (%d-%d): %d kejadian | Prediksi Frekuensi %d: %d kejadian',
+                   2008, 2025, historical_count, year, count)
+       ELSE printf('Frekuensi Historis: %d kejadian', count) END AS label,
   printf('Grid (%s, %s) | magnitudo rata-rata %s',
     printf('%.2f', floor(lat * 100.0 + 0.5) / 100.0), printf('%.2f', floor(lon * 100.0 + 0.5) / 100.0),
     printf('%.2f', floor(mag * 100.0 + 0.5) / 100.0)) AS tooltip
