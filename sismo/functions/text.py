@@ -29,17 +29,16 @@ def event_labels(df: DataFrame, ts: str = "datetime") -> DataFrame:
 
 
 def event_popup_text(df: DataFrame) -> DataFrame:
-    """One text line per event: magnitude (2 dp), depth, lat/lon (4 dp),
-    location (N/A when missing), time label."""
+    """One text line per event: time, date, clock time, magnitude (2 dp),
+    location (N/A when missing) and coordinates (4 dp)."""
     labelled = event_labels(df)
     text = F.format_string(
-        "Magnitudo: %s | Kedalaman: %s km | Lokasi: %s | Koordinat: %s, %s | Waktu: %s",
+        "Waktu: %s | Tanggal: %s | Jam: %s | Magnitudo: %s | Lokasi: %s | Koordinat: (%s, %s)",
+        F.col("dt_label"), F.col("date_label"), F.col("time_label"),
         F.coalesce(fixed("magnitude", 2), F.lit(NOT_AVAILABLE)),
-        F.coalesce(fixed("depth", 1), F.lit(NOT_AVAILABLE)),
         F.coalesce(F.col("location"), F.lit(NOT_AVAILABLE)),
         F.coalesce(fixed("latitude", 4), F.lit(NOT_AVAILABLE)),
-        F.coalesce(fixed("longitude", 4), F.lit(NOT_AVAILABLE)),
-        F.col("dt_label"))
+        F.coalesce(fixed("longitude", 4), F.lit(NOT_AVAILABLE)))
     return labelled.withColumn("popup", text).drop("dt_label", "date_label", "time_label")
 
 

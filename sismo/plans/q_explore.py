@@ -418,10 +418,12 @@ def q_event_labels(spark, sf):
     return tx.event_labels(cat(spark, sf)).select("event_id", "dt_label", "date_label", "time_label")
 
 
-@register("event_popup_text", build(f"""SELECT event_id, printf('Magnitudo: %s | Kedalaman: %s km | Lokasi: %s | Koordinat: %s, %s | Waktu: %s',
-  coalesce({fixed_sql('magnitude', 2)}, 'N/A'), coalesce({fixed_sql('depth', 1)}, 'N/A'),
-  coalesce(location, 'N/A'), coalesce({fixed_sql('latitude', 4)}, 'N/A'),
-  coalesce({fixed_sql('longitude', 4)}, 'N/A'),
-  coalesce(strftime(datetime, '%d %B %Y, %H:%M:%S WIB'), 'Tidak tersedia')) AS popup FROM cat""", "cat"))
+@register("event_popup_text", build(f"""SELECT event_id,
+  printf('Waktu: %s | Tanggal: %s | Jam: %s | Magnitudo: %s | Lokasi: %s | Koordinat: (%s, %s)',
+    coalesce(strftime(datetime, '%d %B %Y, %H:%M:%S WIB'), 'Tidak tersedia'),
+    coalesce(strftime(datetime, '%Y-%m-%d'), 'N/A'), coalesce(strftime(datetime, '%H:%M:%S'), 'N/A'),
+    coalesce({fixed_sql('magnitude', 2)}, 'N/A'), coalesce(location, 'N/A'),
+    coalesce({fixed_sql('latitude', 4)}, 'N/A'), coalesce({fixed_sql('longitude', 4)}, 'N/A')) AS popup
+FROM cat""", "cat"))
 def q_popup(spark, sf):
     return tx.event_popup_text(cat(spark, sf)).select("event_id", "popup")
