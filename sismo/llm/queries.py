@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op6_ngram_jaccard_join(spark, sf_dir):
+    from .ngram_join import ngram_join
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     from .quality import quality_rules
