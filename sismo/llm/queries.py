@@ -32,6 +32,12 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_sentence_span_dedup(spark, sf_dir):
+    from .sentence_spans import dedup_sentence_spans
+    return dedup_sentence_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
