@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+    from .packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op6_ngram_jaccard_join(spark, sf_dir):
     from .ngram_join import ngram_join
