@@ -255,7 +255,7 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(grp.select("node")).distinct()
     who = s.keep(wanted.join(classes.select("node", "first_id"), "node"), "wanted")
-    texts = docs.select("doc_id", "text").join(who.select("node", F.col("first_id").alias("doc_id")), "doc_id")
+    texts = docs.select("doc_id", "text").hint("merge").join(who.select("node", F.col("first_id").alias("doc_id")), "doc_id")
     sets = s.keep(texts.select("node", "text").mapInArrow(_setter(n), "node long, sh array<long>"), "sets")
     s.drop(who)
 
