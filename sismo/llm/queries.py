@@ -27,6 +27,13 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op5_token_id_files(spark, sf_dir):
+    import public_tokenizers
+    from .huffman import token_id_files
+    return token_id_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op6_ngram_jaccard_join(spark, sf_dir):
     from .ngram_join import ngram_join
