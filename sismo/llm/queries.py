@@ -26,6 +26,12 @@ def op2_benchmark_decontamination(spark, sf_dir):
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op3_license_scan(spark, sf_dir):
+    from .license_scan import license_scan
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_best_fit_packing(spark, sf_dir):
     import public_tokenizers
@@ -63,4 +69,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from .license_scan import oracle
+    return {**ORACLES, "op3_license_scan": oracle()}
