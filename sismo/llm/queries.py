@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_skip_chain_pii(spark, sf_dir):
+    from .pii import find_pii
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_benchmark_decontamination(spark, sf_dir):
     from .decontam import find_contamination

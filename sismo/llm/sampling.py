@@ -1,0 +1,17 @@
+"""Bounded, repeatable samples of labelled rows for fitting small models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def thin(docs: DataFrame, about: int) -> DataFrame:
+    """About ``about`` rows of ``docs``, all when there are fewer: those whose
+    id hash falls under a share taken from the row count. Only fitting uses
+    it; what is fitted then runs over every row."""
+    n = docs.count()
+    if n <= about:
+        return docs
+    part = 1 << 30
+    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) < int(part * about / n))
