@@ -205,9 +205,12 @@ def _softmax(s):
     return s / s.sum(axis=1, keepdims=True)
 
 
-def train(tokens: list[Tokens], labels: list[np.ndarray], steps: int = 1500, rate: float = 1.0, decay: float = 1e-5) -> Field | None:
+def train(tokens: list[Tokens], labels: list[np.ndarray], steps: int = 1500, rate: float = 1.0, decay: float = 1e-5,
+          chain_decay: float = 2e-3) -> Field | None:
     """Pseudo-likelihood: every token's label given its neighbours' labels,
-    by gradient ascent with momentum on all tokens at once. The ridge pulls
+    by gradient ascent with momentum on all tokens at once. Transitions are
+    held smaller than features: pseudo-likelihood overrates them, as it sees
+    the neighbours' true labels. The ridge pulls
     weights to 0 and the skip potential to SKIP_PRIOR, which stays where a
     corpus has no repeated mentions to learn it from."""
     k = len(KINDS) + 1
@@ -232,7 +235,7 @@ def train(tokens: list[Tokens], labels: list[np.ndarray], steps: int = 1500, rat
     for _ in range(steps):
         err = known * (target - _softmax(x @ u + before @ c + after @ c.T + s * linked))
         mu = 0.9 * mu + x.T @ err / n - decay * u
-        mc = 0.9 * mc + (before.T @ err + err.T @ after) / n - decay * c
+        mc = 0.9 * mc + (before.T @ err + err.T @ after) / n - chain_decay * c
         ms = 0.9 * ms + (err * linked).sum() / n - decay * (s - SKIP_PRIOR)
         u, c, s = u + rate * mu, c + rate * mc, s + rate * ms
     return Field(u, c, max(s, 0.0))
