@@ -64,6 +64,12 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_language_id(spark, sf_dir):
+    from .langid import identify_language
+    return identify_language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @query
 def op10_sentence_span_dedup(spark, sf_dir):
     from .sentence_spans import dedup_sentence_spans
