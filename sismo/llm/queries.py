@@ -70,6 +70,12 @@ def op8_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@query
+def op9_html_main_text(spark, sf_dir):
+    from .html_text import extract_text
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_sentence_span_dedup(spark, sf_dir):
     from .sentence_spans import dedup_sentence_spans
