@@ -228,20 +228,48 @@ def _step(shared):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids
-    (ascending, comma-joined), min_edits (null when clean)."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame):
+    """Indexes over blocks of about INDEX_CHARS characters of items each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-chars // INDEX_CHARS)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("items"),
-                      F.lit(None).cast("int").alias("edits"))
     for b in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()  # about INDEX_CHARS characters
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()
         index = build_index(sorted((r.item_id, r.text) for r in part))
         if index is not None:
-            out = out.mapInArrow(_step(spark.sparkContext.broadcast(index)), STATE)
+            yield index
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids
+    (ascending, comma-joined), min_edits (null when clean)."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("items"),
+                      F.lit(None).cast("int").alias("edits"))
+    for index in _blocks(benchmark):
+        out = out.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast(index)), STATE)
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"),
                       F.concat_ws(",", F.col("items").cast("array<string>")).alias("item_ids"),
                       F.col("edits").cast("long").alias("min_edits"))
+
+
+def _clean(shared, at):
+    def run(batches):
+        ix = shared.value
+        for batch in batches:
+            column = batch.column(at)
+            _, off_all = ta.utf8(column)
+            clean = np.ones(len(batch), bool)
+            for a, b in ta.slices(off_all, 2 << 20):
+                doc, _, _ = search(*normalise(column.slice(a, b - a)), ix)
+                clean[a + doc] = False
+            yield batch.filter(pa.array(clean))
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, with all their
+    columns."""
+    out = docs
+    for index in _blocks(benchmark):
+        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
+    return out

@@ -288,3 +288,13 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
             .select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.col("n_sh").cast("long").alias("n_shingles")))
+
+
+def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one document of each class, the one of smallest id, with
+    all its columns. Rows that share an id are one document, of which one row
+    stays; rows without an id stay all."""
+    named = docs.where("doc_id is not null")
+    heads = ngram_join(named, n, threshold, recall).where("doc_id = class_id").select("doc_id").distinct()
+    kept = named.hint("merge").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).union(docs.where("doc_id is null"))

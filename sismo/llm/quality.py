@@ -110,6 +110,13 @@ def in_bands(size: int, ratio: float | None, n_chunks: int, n_bad: int) -> bool:
     return low <= ratio <= high and n_bad <= MAX_BAD_CHUNKS * n_chunks
 
 
+def verdicts(buf, off, m, zstd):
+    """(word rules failed, kept, ratios) of every document of a slice."""
+    r = [ratios(buf[a:b].tobytes(), zstd) for a, b in zip(off[:-1], off[1:])]
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PCT * m["n_words"])
+    return failed, [not f and in_bands(int(s), *x) for f, s, x in zip(failed, np.diff(off), r)], r
+
+
 def _score(batches):
     import zstandard
     zstd = zstandard.ZstdCompressor(level=LEVEL)
@@ -119,9 +126,7 @@ def _score(batches):
             off = off_all[a:b + 1] - off_all[a]
             buf = buf_all[off_all[a]:off_all[b]]
             m = measures(buf, off)
-            r = [ratios(buf[off[i]:off[i + 1]].tobytes(), zstd) for i in range(b - a)]
-            failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PCT * m["n_words"])
-            kept = [not f and in_bands(int(s), *x) for f, s, x in zip(failed, np.diff(off), r)]
+            failed, kept, r = verdicts(buf, off, m, zstd)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a).cast(pa.int64()), *(pa.array(v, pa.int64()) for v in m.values()),
                  pa.array(failed), pa.array(kept, pa.bool_()), pa.array([x[0] for x in r], pa.float64()),
@@ -132,3 +137,21 @@ def _score(batches):
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts, ratios, verdict."""
     return docs.select("doc_id", "text").mapInArrow(_score, SCHEMA)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import zstandard
+        zstd = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            buf_all, off_all = ta.utf8(batch.column(at))
+            kept = []
+            for a, b in ta.slices(off_all):
+                off = off_all[a:b + 1] - off_all[a]
+                buf = buf_all[off_all[a]:off_all[b]]
+                kept += verdicts(buf, off, measures(buf, off), zstd)[1]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

@@ -82,6 +82,12 @@ def op10_sentence_span_dedup(spark, sf_dir):
     return dedup_sentence_spans(table(spark, sf_dir, "documents"))
 
 
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
