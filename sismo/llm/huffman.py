@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, scratch_path
 from . import textarr as ta
-from .tokens import tokenizer, with_end
+from .tokens import release, tokenizer, with_end
 
 END_ID = 2
 MAX_LENGTH = 20
 BLOCK = 1024
-SEGMENT = 1 << 20  # ids a segment has at most, but for a single longer document
+SEGMENT = 1 << 18  # ids a segment has at most, but for a single longer document
 
 SEGMENTS = ("shard int, first_id long, n_ids long, doc_ids binary, known binary, sizes binary, "
             "payload binary, checkpoints binary")
@@ -169,6 +169,7 @@ def _unpack(z, kind, data) -> np.ndarray:
 
 def _counted(batches):
     import zstandard
+    release()
     z = zstandard.ZstdDecompressor()
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
@@ -197,6 +198,7 @@ def _segments(length, segment, block):
 
     def run(batches):
         import zstandard
+        release()
         z = zstandard.ZstdDecompressor()
         shard, first, held, doc, ids = None, 0, 0, [], []
         for batch in batches:
@@ -238,6 +240,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, mos
 
 def _read(length, block):
     def run(batches):
+        release()
         decoder = Decoder(length)
         for batch in batches:
             for row in batch.to_pylist():

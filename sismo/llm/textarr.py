@@ -67,6 +67,19 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``segment_hash`` of ascending spans that do not overlap, in blocks of
+    bounded size."""
+    out = np.empty(len(start), U64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, side="right")))
+        lo, hi = start[i], end[j - 1]
+        out[i:j] = segment_hash(buf[lo:hi], start[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -125,14 +138,7 @@ def words(buf: np.ndarray, off: np.ndarray, separator: np.ndarray = IS_SPACE) ->
     start = np.flatnonzero(begins)
     end = np.flatnonzero(finish) + 1
     del begins, finish, inside
-    hashes = np.empty(len(start), U64)
-    i = 0
-    while i < len(start):  # blocks of whole words
-        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, side="right")))
-        lo, hi = start[i], end[j - 1]
-        hashes[i:j] = segment_hash(buf[lo:hi], start[i:j] - lo, end[i:j] - lo)
-        i = j
-    return Words(start, end, hashes, np.searchsorted(start, off))
+    return Words(start, end, spans_hash(buf, start, end), np.searchsorted(start, off))
 
 
 def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,9 +3,9 @@
 Both tokenizers used here cut a text before they merge, and always cut
 between a non-space character and an ASCII white space. So a text's ids are
 the ids of its words (each with the white space before it) joined. The words
-of a slice are made distinct with Arrow, only new ones go to the library, and
-numpy joins the ids. Texts with other Unicode white space, where that rule
-could fail, go to the library whole.
+of a slice are made distinct by 64-bit hashes, only new ones go to the
+library, and numpy joins the ids. Texts with other Unicode white space, where
+that rule could fail, go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ import os
 import re
 
 import numpy as np
-import pyarrow as pa
 
 from . import textarr as ta
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 2_000_000
 PER_CALL = 128
 SPACES = " \t\n\r\v\f"
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: letters of Latin-1 and at most one run of marks after them: one or two pieces
+SIMPLE = re.compile(r"[ \t\n\r\v\f]*[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?*#$%&|-]*)$")
 # First UTF-8 bytes (and second ones) that such white space can begin with.
 _LEAD = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
 
@@ -52,12 +53,19 @@ class WordTokenizer:
             self.sizes = np.zeros(max(spec["model"]["vocab"].values()) + 1, np.int64)
             for token, i in spec["model"]["vocab"].items():
                 self.sizes[i] = len(token)
+        #: ids that end a piece, when the merges mark the ends of pieces
+        self.ends = None
+        if spec["model"].get("end_of_word_suffix"):
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            for token, i in spec["model"]["vocab"].items():
+                self.ends[i] = token.endswith(spec["model"]["end_of_word_suffix"])
         self._forget()
 
     def _forget(self):
-        self.index: dict[str, int] = {}
+        self.known = np.zeros(0, np.uint64)   # hashes of known words, sorted
+        self.place = np.zeros(0, np.int32)    # their rows in the arrays below
+        self.begin, self.size = np.zeros((2, 0), np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin, self.size = np.zeros((2, 1 << 16), np.int64)
         self.used = 0
 
     def _split_ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,6 +78,16 @@ class WordTokenizer:
             last = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(new[i].encode()) for i in call])) + 1
             count[call] = np.diff(last, prepend=0)
             parts[call[0]] = ids
+        simple = [m and 1 + bool(m[1]) for m in map(SIMPLE.match, new)] if self.ends is not None else []
+        spaced = [i for i, n in enumerate(simple) if n]
+        for call, e in self._calls(spaced, new, lambda c: self.lib.encode_batch_fast([" ".join(w) for w in c], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)  # pieces end where their ids say so
+            piece_ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([simple[i] for i in call])
+            if len(piece_ends) == last[-1] and piece_ends[-1] == len(ids):
+                count[call] = np.diff(piece_ends[last - 1], prepend=0)
+                parts[call[0]] = ids
+        joined += [i for i in spaced if count[i]]
         alone = [i for i in range(len(new)) if count[i] == 0]
         for call, e in self._calls(alone, new, lambda c: self.lib.encode_batch(c, is_pretokenized=True, add_special_tokens=False)):
             count[call] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(call))
@@ -83,19 +101,33 @@ class WordTokenizer:
         calls = [numbers[i:i + PER_CALL] for i in range(0, len(numbers), PER_CALL)]
         return zip(calls, encode([[new[i] for i in c] for c in calls])) if calls else ()
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], hashes: np.ndarray) -> None:
         ids, order, count = self._split_ids(new)
-        known = len(self.index)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(new) > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         self.flat[self.used:self.used + len(ids)] = ids
-        self.begin[known + order] = self.used + np.cumsum(count[order]) - count[order]
-        self.size[known + order] = count[order]
+        begin = np.empty(len(new), np.int64)
+        begin[order] = self.used + np.cumsum(count[order]) - count[order]
         self.used += len(ids)
-        self.index.update(zip(new, range(known, known + len(new))))
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.place = np.insert(self.place, at, len(self.begin) + np.arange(len(new), dtype=np.int32))
+        self.begin = np.concatenate([self.begin, begin])
+        self.size = np.concatenate([self.size, count])
+
+    def _rows(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows of the words buf[bounds[i]:bounds[i + 1]]; learns new ones."""
+        distinct, one, which = np.unique(ta.spans_hash(buf, bounds[:-1], bounds[1:]), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        found = np.zeros(len(distinct), bool)
+        if len(self.known):
+            found = self.known[np.minimum(at, len(self.known) - 1)] == distinct
+        if len(missing := np.flatnonzero(~found)):
+            raw = memoryview(np.ascontiguousarray(buf))
+            spans = zip(bounds[one[missing]].tolist(), bounds[one[missing] + 1].tolist())
+            self._learn([str(raw[a:b], "utf-8") for a, b in spans], distinct[missing])
+            at = np.searchsorted(self.known, distinct)
+        return self.place[at][which]
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets of each document's ids)."""
@@ -104,22 +136,14 @@ class WordTokenizer:
         if len(at := _odd_bytes(buf)):
             for d in np.unique(np.searchsorted(off, at, side="right") - 1):
                 odd[d] = bool(ODD_SPACE.search(buf[off[d]:off[d + 1]].tobytes().decode()))
-        if len(self.index) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS:
             self._forget()
         space = ta.IS_SPACE[buf]
         cut = np.zeros(len(buf) + 1, bool)
         cut[off] = True
         cut[1:-1] |= space[1:] & ~space[:-1]
         bounds = np.flatnonzero(cut)
-        words = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(buf)) \
-            if len(bounds) > 1 else pa.array([], pa.large_string())
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        number = np.array([-1 if n is None else n for n in map(self.index.get, distinct)], np.int64)
-        if len(missing := np.flatnonzero(number < 0)):
-            number[missing] = np.arange(len(self.index), len(self.index) + len(missing))
-            self._learn([distinct[i] for i in missing])
-        which = number[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        which = self._rows(buf, bounds) if len(bounds) > 1 else np.zeros(0, np.int32)
         size = self.size[which]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -152,6 +176,11 @@ def tokenizer(path: str) -> WordTokenizer:
     return _KEPT[path]
 
 
+def release() -> None:
+    """Free the worker's tokenizer: later stages reuse the worker."""
+    _KEPT.clear()
+
+
 def with_end(flat: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Every document's ids followed by ``end_id``."""
     n = len(first) - 1
