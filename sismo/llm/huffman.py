@@ -152,7 +152,7 @@ def _ids(path, end_id):
         for batch in batches:
             doc = batch.column(0).cast(pa.int64())
             buf, off = ta.utf8(batch.column(1))
-            for a, b in ta.slices(off):
+            for a, b in ta.slices(off, 2 << 20):
                 flat, first = with_end(*tokenizer(path).encode(buf[off[a]:off[b]], off[a:b + 1] - off[a]), end_id)
                 kind = "<u2" if int(flat.max()) < 1 << 16 else "<u4"
                 raw = flat.astype(kind)
@@ -160,6 +160,7 @@ def _ids(path, end_id):
                     [doc.slice(a, b - a), pa.array(np.diff(first)), pa.array([kind] * (b - a)),
                      pa.array([z.compress(raw[first[i]:first[i + 1]].tobytes()) for i in range(b - a)], pa.binary())],
                     names=["doc_id", "n_tokens", "kind", "ids"])
+            ta.give_back()
     return run
 
 

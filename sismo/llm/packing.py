@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             buf, off = ta.utf8(batch.column(1))
-            for a, b in ta.slices(off):
+            for a, b in ta.slices(off, 2 << 20):
                 flat, first = with_end(*tokenizer(path).encode(buf[off[a]:off[b]], off[a:b + 1] - off[a]), end_id)
                 size = np.diff(first)
                 n = -(-size // capacity)
@@ -64,6 +64,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     [ids.slice(a, b - a).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ta.give_back()
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 

@@ -9,6 +9,7 @@ document is very long.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,11 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library: nothing to trim
+    _LIBC = None
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 BLOCK = 1 << 20
@@ -24,6 +30,14 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system. The C library keeps it for later
+    otherwise, and a Python worker shares its executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.empty(n, U64)
     p[0] = 1

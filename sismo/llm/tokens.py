@@ -10,7 +10,6 @@ that rule could fail, go to the library whole.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
@@ -18,7 +17,7 @@ import numpy as np
 
 from . import textarr as ta
 
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 600_000
 PER_CALL = 128
 SPACES = " \t\n\r\v\f"
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -43,28 +42,28 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        spec = json.loads(self.lib.to_str())
         self.lib.model._resize_cache(0)  # words come here once, so the library's own cache only costs
+        split, suffix = self.lib.pre_tokenizer, self.lib.model.end_of_word_suffix
+        vocab = self.lib.get_vocab(with_added_tokens=False)
         #: bytes of each id, when a text's tokens are exactly its bytes
         self.sizes = None
-        if spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]:
-            self.sizes = np.zeros(max(spec["model"]["vocab"].values()) + 1, np.int64)
-            for token, i in spec["model"]["vocab"].items():
-                self.sizes[i] = len(token)
+        if self.lib.normalizer is None and isinstance(split, ByteLevel) and not split.add_prefix_space:
+            self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.sizes[list(vocab.values())] = [len(t) for t in vocab]
         #: ids that end a piece, when the merges mark the ends of pieces
         self.ends = None
-        if spec["model"].get("end_of_word_suffix"):
-            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
-            for token, i in spec["model"]["vocab"].items():
-                self.ends[i] = token.endswith(spec["model"]["end_of_word_suffix"])
+        if suffix:
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[list(vocab.values())] = [t.endswith(suffix) for t in vocab]
         self._forget()
 
     def _forget(self):
         self.known = np.zeros(0, np.uint64)   # hashes of known words, sorted
         self.place = np.zeros(0, np.int32)    # their rows in the arrays below
-        self.begin, self.size = np.zeros((2, 0), np.int64)
+        self.begin, self.size = np.zeros((2, 0), np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -104,16 +103,16 @@ class WordTokenizer:
     def _learn(self, new: list[str], hashes: np.ndarray) -> None:
         ids, order, count = self._split_ids(new)
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 4 + len(ids), np.uint32)])
         self.flat[self.used:self.used + len(ids)] = ids
-        begin = np.empty(len(new), np.int64)
+        begin = np.empty(len(new), np.int32)
         begin[order] = self.used + np.cumsum(count[order]) - count[order]
         self.used += len(ids)
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
         self.place = np.insert(self.place, at, len(self.begin) + np.arange(len(new), dtype=np.int32))
         self.begin = np.concatenate([self.begin, begin])
-        self.size = np.concatenate([self.size, count])
+        self.size = np.concatenate([self.size, count.astype(np.int32)])
 
     def _rows(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows of the words buf[bounds[i]:bounds[i + 1]]; learns new ones."""
@@ -144,7 +143,7 @@ class WordTokenizer:
         cut[1:-1] |= space[1:] & ~space[:-1]
         bounds = np.flatnonzero(cut)
         which = self._rows(buf, bounds) if len(bounds) > 1 else np.zeros(0, np.int32)
-        size = self.size[which]
+        size = self.size[which].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.arange(total) + np.repeat(self.begin[which] - (ends - size), size)]
@@ -179,6 +178,7 @@ def tokenizer(path: str) -> WordTokenizer:
 def release() -> None:
     """Free the worker's tokenizer: later stages reuse the worker."""
     _KEPT.clear()
+    ta.give_back()
 
 
 def with_end(flat: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
