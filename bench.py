@@ -19,31 +19,6 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 
-def _train_autoencoder(spark, sf_dir):
-    """Full-size autoencoder (4-64-32-10-32-64-4), 30 epochs, batch 256,
-    last 10 % validation: the reference's training run, as Spark jobs."""
-    from sismo.operators import net, ordering
-    from sismo.plans import q_learn
-    s, _ = q_learn.scaled(spark, sf_dir)
-    res = net.fit_mlp(ordering.validation_tail(s, 0.1), q_learn.F4, epochs=30, batch=256,
-                      val_col="is_validation")
-    return net.loss_history(spark, res)
-
-
-def _train_recurrent(spark, sf_dir):
-    """2 x LSTM(50) forecaster on all cells' windows, 30 epochs, batch 32."""
-    from pyspark.sql import functions as F
-    from sismo.operators.forecast import forecaster_metrics
-    from sismo.operators.recurrent import fit_recurrent
-    from sismo.plans import q_series
-    sp = q_series.split(spark, sf_dir)
-    model = fit_recurrent(sp.where(F.col("is_train") == 1), epochs=30, batch=32)
-    return forecaster_metrics(model, sp.where(F.col("is_test") == 1))
-
-
-EXTRA = {"train_autoencoder_30ep": _train_autoencoder, "train_recurrent_30ep": _train_recurrent}
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -56,7 +31,6 @@ def main() -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sismo-bench-"))
     registry.load_all()
     runners = {n: registry.QUERIES[n] for n in registry.HEADLINE if n in registry.QUERIES}
-    runners.update(EXTRA)
     names = list(runners)
     only = os.environ.get("BENCH_ONLY")
     if only:

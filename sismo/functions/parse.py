@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import DATETIME_FORMATS
+from ..schema import DATE_REWRITES
 
 
-def parse_datetime_coerce(c: Column, formats=DATETIME_FORMATS) -> Column:
-    """Mixed-format parse; a value no format accepts becomes null.
+def parse_datetime_coerce(c: Column, rewrites=DATE_REWRITES) -> Column:
+    """Mixed-format parse; a value that is no date becomes null.
 
-    ``try_to_timestamp`` yields a session-zone timestamp; casting back to
-    ``timestamp_ntz`` restores the wall-clock value (sessions run in UTC)."""
-    parsed = [F.try_to_timestamp(c, F.lit(f)) for f in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    The date part is first rewritten to year-month-day, then cast to
+    ``timestamp_ntz``: any number of time fields and fraction digits, ``T``
+    or a space, and a zone suffix (dropped) are accepted, and the wall-clock
+    value never passes through the session's time zone."""
+    text = F.trim(c)
+    for pattern, order in rewrites:
+        text = F.regexp_replace(text, pattern, order)
+    return text.try_cast("timestamp_ntz")
 
 
-def parse_datetime_strict(c: Column, formats=DATETIME_FORMATS) -> Column:
-    """Like :func:`parse_datetime_coerce` but a non-null value that no
-    format accepts fails the query (the whole load aborts)."""
-    parsed = parse_datetime_coerce(c, formats)
+def parse_datetime_strict(c: Column, rewrites=DATE_REWRITES) -> Column:
+    """Like :func:`parse_datetime_coerce` but a non-null value that is no
+    date fails the query (the whole load aborts)."""
+    parsed = parse_datetime_coerce(c, rewrites)
     return F.when(c.isNotNull() & parsed.isNull(),
                   F.raise_error(F.concat(F.lit("unparseable datetime: "), c))
                   .cast("timestamp_ntz")).otherwise(parsed)

@@ -43,17 +43,21 @@ def event_popup_text(df: DataFrame) -> DataFrame:
 
 
 def hotspot_label(points: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """Both counts when ``historical_count`` is present and differs from
-    ``count`` (a learned forecast), else the historical frequency alone; a
-    zero-padded month in front when present; plus a tooltip."""
+    """``label``: predicted year, month (zero-padded, when present),
+    coordinates (4 dp), estimated magnitude (2 dp) and frequency: both counts
+    when ``historical_count`` is present and differs from ``count`` (a learned
+    forecast), else the historical one alone. ``tooltip``: coordinates and
+    magnitude."""
     hc, c = F.col("historical_count"), F.col("count")
     both = F.format_string("Frekuensi Historis (%d-%d): %d kejadian | Prediksi Frekuensi %d: %d kejadian",
                            F.lit(first), F.lit(last), hc, F.col("year"), c)
     one = F.format_string("Frekuensi Historis: %d kejadian", c)
-    label = F.when(hc.isNotNull() & (hc != c), both).otherwise(one)
+    frequency = F.when(hc.isNotNull() & (hc != c), both).otherwise(one)
     month = F.when(F.col("month").isNotNull(),
                    F.concat(F.lit("Bulan: "), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit(" | ")))
-    label = F.concat(F.coalesce(month, F.lit("")), label)
-    tip = F.format_string("Grid (%s, %s) | magnitudo rata-rata %s",
-                          fixed("lat", 2), fixed("lon", 2), fixed("mag", 2))
+    na = F.lit(NOT_AVAILABLE)
+    lat, lon, mag = (F.coalesce(fixed(x, dp), na) for x, dp in (("lat", 4), ("lon", 4), ("mag", 2)))
+    label = F.concat(F.format_string("Tahun Prediksi: %d | ", F.col("year")), F.coalesce(month, F.lit("")),
+                     F.format_string("Latitude: %s° | Longitude: %s° | Magnitudo Estimasi: %s | ", lat, lon, mag), frequency)
+    tip = F.format_string("Hotspot: %s°, %s° | Mag: %s", lat, lon, mag)
     return points.withColumns({"label": label, "tooltip": tip})

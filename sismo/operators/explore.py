@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import HIST_BINS, HIST_STEP, KDE_CUT, KDE_GRID
 from .quantiles import exact_quantiles
@@ -49,7 +52,7 @@ def year_magnitude_stats(df: DataFrame) -> DataFrame:
     mom = d.groupBy("year").agg(F.count("magnitude").alias("count"), F.min("magnitude").alias("min"),
                                 F.max("magnitude").alias("max"), F.avg("magnitude").alias("mean"))
     # one target row per year: few, so broadcast
-    med = exact_quantiles(d, "magnitude", (0.5,), by=("year",), broadcast_targets=True).select(
+    med = exact_quantiles(d, "magnitude", (0.5,), by=("year",)).select(
         "year", F.col("q_0_5").alias("median"))
     return mom.join(med, "year", "left")
 
@@ -110,16 +113,30 @@ def kde_1d(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = KDE_C
     lo = st.select("mn").scalar() - F.lit(cut) * bw
     hi = st.select("mx").scalar() + F.lit(cut) * bw
     step = (hi - lo) / F.lit(float(gridsize - 1))
-    weighted = vals.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("g")
-    contrib = weighted.select("x", "w", grid)
+    weighted = vals.groupBy("x").agg(F.count(F.lit(1)).alias("w")).withColumns({"_lo": lo, "_step": step, "_bw": bw})
+
+    def sums(batches):
+        """One row per grid point and task: the kernel sums of its values."""
+        total, g = None, np.arange(gridsize)
+        for batch in batches:
+            x, w, low, st, h = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(5))
+            if len(x) == 0 or not h[0] > 0:  # constant input: no density
+                continue
+            total = np.zeros(gridsize) if total is None else total
+            at = low[0] + g * st[0]
+            for i in range(0, len(x), 4096):
+                z = (at[:, None] - x[None, i:i + 4096]) / h[0]
+                total += np.exp(-0.5 * z * z) @ w[i:i + 4096]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(total)], names=["g", "k"])
+
+    contrib = weighted.select("x", "w", "_lo", "_step", "_bw").mapInArrow(sums, "g int, k double")
+    grid = vals.sparkSession.range(gridsize).select(F.col("id").cast("int").alias("g"))
     gx = lo + F.col("g") * step
-    z = F.try_divide(gx - F.col("x"), bw)          # constant input: bw = 0 -> null
-    contrib = contrib.select("g", (F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("k"))
     norm = n * bw * F.lit(math.sqrt(2.0 * math.pi))
-    return (contrib.groupBy("g").agg(F.sum("k").alias("s"))
-            .select(F.col("g").cast("int").alias("g"), gx.alias("x"),
-                    F.try_divide(F.col("s"), norm).alias("density")))
+    dens = contrib.groupBy("g").agg(F.sum("k").alias("s"))
+    return (grid.where(n > 0).join(dens, "g", "left")
+            .select("g", gx.alias("x"), F.try_divide(F.col("s"), norm).alias("density")))
 
 
 def correlation(df: DataFrame, x: str = "depth", y: str = "magnitude") -> DataFrame:
@@ -140,10 +157,10 @@ def kde_2d_by_group(df: DataFrame, x: str = "longitude", y: str = "latitude",
     grid: kernel covariance = sample covariance x n^(-1/3) (Scott, d = 2);
     each axis spans ``[min - cut*bw, max + cut*bw]``.
 
-    Per-group statistics (one row per group, a bounded table) are broadcast
-    to the points; every point generates its grid contributions in its own
-    task and a partial aggregation on (group, grid cell) collapses them
-    before the shuffle. Work is rows x gridsize^2."""
+    Repeated points are counted first; each task then adds up its points'
+    kernels on its groups' grids inside one array operation per batch and
+    emits one row per group and grid cell, which a final aggregation sums.
+    Work is distinct points x gridsize^2, nothing is exploded."""
     by = list(by)
     pts = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
@@ -162,17 +179,34 @@ def kde_2d_by_group(df: DataFrame, x: str = "longitude", y: str = "latitude",
         "sx": ((F.col("x_hi") + F.lit(cut) * F.sqrt("hxx")) - F.col("gx0")) / F.lit(float(gridsize - 1)),
         "sy": ((F.col("y_hi") + F.lit(cut) * F.sqrt("hyy")) - F.col("gy0")) / F.lit(float(gridsize - 1))})
     st = st.select(*by, "n", "hxx", "hyy", "hxy", "det", "gx0", "gy0", "sx", "sy")
-    idx = F.sequence(F.lit(0), F.lit(gridsize - 1))
-    j = (pts.join(F.broadcast(st), by)
-         .select("*", F.explode(idx).alias("gi")).select("*", F.explode(idx).alias("gj")))
-    dx = (F.col("gx0") + F.col("gi") * F.col("sx")) - F.col("_x")
-    dy = (F.col("gy0") + F.col("gj") * F.col("sy")) - F.col("_y")
-    q = (dx * dx * F.col("hyy") - F.lit(2.0) * dx * dy * F.col("hxy") + dy * dy * F.col("hxx")) / F.col("det")
-    contrib = j.select(*by, "gi", "gj", F.exp(F.lit(-0.5) * q).alias("k"))
-    dens = contrib.groupBy(*by, "gi", "gj").agg(F.sum("k").alias("s"))
-    out = dens.join(F.broadcast(st), by)
+    weighted = pts.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    types = {f.name: f for f in pts.schema.fields}
+    out_schema = T.StructType([*[types[b] for b in by], T.StructField("gi", T.IntegerType()), T.StructField("gj", T.IntegerType()),
+                               T.StructField("k", T.DoubleType())])
+    g = np.arange(gridsize)
+
+    def sums(batches):
+        for batch in batches:
+            t = batch.to_pandas()
+            for key, p in t.groupby(by, dropna=False, sort=False):
+                r = p.iloc[0]
+                total = np.zeros((gridsize, gridsize))
+                for i in range(0, len(p), 256):
+                    x, y, w = (p[c].to_numpy()[i:i + 256] for c in ("_x", "_y", "_w"))
+                    dx = (r["gx0"] + g * r["sx"])[None, :, None] - x[:, None, None]
+                    dy = (r["gy0"] + g * r["sy"])[None, None, :] - y[:, None, None]
+                    q = (dx * dx * r["hyy"] - 2.0 * dx * dy * r["hxy"] + dy * dy * r["hxx"]) / r["det"]
+                    total += np.tensordot(w.astype(float), np.exp(-0.5 * q), axes=1)
+                keys = [pa.array([k] * gridsize ** 2, batch.schema.field(b).type) for k, b in zip(key, by)]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(np.repeat(g, gridsize), pa.int32()), pa.array(np.tile(g, gridsize), pa.int32()), pa.array(total.ravel())],
+                    names=[*by, "gi", "gj", "k"])
+
+    dens = (weighted.join(st, by).mapInArrow(sums, out_schema)
+            .groupBy(*by, "gi", "gj").agg(F.sum("k").alias("s")))
+    out = dens.join(st, by)
     norm = F.col("n").cast("double") * F.lit(2.0 * math.pi) * F.sqrt("det")
-    return out.select(*by, F.col("gi").cast("int").alias("gi"), F.col("gj").cast("int").alias("gj"),
+    return out.select(*by, "gi", "gj",
                       (F.col("gx0") + F.col("gi") * F.col("sx")).alias("x"),
                       (F.col("gy0") + F.col("gj") * F.col("sy")).alias("y"),
                       (F.col("s") / norm).alias("density"))

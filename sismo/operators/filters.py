@@ -84,7 +84,7 @@ def explore_filter(df: DataFrame, years=None, mag_range=None, depth_range=None,
     if depth_range is None:
         dlo, dhi = bounds.select("d0").scalar(), bounds.select("d1").scalar()
         if truncate_bounds:
-            dlo, dhi = F.floor(dlo).cast("double"), F.floor(dhi).cast("double")
+            dlo, dhi = (b.cast("long").cast("double") for b in (dlo, dhi))  # toward zero
     else:
         dlo, dhi = F.lit(float(depth_range[0])), F.lit(float(depth_range[1]))
     return out.where((F.col("magnitude") >= lo) & (F.col("magnitude") <= hi)

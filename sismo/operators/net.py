@@ -1,26 +1,22 @@
-"""Small dense networks (autoencoder, latent encoder) as Spark jobs.
+"""Scoring with small dense networks (autoencoder, latent encoder).
 
 Weights are a list of ``(W, b)`` numpy pairs: a few thousand numbers, kept
 on the driver and shipped inside the task closure (a broadcast of bounded
 size). Two scoring paths:
 
 * :func:`score_columns` — the forward pass as column expressions, one column
-  per unit. Exact, JVM-side and SQL-checkable; for small nets.
+  per unit. Exact and JVM-side; for small nets.
 * :func:`score_arrow` — ``mapInPandas`` with numpy matmuls over Arrow
   batches; for the full 4-64-32-10-32-64-4 autoencoder.
 
-Training (:func:`fit_mlp`) is data-parallel SGD with model averaging
-(Zinkevich et al., 2010): each epoch is one Spark job in which every
-partition runs Adam minibatches over its own rows, starting from the
-current global weights; the driver averages the returned weights (and Adam
-moments) weighted by row counts. Only model-sized payloads move through the
-driver, never rows.
+Training a network is no Spark work and not part of this library; weights
+come from a saved table (``sources.files.load_model``). Without weights the
+flows fall back to MLlib PCA (``operators.pca``), a linear autoencoder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -28,25 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import AE_BATCH, AE_EPOCHS, AE_LAYERS, SEED
-
 Params = list[tuple[np.ndarray, np.ndarray]]
-MAX_MODEL_COPIES = 256   # training partitions (model replicas averaged per epoch)
 
 
 # ---------------------------------------------------------------------------
 # numpy core
 # ---------------------------------------------------------------------------
-def init_mlp(layers: Sequence[int], seed: int = SEED) -> Params:
-    """Glorot-uniform weights, zero biases."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for fan_in, fan_out in zip(layers[:-1], layers[1:]):
-        lim = np.sqrt(6.0 / (fan_in + fan_out))
-        out.append((rng.uniform(-lim, lim, size=(fan_in, fan_out)), np.zeros(fan_out)))
-    return out
-
-
 def forward_np(params: Params, x: np.ndarray, upto: int | None = None) -> np.ndarray:
     """ReLU hidden layers, linear output; ``upto`` = number of layers to run
     (the output of layer ``upto`` is returned, activated if hidden)."""
@@ -61,48 +44,6 @@ def forward_np(params: Params, x: np.ndarray, upto: int | None = None) -> np.nda
     return h
 
 
-def _backprop(params: Params, x: np.ndarray, y: np.ndarray):
-    """MSE loss (mean over rows and outputs) and gradients."""
-    acts = [x]
-    pre = []
-    h = x
-    n = len(params)
-    for i, (w, b) in enumerate(params):
-        z = h @ w + b
-        pre.append(z)
-        h = np.maximum(z, 0.0) if i < n - 1 else z
-        acts.append(h)
-    diff = acts[-1] - y
-    loss = float(np.mean(diff * diff))
-    g = 2.0 * diff / diff.size
-    grads = [None] * n
-    for i in range(n - 1, -1, -1):
-        if i < n - 1:
-            g = g * (pre[i] > 0)
-        grads[i] = (acts[i].T @ g, g.sum(axis=0))
-        if i > 0:
-            g = g @ params[i][0].T
-    return loss, grads
-
-
-def flatten(params: Params) -> np.ndarray:
-    return np.concatenate([np.concatenate([w.ravel(), b.ravel()]) for w, b in params])
-
-
-def unflatten(flat: np.ndarray, layers: Sequence[int]) -> Params:
-    out, k = [], 0
-    for a, b in zip(layers[:-1], layers[1:]):
-        w = flat[k:k + a * b].reshape(a, b)
-        k += a * b
-        out.append((w.copy(), flat[k:k + b].copy()))
-        k += b
-    return out
-
-
-def n_params(layers: Sequence[int]) -> int:
-    return sum(a * b + b for a, b in zip(layers[:-1], layers[1:]))
-
-
 # ---------------------------------------------------------------------------
 # Scoring
 # ---------------------------------------------------------------------------
@@ -186,148 +127,6 @@ def score_arrow(df: DataFrame, params: Params, in_cols: Sequence[str], mode: str
     return df.mapInPandas(run, schema)
 
 
-# ---------------------------------------------------------------------------
-# Training
-# ---------------------------------------------------------------------------
-@dataclass
-class TrainResult:
-    params: Params
-    layers: tuple[int, ...]
-    history: list[tuple[int, float, float | None]] = field(default_factory=list)
-
-
-_TRAIN_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType()),
-    T.StructField("vn", T.LongType()), T.StructField("vloss", T.DoubleType()),
-    T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("m", T.ArrayType(T.DoubleType())),
-    T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("t", T.LongType()),
-])
-
-
-def _epoch_fn(flat_w, flat_m, flat_v, t0, in_cols, out_cols, val_col, batch, lr, seed, epoch,
-              train: bool, loss_grad, row_loss):
-    """One epoch on one partition: Adam minibatches over the partition's
-    training rows (shuffled within each Arrow batch), validation loss of the
-    incoming weights on its validation rows."""
-    b1, b2, eps = 0.9, 0.999, 1e-7
-
-    def run(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, epoch, pid])
-        start = np.asarray(flat_w, dtype=np.float64)
-        w = start.copy()
-        m = np.asarray(flat_m).copy()
-        v = np.asarray(flat_v).copy()
-        t = int(t0)
-        n = vn = 0
-        loss_sum = vloss_sum = 0.0
-        for pdf in batches:
-            x_all = pdf[in_cols].to_numpy(dtype=np.float64)
-            y_all = pdf[out_cols].to_numpy(dtype=np.float64)
-            is_val = (pdf[val_col].to_numpy() == 1) if val_col else np.zeros(len(pdf), bool)
-            if is_val.any():
-                vloss_sum += float(np.sum(row_loss(start, x_all[is_val], y_all[is_val])))
-                vn += int(is_val.sum())
-            x, y = x_all[~is_val], y_all[~is_val]
-            if not train or len(x) == 0:
-                continue
-            order = rng.permutation(len(x))
-            for s in range(0, len(x), batch):
-                idx = order[s:s + batch]
-                loss, g = loss_grad(w, x[idx], y[idx], rng)
-                t += 1
-                m = b1 * m + (1 - b1) * g
-                v = b2 * v + (1 - b2) * g * g
-                w = w - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-                loss_sum += loss * len(idx)
-                n += len(idx)
-        yield pd.DataFrame({"n": [n], "loss": [loss_sum], "vn": [vn], "vloss": [vloss_sum],
-                            "w": [w.tolist()], "m": [m.tolist()], "v": [v.tolist()], "t": [t]})
-
-    return run
-
-
-def train_averaged(df: DataFrame, in_cols: Sequence[str], out_cols: Sequence[str], flat0: np.ndarray,
-                   loss_grad, row_loss, epochs: int, batch: int, lr: float = 1e-3,
-                   val_col: str | None = None, seed: int = SEED, partitions: int | None = None):
-    """Data-parallel Adam with per-epoch model averaging for any model given
-    as ``loss_grad(flat, x, y, rng) -> (loss, grad)`` and ``row_loss(flat,
-    x, y) -> per-row loss``. Returns (flat weights, history)."""
-    from ..session import cut_lineage
-    in_cols, out_cols = list(in_cols), list(out_cols)
-    spark = df.sparkSession
-    # one model copy (weights + Adam moments) per partition comes back each
-    # epoch: bound the copies so the driver payload stays model-sized
-    parts = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions", "8")),
-                              MAX_MODEL_COPIES)
-    cols = list(dict.fromkeys(in_cols + out_cols + ([val_col] if val_col else [])))
-    # fixed, hash-balanced partitions; written once so every epoch reads the
-    # same rows in the same partitions and the lineage stays short
-    data = cut_lineage(df.select(*cols).repartition(parts, *cols))
-    w = np.asarray(flat0, dtype=np.float64)
-    m = np.zeros_like(w)
-    v = np.zeros_like(w)
-    t = 0
-    history: list[tuple[int, float, float | None]] = []
-    for epoch in range(epochs + 1):
-        train = epoch < epochs
-        fn = _epoch_fn(w.tolist(), m.tolist(), v.tolist(), t, in_cols, out_cols, val_col, batch, lr,
-                       seed, epoch, train, loss_grad, row_loss)
-        rows = data.mapInPandas(fn, _TRAIN_SCHEMA).collect()
-        vn = sum(r["vn"] for r in rows)
-        vloss = (sum(r["vloss"] for r in rows) / vn) if vn else None
-        if epoch > 0:
-            history[-1] = (history[-1][0], history[-1][1], vloss)
-        if not train:
-            break
-        live = [r for r in rows if r["n"] > 0]
-        if not live:
-            break
-        n = sum(r["n"] for r in live)
-        wts = np.array([r["n"] for r in live], dtype=np.float64) / n
-        w = sum(wt * np.asarray(r["w"]) for wt, r in zip(wts, live))
-        m = sum(wt * np.asarray(r["m"]) for wt, r in zip(wts, live))
-        v = sum(wt * np.asarray(r["v"]) for wt, r in zip(wts, live))
-        t = int(max(r["t"] for r in live))
-        history.append((epoch + 1, sum(r["loss"] for r in live) / n, None))
-    return w, history
-
-
-def fit_mlp(df: DataFrame, in_cols: Sequence[str], out_cols: Sequence[str] | None = None,
-            layers: Sequence[int] = AE_LAYERS, epochs: int = AE_EPOCHS, batch: int = AE_BATCH,
-            lr: float = 1e-3, val_col: str | None = None, seed: int = SEED,
-            partitions: int | None = None) -> TrainResult:
-    """Train a ReLU MLP (linear output, MSE, Adam) by per-epoch model
-    averaging. ``val_col`` flags validation rows (never trained on); the
-    history holds (epoch, train loss, validation loss after the epoch)."""
-    layers = tuple(layers)
-    out_cols = list(out_cols or in_cols)
-
-    def loss_grad(flat, x, y, rng):
-        loss, grads = _backprop(unflatten(flat, layers), x, y)
-        return loss, flatten(grads)
-
-    def row_loss(flat, x, y):
-        r = forward_np(unflatten(flat, layers), x) - y
-        return np.mean(r * r, axis=1)
-
-    w, hist = train_averaged(df, in_cols, out_cols, flatten(init_mlp(layers, seed)), loss_grad,
-                             row_loss, epochs, batch, lr, val_col, seed, partitions)
-    return TrainResult(unflatten(w, layers), layers, hist)
-
-
-def loss_history(spark, result: TrainResult, long: bool = False) -> DataFrame:
-    """One row per epoch (epoch, loss, val_loss); ``long`` folds the two
-    loss columns into (epoch, kind, value) for charting."""
-    rows = [(int(e), float(l), None if vl is None else float(vl)) for e, l, vl in result.history]
-    df = spark.createDataFrame(rows, "epoch int, loss double, val_loss double")
-    if long:
-        return df.unpivot(["epoch"], ["loss", "val_loss"], "kind", "value")
-    return df
-
-
 def weights_table(spark, params: Params) -> DataFrame:
     """``layer, i, j, value``; biases have ``i = -1``."""
     rows = []
@@ -353,10 +152,12 @@ def params_from_rows(rows, layers: Sequence[int]) -> Params:
 
 def rule_params(layers: Sequence[int]) -> Params:
     """Deterministic dyadic weights for SQL-checkable scoring:
-    ``w = ((7i + 3j + 5l) mod 11 - 5) / 8``, ``b = ((5j + l) mod 7 - 3) / 16``."""
+    ``w = ((7i + 3j + 5l) mod 11 - 5) / d`` with d the next power of two from
+    the layer's inputs on (8 at least), ``b = ((5j + l) mod 7 - 3) / 16``."""
     out = []
     for li, (a, b) in enumerate(zip(layers[:-1], layers[1:])):
-        w = np.array([[((7 * i + 3 * j + 5 * li) % 11 - 5) / 8.0 for j in range(b)] for i in range(a)])
+        d = float(max(8, 1 << (a - 1).bit_length()))
+        w = np.array([[((7 * i + 3 * j + 5 * li) % 11 - 5) / d for j in range(b)] for i in range(a)])
         bias = np.array([((5 * j + li) % 7 - 3) / 16.0 for j in range(b)])
         out.append((w, bias))
     return out

@@ -1,34 +1,39 @@
 """Global row order without a global window.
 
 An unpartitioned window (``Window.orderBy`` without ``partitionBy``) moves
-every row into one task. Instead rows are range-partitioned on the order
-key (Spark samples the key, so a hot value is split by the tie-break
-columns), numbered inside each range partition with an ordinary partitioned
-window, and shifted by per-partition offsets. The offset table has one row
-per partition, a size bound fixed by configuration, so it is broadcast.
-
-The same machinery carries the "last non-null before / first non-null after"
-values across partition borders for linear interpolation.
-
-The range partitioner samples its bounds when a shuffle is planned, so two
-separately planned copies of the numbered frame may cut the data
-differently. The numbered frame is therefore checkpointed (reliably, into
-the shared checkpoint folder) before the offsets are derived from it: the
-offsets and the rows then come from the same files, and a lost executor
-cannot make them disagree.
+every row into one task. Instead rows are range-partitioned on the order key
+(Spark samples the key, so a hot value is split by the tie-break columns) and
+sorted inside the partitions: one exchange. ``monotonically_increasing_id``
+then holds the partition in its high bits and the local position in its low
+33 bits. The numbered rows are written once to the shared scratch folder,
+since the range partitioner samples its bounds anew whenever a shuffle is
+planned: offsets and rows then come from the same files, and a lost executor
+cannot make them disagree. The offset table has one row per partition.
+
+Interpolation carries the nearest non-null values along the sorted
+partitions in the same pass (Arrow batches, whole-array operations), and
+across partition borders by the same one-row-per-partition table.
+
+``with_position`` and ``interpolate_linear`` therefore run one write job when
+they are called; ``session.release_scratch`` deletes what they wrote.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import FEATURES
 from ..session import cut_lineage
 
-PID, LPOS = "_pid", "_lpos"
+MID, PID = "_mid", "_pid"
+LOCAL_BITS = 33
+LOCAL_MASK = (1 << LOCAL_BITS) - 1
 
 
 def time_order(ts: str = "datetime", tie: str = "event_id") -> list[Column]:
@@ -37,21 +42,26 @@ def time_order(ts: str = "datetime", tie: str = "event_id") -> list[Column]:
     return [F.col(ts).asc_nulls_last(), F.col(tie).asc()]
 
 
-def _n_parts(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def sorted_by_range(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """Rows in global order (partition after partition), numbered by ``_mid``.
+    The only exchange of every operator in this module."""
+    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+            .withColumn(MID, F.monotonically_increasing_id()))
 
 
-def _ranged(df: DataFrame, order: Sequence[Column], partitions: int | None) -> tuple[DataFrame, Window]:
-    ranged = (df.repartitionByRange(_n_parts(df, partitions), *order)
-              .withColumn(PID, F.spark_partition_id()))
-    return ranged, Window.partitionBy(PID).orderBy(*order)
+def part_of(mid: str = MID) -> Column:
+    return F.shiftright(F.col(mid), LOCAL_BITS)
 
 
-def _offsets(local: DataFrame, extra_aggs: Sequence[Column] = ()) -> DataFrame:
-    """Per partition: ``_off`` = rows in all earlier partitions (+ extras)."""
-    per = local.groupBy(PID).agg(F.count(F.lit(1)).alias("_n"), *extra_aggs)
+def place_of(mid: str = MID) -> Column:
+    return F.col(mid).bitwiseAND(F.lit(LOCAL_MASK))
+
+
+def offsets(local: DataFrame, size: Column | None = None, extra_aggs: Sequence[Column] = ()) -> DataFrame:
+    """Per partition: ``_off`` = rows (or ``size``) in all earlier partitions,
+    plus the extra aggregates. One row per partition."""
+    per = local.groupBy(part_of().alias(PID)).agg((F.count(F.lit(1)) if size is None else size).alias("_n"), *extra_aggs)
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     return per.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
 
@@ -59,13 +69,11 @@ def _offsets(local: DataFrame, extra_aggs: Sequence[Column] = ()) -> DataFrame:
 def with_position(df: DataFrame, order: Sequence[Column] | None = None, pos: str = "pos",
                   partitions: int | None = None) -> DataFrame:
     """Add a 0-based position in the global ``order`` (dense, unique)."""
-    order = list(order or time_order())
-    ranged, w = _ranged(df, order, partitions)
-    local = cut_lineage(ranged.withColumn(LPOS, (F.row_number().over(w) - 1).cast("long")))
-    offs = _offsets(local).select(PID, "_off")
-    return (local.join(F.broadcast(offs), PID)
-            .withColumn(pos, F.col("_off") + F.col(LPOS))
-            .drop(PID, LPOS, "_off"))
+    local = cut_lineage(sorted_by_range(df, list(order or time_order()), partitions), "ordered")
+    offs = offsets(local).select(PID, "_off")
+    return (local.withColumn(PID, part_of()).join(F.broadcast(offs), PID)  # a row per partition
+            .withColumn(pos, F.col("_off") + place_of())
+            .drop(PID, MID, "_off"))
 
 
 def sort_by_time(df: DataFrame, ts: str = "datetime", tie: str = "event_id",
@@ -74,6 +82,59 @@ def sort_by_time(df: DataFrame, ts: str = "datetime", tie: str = "event_id",
     return with_position(df, time_order(ts, tie), pos, partitions)
 
 
+def _filled(have: np.ndarray, back: bool) -> np.ndarray:
+    """Index of the nearest true entry at or before (after) each row, -1 if
+    there is none."""
+    if back:
+        i = _filled(have[::-1], False)[::-1]
+        return np.where(i >= 0, len(have) - 1 - i, -1)
+    return np.maximum.accumulate(np.where(have, np.arange(len(have)), -1))
+
+
+def _neighbours(cols: Sequence[str]):
+    """Adds to every row, per column, place and value of the nearest non-null
+    rows of its partition before and after it (null when there is none).
+    Rows that still wait for a value after them are held back with it."""
+    def emit(batch: pa.RecordBatch, last: dict) -> pa.RecordBatch:
+        place = batch.column(batch.schema.get_field_index(MID)).to_numpy() & LOCAL_MASK
+        extra, names = [], []
+        for c in cols:
+            col = batch.column(batch.schema.get_field_index(c))
+            have = col.is_valid().to_numpy(zero_copy_only=False)
+            value = col.fill_null(0.0).to_numpy(zero_copy_only=False)
+            for back in (False, True):
+                i = _filled(have, back)
+                p, v, no = place[i], value[i], i < 0
+                if not back and c in last:
+                    p, v, no = np.where(no, last[c][0], p), np.where(no, last[c][1], v), np.zeros(len(i), bool)
+                side = "next" if back else "prev"
+                extra += [pa.array(p, pa.int64(), mask=no), pa.array(v, pa.float64(), mask=no)]
+                names += [f"_{side}_p_{c}", f"_{side}_v_{c}"]
+            if have.any():
+                j = int(np.flatnonzero(have)[-1])
+                last[c] = (place[j], value[j])
+        return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last: dict[str, tuple] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            # rows before ``cut`` have a later value in every column, if they ever will here
+            ends = [np.flatnonzero(whole.column(whole.schema.get_field_index(c)).is_valid().to_numpy(zero_copy_only=False)) for c in cols]
+            cut = min((int(e[-1]) if len(e) else 0) for e in ends)
+            if cut:
+                yield emit(whole, dict(last)).slice(0, cut)
+                emit(whole.slice(0, cut), last)
+            held = [whole.slice(cut)]
+        if held:
+            yield emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0], last)
+    return run
+
+
 def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth"),
                        order: Sequence[Column] | None = None, pos: str = "pos",
                        partitions: int | None = None) -> DataFrame:
@@ -83,30 +144,17 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth
     non-null neighbours; leading nulls stay null, trailing nulls take the
     last value; columns are independent. Adds the position column ``pos``.
     """
-    order = list(order or time_order())
-    cols = list(cols)
-    ranged, w = _ranged(df, order, partitions)
-    # Both carries use running frames (unbounded preceding .. current row),
-    # which Spark evaluates in one pass; the "next non-null" one runs over
-    # the reversed local order. (A current .. unbounded following frame
-    # would be re-aggregated for every row: quadratic in the partition.)
-    upto = Window.partitionBy(PID).orderBy(F.col(LPOS).asc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    back = Window.partitionBy(PID).orderBy(F.col(LPOS).desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-
-    def mark(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(LPOS).alias("p"), F.col(c).alias("v")))
-
-    local = ranged.withColumn(LPOS, (F.row_number().over(w) - 1).cast("long"))
-    local = local.withColumns({f"_prev_{c}": F.last(mark(c), ignorenulls=True).over(upto) for c in cols})
-    local = local.withColumns({f"_next_{c}": F.last(mark(c), ignorenulls=True).over(back) for c in cols})
-    local = cut_lineage(local)
-    # Per partition: row count, first and last non-null (local pos, value).
+    order, cols = list(order or time_order()), list(cols)
+    ranged = sorted_by_range(df.withColumns({c: F.col(c).cast("double") for c in cols}), order, partitions)
+    more = [T.StructField(f"_{s}_{k}_{c}", T.LongType() if k == "p" else T.DoubleType())
+            for c in cols for s in ("prev", "next") for k in "pv"]
+    local = cut_lineage(ranged.mapInArrow(_neighbours(cols), T.StructType([*ranged.schema.fields, *more])), "ordered")
+    # per partition: row count, first and last non-null (place, value)
     extras = []
     for c in cols:
-        extras += [F.min(mark(c)).alias(f"_first_{c}"), F.max(mark(c)).alias(f"_last_{c}")]
-    offs = _offsets(local, extras)
+        mark = F.when(F.col(c).isNotNull(), F.struct(place_of().alias("p"), F.col(c).alias("v")))
+        extras += [F.min(mark).alias(f"_first_{c}"), F.max(mark).alias(f"_last_{c}")]
+    offs = offsets(local, None, extras)
     left = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     right = Window.orderBy(PID).rowsBetween(1, Window.unboundedFollowing)
 
@@ -120,21 +168,19 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth
         carries[f"_cr_{c}"] = F.first(glob(f"_first_{c}"), ignorenulls=True).over(right)
     offs = offs.withColumns(carries).select(PID, "_off", *carries.keys())
 
-    out = local.join(F.broadcast(offs), PID).withColumn(pos, F.col("_off") + F.col(LPOS))
+    out = local.withColumn(PID, part_of()).join(F.broadcast(offs), PID).withColumn(pos, F.col("_off") + place_of())
     filled = {}
     for c in cols:
-        prev_p = F.coalesce(F.col(f"_prev_{c}").p + F.col("_off"), F.col(f"_cl_{c}").p)
-        prev_v = F.coalesce(F.col(f"_prev_{c}").v, F.col(f"_cl_{c}").v)
-        next_p = F.coalesce(F.col(f"_next_{c}").p + F.col("_off"), F.col(f"_cr_{c}").p)
-        next_v = F.coalesce(F.col(f"_next_{c}").v, F.col(f"_cr_{c}").v)
+        prev_p = F.coalesce(F.col(f"_prev_p_{c}") + F.col("_off"), F.col(f"_cl_{c}").p)
+        prev_v = F.coalesce(F.col(f"_prev_v_{c}"), F.col(f"_cl_{c}").v)
+        next_p = F.coalesce(F.col(f"_next_p_{c}") + F.col("_off"), F.col(f"_cr_{c}").p)
+        next_v = F.coalesce(F.col(f"_next_v_{c}"), F.col(f"_cr_{c}").v)
         frac = (F.col(pos) - prev_p).cast("double") / (next_p - prev_p).cast("double")
         filled[c] = (F.when(F.col(c).isNotNull(), F.col(c))
                      .when(prev_v.isNull(), F.lit(None).cast("double"))
                      .when(next_v.isNull(), prev_v)
                      .otherwise(prev_v + (next_v - prev_v) * frac))
-    drop = [PID, LPOS, "_off"] + [k for c in cols for k in
-                                 (f"_prev_{c}", f"_next_{c}", f"_cl_{c}", f"_cr_{c}")]
-    return out.withColumns(filled).drop(*drop)
+    return out.withColumns(filled).select(*df.columns, pos)
 
 
 def distinct_features(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:

@@ -47,7 +47,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
     Moments come from one aggregate pass; quartiles are exact (linear
     interpolation between order statistics) from :func:`exact_quantiles`,
-    which sorts by range partitions instead of gathering values per group."""
+    which sorts distinct values by range partitions instead of gathering
+    values per group."""
     cols = list(cols or numeric_columns(df))
     moments = df.agg(*[F.struct(F.count(c).cast("long").alias("count"),
                                 F.avg(F.col(c).cast("double")).alias("mean"),
@@ -57,11 +58,10 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                        for c in cols])
     moments = moments.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c + ".*")) for c in cols])))
-    # all columns in one ordering pass: long form (column, value), quartiles
-    # per column (few groups, so the targets are broadcast)
+    # all columns in one ordering pass: long form (column, value), counted per distinct value
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "column", "v")
-    quarts = exact_quantiles(long, "v", (0.25, 0.5, 0.75), by=("column",), broadcast_targets=True)
+    quarts = exact_quantiles(long, "v", (0.25, 0.5, 0.75), by=("column",))
     quarts = quarts.select("column", F.col("q_0_25").alias("p25"), F.col("q_0_5").alias("p50"),
                            F.col("q_0_75").alias("p75"))
     return (moments.join(quarts, "column", "left")

@@ -1,64 +1,69 @@
 """Exact quantiles by order statistics, without gathering a group's values.
 
-Values are numbered in ``(group, value)`` order by range partitions (see
-``ordering.with_position``); the per-group start and count give the two
-order statistics around ``p * (n - 1)``, which are picked by an equi-join on
-the position and interpolated linearly (``lo + (hi - lo) * frac``, the
-``quantile_cont`` / numpy "linear" definition).
+Values are first counted: one row per (group, distinct value). These rows are
+put in order by range partitions (one exchange, see ``ordering``), running
+counts tell which ranks each value takes, and the two order statistics around
+``p * (n - 1)`` of a group are the values that take those ranks; between them
+the result is linear (``lo + (hi - lo) * frac``, the ``quantile_cont`` / numpy
+"linear" definition).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ordering import with_position
+from ..session import cut_lineage
+from .ordering import MID, PID, offsets, part_of, sorted_by_range
 
 
 def qname(p: float) -> str:
     return "q_" + repr(float(p)).replace(".", "_").replace("-", "m")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    broadcast_targets: bool | None = None, partitions: int | None = None) -> DataFrame:
-    """One row per group: ``*by, n, q_<p>...`` (nulls ignored).
+def _running(batches):
+    """Adds ``_end``: the running sum of ``_w`` in the partition."""
+    total = 0
+    for batch in batches:
+        end = total + np.cumsum(batch.column(batch.schema.get_field_index("_w")).to_numpy())
+        total = int(end[-1]) if len(end) else total
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(end, pa.int64())], names=[*batch.schema.names, "_end"])
+
 
-    The target table has groups x probs rows. It is broadcast when there is
-    no grouping (probs rows) or the caller declares the groups few
-    (``broadcast_targets=True``, e.g. years); otherwise the optimizer picks
-    the join from size statistics."""
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                    partitions: int | None = None) -> DataFrame:
+    """One row per group: ``*by, n, q_<p>...`` (null and NaN ignored; without
+    ``by`` one row even for empty input). Runs one write job when called."""
     by = list(by)
-    if broadcast_targets is None:
-        broadcast_targets = not by
-    vals = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    # The row id only splits runs of equal values across range partitions.
-    vals = vals.withColumn("_tie", F.monotonically_increasing_id())
-    ranked = with_position(vals, [*(F.col(b).asc() for b in by), F.col("_v").asc(), F.col("_tie")],
-                           pos="_q", partitions=partitions).drop("_tie")
-    stats = ranked.groupBy(*by).agg(F.min("_q").alias("_s"), F.count(F.lit(1)).alias("n"))
-    probs_arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                          for i, p in enumerate(probs)])
-    k = (F.col("n") - 1).cast("double") * F.col("t.p")
-    targets = (stats.select(*by, "n", "_s", F.explode(probs_arr).alias("t"))
-               .select(*by, "n", F.col("t.i").alias("i"),
-                       (F.col("_s") + F.floor(k)).cast("long").alias("_lo"),
-                       (F.col("_s") + F.ceil(k)).cast("long").alias("_hi"),
-                       (k - F.floor(k)).alias("_d")))
-    if broadcast_targets:
-        targets = F.broadcast(targets)
-    lo = ranked.select(F.col("_q").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = ranked.select(F.col("_q").alias("_hi"), F.col("_v").alias("_vhi"))
-    first = targets.join(lo, "_lo")
-    # at most groups x probs rows survive the first join
-    picked = (F.broadcast(first) if broadcast_targets else first).join(hi, "_hi")
-    value = F.when(F.col("_d") == 0, F.col("_vlo")).otherwise(
-        F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_d"))
-    picked = picked.select(*by, "n", "i", value.alias("_val"))
-    aggs = [F.max(F.when(F.col("i") == i, F.col("_val"))).alias(qname(p)) for i, p in enumerate(probs)]
-    out = picked.groupBy(*by, "n").agg(*aggs)
-    if not by:
-        # keep a row (with null quantiles) for empty input
-        out = stats.select("n").join(out, "n", "left")
-    return out
+    vals = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    seen = vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    ranged = sorted_by_range(seen, [*(F.col(b).asc() for b in by), F.col("_v").asc()], partitions)
+    local = cut_lineage(ranged.mapInArrow(_running, T.StructType([*ranged.schema.fields, T.StructField("_end", T.LongType())])), "values")
+    offs = offsets(local, F.sum("_w")).select(PID, "_off")
+    ranked = (local.withColumn(PID, part_of()).join(F.broadcast(offs), PID)  # a row per partition
+              .select(*by, "_v", (F.col("_off") + F.col("_end") - F.col("_w")).alias("_from"), (F.col("_off") + F.col("_end")).alias("_to")))
+    stats = ranked.groupBy(*by).agg(F.min("_from").alias("_s"), F.sum(F.col("_to") - F.col("_from")).alias("n"))
+    start, n = F.col("_s"), F.col("n")
+    rank = {p: (n - 1).cast("double") * F.lit(float(p)) for p in probs}
+    if by:  # null groups are groups too
+        on = reduce(lambda a, b: a & b, [F.col(f"r.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by])
+        joined = ranked.alias("r").join(stats.alias("s"), on).select(*[F.col(f"r.{b}").alias(b) for b in by], "_v", "_from", "_to", "_s", "n")
+    else:
+        joined = ranked.withColumns({"_s": F.lit(0), "n": stats.select("n").scalar()})
+    aggs = []
+    for i, p in enumerate(probs):
+        for side, at in (("lo", F.floor(rank[p])), ("hi", F.ceil(rank[p]))):
+            hit = (F.col("_from") <= start + at) & (start + at < F.col("_to"))
+            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
+    picked = joined.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
+    out = []
+    for i, p in enumerate(probs):
+        lo, hi, d = F.col(f"_lo{i}"), F.col(f"_hi{i}"), rank[p] - F.floor(rank[p])
+        out.append(F.when(d == 0, lo).otherwise(lo + (hi - lo) * d).alias(qname(p)))
+    return picked.select(*by, F.coalesce("n", F.lit(0)).alias("n") if not by else "n", *out)

@@ -52,8 +52,10 @@ def fit_standard(df: DataFrame, cols: Sequence[str] = FEATURES) -> StandardStats
                          tuple(float(rows[c]["std"]) for c in cols))
 
 
-def standard_scale(df: DataFrame, stats: StandardStats) -> DataFrame:
-    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in stats.as_rows()})
+def standard_scale(df: DataFrame, stats: StandardStats, prefix: str = "") -> DataFrame:
+    """Scaled columns under ``prefix`` + name; with a prefix the raw columns
+    stay beside them, so nothing has to be joined back."""
+    return df.withColumns({prefix + c: (F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in stats.as_rows()})
 
 
 def fit_minmax(df: DataFrame, cols: Sequence[str] = FEATURES) -> MinMaxStats:

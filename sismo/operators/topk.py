@@ -1,12 +1,9 @@
-"""Top-k, caps and seeded exact-size samples.
-
-Each is an ``orderBy(...).limit(k)`` that Spark plans as
-``TakeOrderedAndProject``: every partition keeps its own k best rows and
-only those reach the final merge. For a large k (thousands of markers or
-sampled rows) the merge would receive k rows from each of thousands of
-partitions, so a cheap pre-filter that is monotone in the sort key first
-keeps only slightly more than k rows; when fewer than k survive, the
-unfiltered form runs instead, so the result is always exact.
+"""Top-k and seeded exact-size samples.
+
+A small k is an ``orderBy(...).limit(k)`` that Spark plans as
+``TakeOrderedAndProject``. Thousands of markers or sampled rows would send k
+rows of every partition into one merge, so these number the rows in sort
+order (one range exchange, see ``ordering``) and keep the positions below k.
 """
 
 from __future__ import annotations
@@ -16,7 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import MARKER_CAP, MARKER_CAPS, SEED
+from ..schema import SEED
+from .ordering import with_position
+
+_POS = "_rank"
 
 
 def top_k(df: DataFrame, by: str, k: int = 10, tie: Sequence[str] = ()) -> DataFrame:
@@ -24,35 +24,11 @@ def top_k(df: DataFrame, by: str, k: int = 10, tie: Sequence[str] = ()) -> DataF
     return df.orderBy(F.col(by).desc(), *tie).limit(k)
 
 
-def marker_cap(n: int, caps=MARKER_CAPS, default: int = MARKER_CAP) -> int:
-    for above, cap in caps:
-        if n > above:
-            return cap
-    return default
-
-
-PREFILTER_RATIO = 4      # pre-filter only when rows > 4 x k
-PREFILTER_SLACK = 1.5    # keep ~1.5 x k rows before the exact top-k
-
-
-def top_magnitude_markers(df: DataFrame, cap: int | None = None, tie: str = "event_id") -> DataFrame:
-    """Keep all rows when there are at most ``cap``, else the ``cap`` largest
-    magnitudes (ties keep the earlier row). Without ``cap`` the tiered cap
-    is chosen from the row count (one count job on the driver). With many
-    more rows than ``cap``, rows below an approximate magnitude quantile
-    are dropped first (every row at or above it is kept, so ties stay)."""
-    n = df.count()
-    if cap is None:
-        cap = marker_cap(n)
-    ordered = [F.col("magnitude").desc_nulls_last(), F.col(tie)]
-    if n > PREFILTER_RATIO * cap:
-        q = 1.0 - min(1.0, PREFILTER_SLACK * cap / n)
-        t = df.agg(F.percentile_approx("magnitude", q, 10000).alias("t")).first()["t"]
-        if t is not None:
-            kept = df.where(F.col("magnitude") >= F.lit(t))
-            if kept.count() >= cap:
-                return kept.orderBy(*ordered).limit(cap)
-    return df.orderBy(*ordered).limit(cap)
+def top_magnitude_markers(df: DataFrame, cap: int, tie: str = "event_id") -> DataFrame:
+    """The ``cap`` rows of largest magnitude (nulls last, ties keep the
+    earlier row); all rows when there are no more."""
+    order = [F.col("magnitude").desc_nulls_last(), F.col(tie).asc()]
+    return with_position(df, order, _POS).where(F.col(_POS) < cap).drop(_POS)
 
 
 def sample_key(id_col: str = "event_id", seed: int = SEED):
@@ -62,19 +38,9 @@ def sample_key(id_col: str = "event_id", seed: int = SEED):
 
 def sample_exact_n(df: DataFrame, n: int, seed: int = SEED, id_col: str = "event_id") -> DataFrame:
     """Uniform sample of exactly ``min(n, rows)`` rows without replacement:
-    the ``n`` smallest seeded md5 keys. With many rows, only keys whose
-    first 32 bits fall below ``~1.5 n / rows`` of the range are sorted (the
-    prefix order agrees with the full key order, so this is exact)."""
-    key = sample_key(id_col, seed)
-    ordered = df.orderBy(key, F.col(id_col))
-    rows = df.count()
-    if rows > PREFILTER_RATIO * n:
-        prefix = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
-        bound = int(min(1.0, PREFILTER_SLACK * n / rows + 1e-9) * 2 ** 32) + 1
-        kept = df.where(prefix < F.lit(bound))
-        if kept.count() >= n:
-            return kept.orderBy(key, F.col(id_col)).limit(n)
-    return ordered.limit(n)
+    the ``n`` smallest seeded md5 keys."""
+    order = [sample_key(id_col, seed).asc(), F.col(id_col).asc()]
+    return with_position(df, order, _POS).where(F.col(_POS) < n).drop(_POS)
 
 
 def last_n_years(yearly: DataFrame, n: int = 5, year: str = "year") -> DataFrame:

@@ -41,13 +41,8 @@ def cat_ym(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# 2.1 sources (typed catalogue)
+# 2.1 / 2.3 cleaning
 # ---------------------------------------------------------------------------
-@register("read_catalog", build("SELECT * FROM cat", "cat"))
-def q_read_catalog(spark, sf):
-    return cat(spark, sf)
-
-
 @register("prediction_clean", build("SELECT * FROM clean", "clean"))
 def q_prediction_clean(spark, sf):
     return clean(spark, sf)

@@ -12,7 +12,7 @@ from ..operators import filters as flt
 from ..operators import ordering as od
 from ..operators import profile as pf
 from ..operators import topk as tk
-from ..schema import FEATURES
+from ..schema import FEATURES, MARKER_CAP
 from ..sources import fixtures as fx
 from .q_core import cat, cat_ym, clean
 from .registry import register
@@ -194,7 +194,7 @@ def q_explore_filter(spark, sf):
 
 @register("explore_filter_defaults", build("""SELECT * FROM cat_ym
 WHERE magnitude >= (SELECT min(magnitude) FROM cat_ym) AND magnitude <= (SELECT max(magnitude) FROM cat_ym)
-  AND depth >= (SELECT floor(min(depth)) FROM cat_ym) AND depth <= (SELECT floor(max(depth)) FROM cat_ym)""",
+  AND depth >= (SELECT trunc(min(depth)) FROM cat_ym) AND depth <= (SELECT trunc(max(depth)) FROM cat_ym)""",
     "cat_ym"))
 def q_explore_filter_defaults(spark, sf):
     return flt.explore_filter(cat_ym(spark, sf), truncate_bounds=True)
@@ -401,10 +401,9 @@ def q_sample(spark, sf):
 
 
 @register("top_magnitude_markers", build("""SELECT * FROM clean ORDER BY magnitude DESC NULLS LAST, event_id
-LIMIT (SELECT CASE WHEN count(*) > 10000 THEN 3000 WHEN count(*) > 5000 THEN 4000 ELSE 5000 END FROM clean)""",
-    "clean"))
+LIMIT 5000""", "clean"))
 def q_top_markers(spark, sf):
-    return tk.top_magnitude_markers(clean(spark, sf))
+    return tk.top_magnitude_markers(clean(spark, sf), MARKER_CAP)
 
 
 # ---------------------------------------------------------------------------

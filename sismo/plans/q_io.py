@@ -12,13 +12,13 @@ from ..operators import forecast as fc
 from ..operators import net
 from ..operators import scale as sc
 from ..operators import spatial as sp
-from ..schema import FEATURES, METHOD_FREQUENCY
+from ..schema import AE_LAYERS, FEATURES, METHOD_FREQUENCY
 from ..session import scratch_path
 from ..sources import files as io
 from ..sources import fixtures as fx
 from ..streaming.score import stream_score_records
 from .q_core import HOTSPOT_FREQ_BODY, clean
-from .q_learn import CHECK_PARAMS, dedup, scaled
+from .q_learn import CHECK_PARAMS, ZF, dedup, scaled
 from .q_series import series
 from .registry import register
 from .sqlkit import R6, build, r6
@@ -26,9 +26,21 @@ from .sqlkit import R6, build, r6
 F4 = list(FEATURES)
 
 
-@register("read_catalog_csv", build(f"""SELECT event_id, {fx.PARSE_DT_SQL.format(c='datetime')} AS datetime,
-  {fx.PARSE_NUM_SQL.format(c='magnitude')} AS magnitude, depth, latitude, longitude, location
-FROM cat_raw""", "cat_raw"))
+_READ_SQL = f"""SELECT event_id + 7 AS note, {fx.PARSE_DT_SQL.format(c='datetime')} AS datetime,
+  {fx.PARSE_NUM_SQL.format(c='magnitude')} AS magnitude, depth, latitude, longitude, location FROM cat_raw"""
+
+
+@register("read_catalog", build(_READ_SQL, "cat_raw"))
+def q_read_catalog(spark, sf):
+    """A CSV with its columns in another order, one extra and no event_id."""
+    path = scratch_path(spark, "catalog-csv")
+    text = fx.catalog_text(spark, sf, junk=True).withColumn("note", F.col("event_id") + 7)
+    io.write_csv(text.select("location", "depth", "datetime", "note", "longitude", "magnitude", "latitude"), path)
+    return io.read_catalog(spark, path, "csv").select(
+        F.col("note").cast("long").alias("note"), "datetime", "magnitude", "depth", "latitude", "longitude", "location")
+
+
+@register("read_catalog_csv", build(_READ_SQL.replace("event_id + 7 AS note", "event_id"), "cat_raw"))
 def q_read_catalog_csv(spark, sf):
     path = scratch_path(spark, "catalog-csv")
     io.write_csv(fx.catalog_text(spark, sf, junk=True), path)
@@ -47,7 +59,7 @@ def q_write_csv(spark, sf):
 @register("read_preprocessed", build("SELECT magnitude, depth, latitude, longitude FROM feat", "feat"))
 def q_read_preprocessed(spark, sf):
     path = scratch_path(spark, "preprocessed-csv")
-    io.write_csv(dedup(spark, sf).select(*F4), path)
+    io.write_csv(dedup(spark, sf).select("longitude", "pos", "depth", "magnitude", "latitude"), path)
     return io.read_preprocessed(spark, path)
 
 
@@ -58,7 +70,7 @@ _POINTS_SQL = f"""SELECT row_number() OVER (ORDER BY count DESC, lat, lon) - 1 A
 def _saved_points(spark, sf):
     path = scratch_path(spark, "predictions-json")
     pts = sp.hotspots_frequency(clean(spark, sf))
-    io.write_predictions(pts, METHOD_FREQUENCY, path)
+    io.write_predictions(pts, METHOD_FREQUENCY, path, k=15)
     return path
 
 
@@ -112,26 +124,26 @@ def q_load_scaler(spark, sf):
     return loaded.select("feature", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-def _trained_model_path(spark, sf, epochs=2):
-    s, _ = scaled(spark, sf)
-    res = net.fit_mlp(s, F4, layers=(4, 64, 32, 10, 32, 64, 4), epochs=epochs)
+def _saved_model(spark):
     path = scratch_path(spark, "model")
-    io.save_model(net.weights_table(spark, res.params), path)
-    return path, s
+    io.save_model(net.weights_table(spark, CHECK_PARAMS), path)
+    return path
 
 
-@register("save_model")
+@register("save_model", "SELECT * FROM (VALUES " + ", ".join(
+    f"(CAST({i} AS INTEGER), CAST({a * b + b} AS BIGINT), {float(abs(w).sum() + abs(v).sum())!r})"
+    for i, ((a, b), (w, v)) in enumerate(zip(zip(AE_LAYERS[:-1], AE_LAYERS[1:]), CHECK_PARAMS)))
+    + ") t(layer, n_values, l1)")
 def q_save_model(spark, sf):
-    path, _ = _trained_model_path(spark, sf)
-    w = io.load_model(spark, path)
+    w = io.load_model(spark, _saved_model(spark))
     return w.groupBy("layer").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.abs("value")).alias("l1"))
 
 
-@register("load_model")
+@register("load_model", build(f"SELECT pos, {R6('err')} AS reconstruction_error FROM scored", "scored"))
 def q_load_model(spark, sf):
-    path, s = _trained_model_path(spark, sf)
-    params = net.params_from_rows(io.load_model(spark, path).collect(), (4, 64, 32, 10, 32, 64, 4))
-    return an.anomaly_counts(an.anomaly_report(net.score_arrow(s, params, F4)))
+    """Scores with the loaded weights."""
+    params = net.params_from_rows(io.load_model(spark, _saved_model(spark)).collect(), AE_LAYERS)
+    return net.score_arrow(scaled(spark, sf), params, ZF).select("pos", r6("reconstruction_error").alias("reconstruction_error"))
 
 
 @register("reuse_predictions", build(
@@ -160,9 +172,9 @@ def q_forecast_with_fallback(spark, sf):
   CAST(r.err > t.threshold AS INTEGER) AS is_anomaly FROM rec_scored r, thr t""", "records"))
 def q_stream_score_records(spark, sf):
     from .q_core import cat
-    s, d = scaled(spark, sf)
+    d = dedup(spark, sf)
     stats = sc.fit_standard(d)
-    thr = an.anomaly_threshold(net.reconstruction_error_columns(s, CHECK_PARAMS, F4)).first()["threshold"]
+    thr = an.anomaly_threshold(net.score_arrow(sc.standard_scale(d, stats, "z_"), CHECK_PARAMS, ZF)).first()["threshold"]
     src, sink, ckpt = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-ckpt"))
     cat(spark, sf).repartition(8, "event_id").write.parquet(src)
     stream_score_records(spark, src, sink, ckpt, stats, CHECK_PARAMS, thr)
@@ -170,15 +182,18 @@ def q_stream_score_records(spark, sf):
     return out.select("event_id", r6("reconstruction_error").alias("reconstruction_error"), "is_anomaly")
 
 
+_FIX = "printf('%.{1}f', floor({0} * {2} + 0.5) / {2})"
+_LAT, _LON, _MAG = (_FIX.format(c, dp, float(10 ** dp)) for c, dp in (("lat", 4), ("lon", 4), ("mag", 2)))
+
+
 @register("hotspot_label", build(f"""SELECT lat, lon,
-  coalesce('Bulan: ' || lpad(CAST(month AS VARCHAR), 2, '0') || ' | ', '') ||
+  printf('Tahun Prediksi: %d | ', year) || coalesce('Bulan: ' || lpad(CAST(month AS VARCHAR), 2, '0') || ' | ', '')
+  || printf('Latitude: %s° | Longitude: %s° | Magnitudo Estimasi: %s | ', {_LAT}, {_LON}, {_MAG}) ||
   CASE WHEN historical_count IS NOT NULL AND historical_count <> count
        THEN printf('Frekuensi Historis (%d-%d): %d kejadian | Prediksi Frekuensi %d: %d kejadian',
                    2008, 2025, historical_count, year, count)
        ELSE printf('Frekuensi Historis: %d kejadian', count) END AS label,
-  printf('Grid (%s, %s) | magnitudo rata-rata %s',
-    printf('%.2f', floor(lat * 100.0 + 0.5) / 100.0), printf('%.2f', floor(lon * 100.0 + 0.5) / 100.0),
-    printf('%.2f', floor(mag * 100.0 + 0.5) / 100.0)) AS tooltip
+  printf('Hotspot: %s°, %s° | Mag: %s', {_LAT}, {_LON}, {_MAG}) AS tooltip
 FROM (SELECT lat_bin AS lat, lon_bin AS lon, CAST(greatest(0.0, round_even({fc.WEIGHTED_AVERAGE.sql()} * s_range + s_min, 0)) AS BIGINT) AS count,
   historical_count, mean_mag AS mag, CAST(2026 AS INTEGER) AS year, CAST(NULL AS INTEGER) AS month
   FROM lastseq ORDER BY count DESC, lat, lon LIMIT 15)""", "lastseq"))

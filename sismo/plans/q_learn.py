@@ -1,6 +1,6 @@
-"""Registered queries: scaling, network scoring with fixed dyadic weights,
-anomaly flags, grouped K-Means, silhouettes, and the trained (rows-only)
-autoencoder / PCA paths."""
+"""Registered queries: scaling, network scoring with fixed dyadic weights
+(the full 4-64-32-10-32-64-4 autoencoder), anomaly flags, K-Means per year run
+to convergence, silhouettes, densities and MLlib PCA."""
 
 from __future__ import annotations
 
@@ -13,15 +13,16 @@ from ..operators import ordering as od
 from ..operators import scale as sc
 from ..operators import silhouette as sil
 from ..operators import topk as tk
-from ..schema import FEATURES
+from ..schema import AE_LATENT_LAYER, AE_LAYERS, AE_VALIDATION, FEATURES
 from .q_explore import interp
 from .registry import register
 from .sqlkit import R6, build, cte, r6
 
 F4 = list(FEATURES)
-CHECK_LAYERS = (4, 6, 3, 6, 4)
-CHECK_PARAMS = net.rule_params(CHECK_LAYERS)
-KM_ITERS = 5
+ZF = [f"z_{c}" for c in F4]                       # scaled features, beside the raw ones
+CHECK_PARAMS = net.rule_params(AE_LAYERS)
+N_LATENT = AE_LAYERS[AE_LATENT_LAYER]
+LATENTS = [f"latent_feature_{j}" for j in range(N_LATENT)]
 
 
 # ---------------------------------------------------------------------------
@@ -35,19 +36,22 @@ def dedup(spark, sf):
 
 
 def scaled(spark, sf):
+    """Raw features with the scaled ones beside them."""
     d = dedup(spark, sf)
-    return sc.standard_scale(d, sc.fit_standard(d)), d
+    return sc.standard_scale(d, sc.fit_standard(d), "z_")
 
 
 def scored_fixed(spark, sf):
-    s, _ = scaled(spark, sf)
-    return net.reconstruction_error_columns(s, CHECK_PARAMS, F4)
+    return net.score_arrow(scaled(spark, sf), CHECK_PARAMS, ZF)
+
+
+def encoded(df):
+    return net.score_arrow(df, CHECK_PARAMS, ZF, mode="latent", upto=AE_LATENT_LAYER)
 
 
 def kmeans_fixed(spark, sf):
-    s, _ = scaled(spark, sf)
-    labelled, res = km.kmeans_by_year(s, F4, k=2, max_iter=KM_ITERS, tol=-1.0)
-    return labelled, res
+    """Labelled rows (raw and scaled features) and the fit."""
+    return km.kmeans_by_year(scaled(spark, sf), ZF, k=2)
 
 
 # ---------------------------------------------------------------------------
@@ -60,7 +64,7 @@ fstats AS (SELECT avg(magnitude) AS mu0, CASE WHEN stddev_pop(magnitude) = 0 THE
   avg(latitude) AS mu2, CASE WHEN stddev_pop(latitude) = 0 THEN 1.0 ELSE stddev_pop(latitude) END AS sd2,
   avg(longitude) AS mu3, CASE WHEN stddev_pop(longitude) = 0 THEN 1.0 ELSE stddev_pop(longitude) END AS sd3
   FROM feat),
-fscaled AS (SELECT f.pos, f.year, f.magnitude AS m_raw, f.depth AS d_raw,
+fscaled AS (SELECT f.pos, f.year, f.magnitude AS m_raw, f.depth AS d_raw, f.latitude AS lat_raw, f.longitude AS lon_raw,
   (f.magnitude - s.mu0) / s.sd0 AS magnitude, (f.depth - s.mu1) / s.sd1 AS depth,
   (f.latitude - s.mu2) / s.sd2 AS latitude, (f.longitude - s.mu3) / s.sd3 AS longitude
   FROM feat f, fstats s)""", ("dedup",))
@@ -97,13 +101,13 @@ thr AS (SELECT avg(err) + 3.0 * stddev_pop(err) AS threshold, avg(err) AS mean_e
   stddev_pop(err) AS std_error FROM scored),
 flagged AS (SELECT s.*, CAST(s.err > t.threshold AS INTEGER) AS is_anomaly FROM scored s, thr t)""",
     ("recnet",))
-cte("encnet", _net_sql("fscaled", CHECK_PARAMS, F4, "en", upto=2), ("feat",))
+cte("encnet", _net_sql("fscaled", CHECK_PARAMS, F4, "en", upto=AE_LATENT_LAYER), ("feat",))
 
 
-def _km_sql(k: int = 2, iters: int = KM_ITERS) -> str:
-    """Unrolled twin of ``kmeans_by_group`` (farthest-point init, ``iters``
-    Lloyd updates, canonical relabelling, final assignment)."""
-    fs = F4
+def _km_sql(src: str = "fscaled", fs=tuple(F4), name: str = "", k: int = 2) -> str:
+    """Twin of ``kmeans_by_group``: farthest-point init, Lloyd updates as a
+    recursive CTE until no centre of a group moves, canonical relabelling,
+    final assignment (``{name}km_lab``, centres ``{name}c_rank``)."""
     d = len(fs)
 
     def sqd(x: str, c: str, j: int) -> str:
@@ -112,45 +116,46 @@ def _km_sql(k: int = 2, iters: int = KM_ITERS) -> str:
     def least(items: list[str]) -> str:
         return items[0] if len(items) == 1 else f"least({', '.join(items)})"
 
-    parts = [f"""km_in AS (SELECT * FROM fscaled WHERE year IS NOT NULL
-  AND year IN (SELECT year FROM fscaled GROUP BY year HAVING count(*) >= {k}))""",
-             f"""c_init0 AS (SELECT year, {', '.join(f'arg_min({f}, pos) AS a0_{i}' for i, f in enumerate(fs))}
-  FROM km_in GROUP BY year)"""]
-    prev = "c_init0"
+    n = name
+    parts = [f"""{n}km_in AS MATERIALIZED (SELECT * FROM {src} WHERE year IS NOT NULL
+  AND year IN (SELECT year FROM {src} GROUP BY year HAVING count(*) >= {k}))""",
+             f"""{n}c_init0 AS (SELECT year, {', '.join(f'arg_min({f}, pos) AS a0_{i}' for i, f in enumerate(fs))}
+  FROM {n}km_in GROUP BY year)"""]
+    prev = f"{n}c_init0"
     for j in range(1, k):
         near = least([f"({sqd('x', 'p', q)})" for q in range(j)])
         keep = ", ".join(f"p.a{q}_{i}" for q in range(j) for i in range(d))
         keep_plain = ", ".join(f"a{q}_{i}" for q in range(j) for i in range(d))
-        parts.append(f"""c_init{j}r AS (SELECT x.*, {keep},
+        parts.append(f"""{n}c_init{j}r AS (SELECT x.*, {keep},
   row_number() OVER (PARTITION BY x.year ORDER BY {near} DESC, x.pos) AS rn
-  FROM km_in x JOIN {prev} p ON x.year = p.year)""")
-        parts.append(f"""c_init{j} AS (SELECT year, {keep_plain},
-  {', '.join(f'{f} AS a{j}_{i}' for i, f in enumerate(fs))} FROM c_init{j}r WHERE rn = 1)""")
-        prev = f"c_init{j}"
-
-    def assign(src_c: str, name: str) -> str:
-        ds = ", ".join(f"({sqd('x', 'c', j)}) AS d{j}" for j in range(k))
-        lst = least([f"d{q}" for q in range(k)])
-        case = " ".join(f"WHEN d{j} = {lst} THEN {j}" for j in range(k))
-        return f"""{name}d AS (SELECT x.*, {ds} FROM km_in x JOIN {src_c} c ON x.year = c.year),
-{name} AS (SELECT *, CASE {case} END AS lab FROM {name}d)"""
-
-    for t in range(1, iters + 1):
-        parts.append(assign(prev, f"as{t}"))
-        upd = ", ".join(f"coalesce(u.m{j}_{i}, c.a{j}_{i}) AS a{j}_{i}" for j in range(k) for i in range(d))
-        means = ", ".join(f"avg({f}) FILTER (WHERE lab = {j}) AS m{j}_{i}" for j in range(k)
-                          for i, f in enumerate(fs))
-        parts.append(f"""c_it{t} AS (SELECT c.year, {upd} FROM {prev} c
-  LEFT JOIN (SELECT year, {means} FROM as{t} GROUP BY year) u ON c.year = u.year)""")
-        prev = f"c_it{t}"
+  FROM {n}km_in x JOIN {prev} p ON x.year = p.year)""")
+        parts.append(f"""{n}c_init{j} AS (SELECT year, {keep_plain},
+  {', '.join(f'{f} AS a{j}_{i}' for i, f in enumerate(fs))} FROM {n}c_init{j}r WHERE rn = 1)""")
+        prev = f"{n}c_init{j}"
+    cells = [(j, i) for j in range(k) for i in range(d)]
+
+    def labelled(centres: str, where: str = "") -> str:
+        ds = [f"({sqd('x', 'c', j)})" for j in range(k)]
+        lst = least(ds)
+        case = " ".join(f"WHEN {ds[j]} = {lst} THEN {j}" for j in range(k))
+        return f"SELECT x.*, c.* EXCLUDE (year), CASE {case} END AS lab FROM {n}km_in x JOIN {centres} c ON x.year = c.year{where}"
+
+    old = ", ".join(f"any_value(a{j}_{i}) AS a{j}_{i}" for j, i in cells)
+    means = ", ".join(f"coalesce(avg({fs[i]}) FILTER (WHERE lab = {j}), any_value(a{j}_{i})) AS m{j}_{i}" for j, i in cells)
+    moved = " OR ".join(f"abs(m{j}_{i} - a{j}_{i}) > 1e-9" for j, i in cells)
+    nxt = ", ".join(f"CASE WHEN moved THEN m{j}_{i} ELSE a{j}_{i} END AS a{j}_{i}" for j, i in cells)
+    parts.append(f"""{n}c_all(it, moved, year, {', '.join(f'a{j}_{i}' for j, i in cells)}) AS (
+  SELECT 0, true, year, {', '.join(f'a{j}_{i}' for j, i in cells)} FROM {prev}
+  UNION ALL
+  SELECT it + 1, moved, year, {nxt} FROM (
+    SELECT *, {moved} AS moved FROM (
+      SELECT any_value(it) AS it, year, {old}, {means} FROM ({labelled(n + 'c_all', ' WHERE c.moved')}) GROUP BY year)))""")
     longs = " UNION ALL ".join(
-        f"SELECT year, {j} AS j, [{', '.join(f'a{j}_{i}' for i in range(d))}] AS v FROM {prev}" for j in range(k))
-    parts.append(f"""c_long AS ({longs}),
-c_rank AS (SELECT year, v, row_number() OVER (PARTITION BY year ORDER BY v) - 1 AS canon FROM c_long)""")
-    piv = ", ".join(f"max(CASE WHEN canon = {j} THEN v[{i + 1}] END) AS a{j}_{i}" for j in range(k)
-                    for i in range(d))
-    parts.append(f"c_final AS (SELECT year, {piv} FROM c_rank GROUP BY year)")
-    parts.append(assign("c_final", "km_lab"))
+        f"SELECT year, [{', '.join(f'a{j}_{i}' for i in range(d))}] AS v FROM {n}c_all WHERE NOT moved" for j in range(k))
+    piv = ", ".join(f"max(CASE WHEN canon = {j} THEN v[{i + 1}] END) AS a{j}_{i}" for j, i in cells)
+    parts.append(f"""{n}c_rank AS (SELECT year, v, row_number() OVER (PARTITION BY year ORDER BY v) - 1 AS canon FROM ({longs}))""")
+    parts.append(f"{n}c_final AS (SELECT year, {piv} FROM {n}c_rank GROUP BY year)")
+    parts.append(f"{n}km_lab AS ({labelled(n + 'c_final')})")
     return ",\n".join(parts)
 
 
@@ -163,8 +168,7 @@ cte("kmeans", _km_sql(), ("feat",))
 @register("standard_scale", build(f"""SELECT pos, year, {R6('magnitude')} AS magnitude, {R6('depth')} AS depth,
   {R6('latitude')} AS latitude, {R6('longitude')} AS longitude FROM fscaled""", "feat"))
 def q_standard_scale(spark, sf):
-    s, _ = scaled(spark, sf)
-    return s.select("pos", "year", *[r6(c).alias(c) for c in F4])
+    return scaled(spark, sf).select("pos", "year", *[r6(z).alias(c) for c, z in zip(F4, ZF)])
 
 
 @register("minmax_scale", build("""SELECT pos, year,
@@ -187,24 +191,21 @@ def q_reconstruct_error(spark, sf):
     return s.select("pos", r6("reconstruction_error").alias("reconstruction_error"))
 
 
-@register("encode_latent", build(f"""SELECT pos, {R6('en_0')} AS latent_feature_0, {R6('en_1')} AS latent_feature_1,
-  {R6('en_2')} AS latent_feature_2 FROM en""", "encnet"))
+_LAT_SQL = ", ".join(f"{R6(f'en_{j}')} AS latent_feature_{j}" for j in range(N_LATENT))
+
+
+def _lat(n=N_LATENT):
+    return [r6(c).alias(c) for c in LATENTS[:n]]
+
+
+@register("encode_latent", build(f"SELECT pos, {_LAT_SQL} FROM en", "encnet"))
 def q_encode_latent(spark, sf):
-    s, _ = scaled(spark, sf)
-    z = net.score_columns(s, CHECK_PARAMS, F4, prefix="z", upto=2)
-    return z.select("pos", *[r6(f"z_{j}").alias(f"latent_feature_{j}") for j in range(3)])
+    return encoded(scaled(spark, sf)).select("pos", *_lat())
 
 
-@register("attach_latents", build(f"""SELECT d.pos, d.year, d.magnitude, d.depth, {R6('e.en_0')} AS latent_feature_0,
-  {R6('e.en_1')} AS latent_feature_1, {R6('e.en_2')} AS latent_feature_2
-FROM feat d JOIN en e ON d.pos = e.pos""", "encnet"))
+@register("attach_latents", build(f"SELECT pos, year, m_raw AS magnitude, d_raw AS depth, {_LAT_SQL} FROM en", "encnet"))
 def q_attach_latents(spark, sf):
-    s, d = scaled(spark, sf)
-    z = net.score_columns(s, CHECK_PARAMS, F4, prefix="z", upto=2).select(
-        "pos", *[F.col(f"z_{j}").alias(f"latent_feature_{j}") for j in range(3)])
-    j = d.select("pos", "year", "magnitude", "depth").join(z, "pos")
-    return j.select("pos", "year", "magnitude", "depth",
-                    *[r6(f"latent_feature_{i}").alias(f"latent_feature_{i}") for i in range(3)])
+    return encoded(scaled(spark, sf)).select("pos", "year", "magnitude", "depth", *_lat())
 
 
 @register("anomaly_threshold", build(f"""SELECT {R6('threshold')} AS threshold, {R6('mean_error')} AS mean_error,
@@ -223,12 +224,9 @@ def q_classify_anomaly(spark, sf):
 @register("anomaly_report", build(f"""SELECT pos, year, m_raw AS magnitude_raw, {R6('err')} AS reconstruction_error,
   is_anomaly FROM flagged""", "scored"), headline=True)
 def q_anomaly_report(spark, sf):
-    s, d = scaled(spark, sf)
-    s = net.reconstruction_error_columns(s.withColumn("magnitude_raw", F.lit(None)), CHECK_PARAMS, F4)
-    rep = an.anomaly_report(s)
-    raw = d.select("pos", F.col("magnitude").alias("m_raw"))
-    return rep.join(raw, "pos").select("pos", "year", F.col("m_raw").alias("magnitude_raw"),
-                                       r6("reconstruction_error").alias("reconstruction_error"), "is_anomaly")
+    rep = an.anomaly_report(scored_fixed(spark, sf))
+    return rep.select("pos", "year", F.col("magnitude").alias("magnitude_raw"),
+                      r6("reconstruction_error").alias("reconstruction_error"), "is_anomaly")
 
 
 @register("anomaly_counts", build(f"""SELECT CAST(count_if(is_anomaly = 0) AS BIGINT) AS normal,
@@ -267,35 +265,36 @@ rec_scored AS (SELECT event_id, ({_err_terms.replace('rn_', 'rq_')}) / 4.0 AS er
 @register("score_records", build(f"""SELECT r.event_id, {R6('r.err')} AS reconstruction_error,
   CAST(r.err > t.threshold AS INTEGER) AS is_anomaly FROM rec_scored r, thr t""", "records"))
 def q_score_records(spark, sf):
+    from ..streaming.score import score_records
     from .q_core import cat
-    s, d = scaled(spark, sf)
+    d = dedup(spark, sf)
     stats = sc.fit_standard(d)
-    thr = an.threshold_value(net.reconstruction_error_columns(s, CHECK_PARAMS, F4))
-    rec = sc.standard_scale(cat(spark, sf).dropna(subset=F4), stats)
-    out = an.classify_anomaly(net.reconstruction_error_columns(rec, CHECK_PARAMS, F4), thr)
-    return out.select("event_id", r6("reconstruction_error").alias("reconstruction_error"), "is_anomaly")
+    thr = an.threshold_value(net.score_arrow(sc.standard_scale(d, stats, "z_"), CHECK_PARAMS, ZF))
+    return score_records(cat(spark, sf), stats, CHECK_PARAMS, thr).select(
+        "event_id", r6("reconstruction_error").alias("reconstruction_error"), "is_anomaly")
 
 
 # ---------------------------------------------------------------------------
-# 2.9 grouped K-Means (deterministic init, fixed iterations) and quality
+# 2.9 grouped K-Means (deterministic init, to convergence) and quality
 # ---------------------------------------------------------------------------
 @register("kmeans_by_year", build(f"""SELECT c.year, l.cluster_label, l.n, {R6('v[1]')} AS c0, {R6('v[2]')} AS c1,
   {R6('v[3]')} AS c2, {R6('v[4]')} AS c3
 FROM c_rank c JOIN (SELECT year, lab AS cluster_label, CAST(count(*) AS BIGINT) AS n FROM km_lab GROUP BY 1, 2) l
   ON c.year = l.year AND c.canon = l.cluster_label""", "kmeans"), headline=True)
 def q_kmeans_by_year(spark, sf):
-    _, res = kmeans_fixed(spark, sf)
-    c = res.centres_frame(spark)
-    return c.select("year", "cluster_label", "n", *[r6(f"c{i}").alias(f"c{i}") for i in range(4)])
+    lab, res = kmeans_fixed(spark, sf)
+    return res.centres_frame(lab).select("year", "cluster_label", "n", *[r6(f"c{i}").alias(f"c{i}") for i in range(4)])
+
+
+_LAT5_SQL = ", ".join(f"{R6(f'e.en_{j}')} AS latent_feature_{j}" for j in range(5))
 
 
-@register("cluster_result_table", build("""SELECT k.pos, k.year, k.lab AS cluster_label, f.magnitude, f.depth,
-  f.latitude, f.longitude FROM km_lab k JOIN feat f ON k.pos = f.pos""", "kmeans"))
+@register("cluster_result_table", build(f"""SELECT k.pos, k.year, k.lab AS cluster_label, f.magnitude, f.depth,
+  f.latitude, f.longitude, {_LAT5_SQL} FROM km_lab k JOIN feat f ON k.pos = f.pos JOIN en e ON k.pos = e.pos""",
+    "kmeans", "encnet"))
 def q_cluster_result_table(spark, sf):
     lab, _ = kmeans_fixed(spark, sf)
-    d = dedup(spark, sf)
-    return lab.select("pos", "year", "cluster_label").join(d.drop("year"), "pos") \
-        .select("pos", "year", "cluster_label", *F4)
+    return encoded(lab).select("pos", "year", "cluster_label", *F4, *_lat(5))
 
 
 @register("union_years", build("""SELECT pos, year, lab AS cluster_label FROM km_lab WHERE year <= 2016
@@ -318,11 +317,8 @@ def q_filter_cluster(spark, sf):
 FROM km_lab k JOIN feat f ON k.pos = f.pos GROUP BY 1, 2""", "kmeans"))
 def q_cluster_stats(spark, sf):
     lab, _ = kmeans_fixed(spark, sf)
-    d = dedup(spark, sf)
-    j = lab.select("pos", "year", "cluster_label").join(d.select("pos", *F4), "pos")
-    s = km.cluster_stats(j)
-    return s.select("year", "cluster_label", "rows", r6("mean_magnitude").alias("mean_magnitude"),
-                    r6("mean_depth").alias("mean_depth"))
+    return km.cluster_stats(lab).select("year", "cluster_label", "rows", r6("mean_magnitude").alias("mean_magnitude"),
+                                        r6("mean_depth").alias("mean_depth"))
 
 
 @register("dominant_cluster", build(f"""SELECT year, dominant_label, n AS count, total,
@@ -359,7 +355,7 @@ sil AS (
 
 def _sil(spark, sf):
     lab, _ = kmeans_fixed(spark, sf)
-    return sil.silhouette_by_year(lab, F4)
+    return sil.silhouette_by_year(lab, ZF)
 
 
 @register("silhouette_by_year", build(f"SELECT year, {R6('silhouette')} AS silhouette FROM sil", "pairsum"),
@@ -374,7 +370,7 @@ def q_all_pairs_by_year(spark, sf):
     """Per row and label: mean distance to that label's rows of the same year
     (the pairwise step of the silhouette), computed block-wise."""
     lab, _ = kmeans_fixed(spark, sf)
-    return sil.mean_distance_to_labels(lab, F4).select(
+    return sil.mean_distance_to_labels(lab, ZF).select(
         "year", "pos", "label", r6(F.col("sum_d") / F.col("cnt")).alias("mean_distance"), "cnt")
 
 
@@ -406,52 +402,75 @@ silf AS (SELECT year, CASE WHEN count(DISTINCT own) < 2 OR count(DISTINCT own) =
 @register("silhouette_by_year_fast", build(f"SELECT year, {R6('silhouette')} AS silhouette FROM silf", "silfast"))
 def q_silhouette_fast(spark, sf):
     lab, _ = kmeans_fixed(spark, sf)
-    return sil.silhouette_by_year_fast(lab, F4).select("year", r6("silhouette").alias("silhouette"))
+    return sil.silhouette_by_year_fast(lab, ZF).select("year", r6("silhouette").alias("silhouette"))
 
 
 # ---------------------------------------------------------------------------
-# Trained paths (rows-only: learned weights have no SQL twin)
+# K-Means on the latent layer
 # ---------------------------------------------------------------------------
-def _train_ae(spark, sf, epochs=3):
-    s, _ = scaled(spark, sf)
-    flagged = od.validation_tail(s, 0.1)
-    return net.fit_mlp(flagged, F4, layers=(4, 64, 32, 10, 32, 64, 4), epochs=epochs, batch=256,
-                       val_col="is_validation"), s
+cte("kmlat", _km_sql("en", tuple(f"en_{j}" for j in range(N_LATENT)), "l_"), ("encnet",))
 
 
-@register("fit_autoencoder")
-def q_fit_autoencoder(spark, sf):
-    res, s = _train_ae(spark, sf)
-    scored = net.score_arrow(s, res.params, F4)
-    return an.anomaly_threshold(scored)
-
-
-@register("loss_history")
-def q_loss_history(spark, sf):
-    res, _ = _train_ae(spark, sf)
-    return net.loss_history(spark, res, long=True)
-
-
-@register("kmeans_latents")
+@register("kmeans_latents", build("SELECT pos, year, lab AS cluster_label FROM l_km_lab", "kmlat"))
 def q_kmeans_latents(spark, sf):
-    res, s = _train_ae(spark, sf, epochs=2)
-    lat = net.score_arrow(s, res.params, F4, mode="latent", upto=3)
-    cols = [f"latent_feature_{j}" for j in range(10)]
-    lab, km_res = km.kmeans_by_year(lat, cols, k=2, max_iter=10)
-    return sil.silhouette_by_year_fast(lab, cols)
+    lab, _ = km.kmeans_by_year(encoded(scaled(spark, sf)), LATENTS, k=2)
+    return lab.select("pos", "year", "cluster_label")
 
 
-@register("pca_reconstruct_error")
+# ---------------------------------------------------------------------------
+# MLlib PCA: the linear autoencoder (training a network is no Spark work).
+# Eigenvectors have no SQL twin, but what they must satisfy has.
+# ---------------------------------------------------------------------------
+@register("pca_reconstruct_error", build(f"""SELECT CAST(count(*) AS BIGINT) AS n,
+  {R6('var_samp(magnitude) + var_samp(depth) + var_samp(latitude) + var_samp(longitude)')} AS total_variance,
+  0.0 AS eigen_residual, 0.0 AS error_residual FROM fscaled""", "feat"))
 def q_pca_reconstruct_error(spark, sf):
-    from ..operators.pca import pca_reconstruct_error
-    s, _ = scaled(spark, sf)
-    return an.anomaly_counts(an.anomaly_report(pca_reconstruct_error(s, F4, k=2)))
+    """Residuals of ``C v = lambda v`` and of "mean error = dropped
+    eigenvalues x (n - 1) / n / 4", which are zero for a right fit."""
+    from ..operators import pca
+    s = scaled(spark, sf)
+    fit = pca.fit_pca(s, ZF, k=2)
+    return pca.identities(pca.pca_reconstruct_error(s, ZF, fit=fit), ZF, fit).select(
+        "n", r6("total_variance").alias("total_variance"), r6("eigen_residual").alias("eigen_residual"),
+        r6("error_residual").alias("error_residual"))
+
+
+_SPLIT_SQL = f"""SELECT k.k AS components, (SELECT count(*) FROM feat WHERE pos < c.cut) AS n_train,
+  (SELECT count(*) FROM feat WHERE pos >= c.cut) AS n_validation, 0.0 AS error_residual
+FROM (SELECT CAST(floor(count(*) * {1 - AE_VALIDATION!r}) AS BIGINT) AS cut FROM feat) c, (VALUES %s) k(k)"""
+
+
+def _linear_autoencoders(spark, sf, ks):
+    """Fitted on the leading rows, scored on all: per number of components
+    the rows on both sides and the training identity's residual."""
+    from ..operators import pca
+    s = od.validation_tail(scaled(spark, sf), AE_VALIDATION)
+    train, tail = s.where("is_validation = 0"), s.where("is_validation = 1")
+    out = []
+    for k in ks:
+        fit = pca.fit_pca(train, ZF, k=k, centred=False)
+        one = pca.identities(pca.pca_reconstruct_error(train, ZF, fit=fit), ZF, fit)
+        out.append(one.select(F.lit(k).alias("components"), F.col("n").alias("n_train"),
+                              tail.agg(F.count(F.lit(1))).scalar().alias("n_validation"),
+                              r6("error_residual").alias("error_residual")))
+    return out
+
+
+@register("fit_autoencoder", build(_SPLIT_SQL % "(2)", "feat"))
+def q_fit_autoencoder(spark, sf):
+    return _linear_autoencoders(spark, sf, (2,))[0]
+
+
+@register("loss_history", build(_SPLIT_SQL % "(1), (2), (3), (4)", "feat"))
+def q_loss_history(spark, sf):
+    a, b, c, d = _linear_autoencoders(spark, sf, (1, 2, 3, 4))
+    return a.union(b).union(c).union(d)
 
 
 # ---------------------------------------------------------------------------
 # 2-D density of each (year, cluster)
 # ---------------------------------------------------------------------------
-KDE2_GRID = 40
+KDE2_GRID = 50
 cte("kde2", f"""k2pts AS (SELECT k.year, k.lab AS cluster_label, f.longitude AS px, f.latitude AS py
   FROM km_lab k JOIN feat f ON k.pos = f.pos),
 k2st0 AS (SELECT year, cluster_label, count(*) AS n, var_samp(px) AS vx, var_samp(py) AS vy,
@@ -480,9 +499,7 @@ k2 AS (SELECT g.year, g.cluster_label, g.gi, g.gj, g.gx0 + g.gi * g.sx AS x, g.g
 def q_kde_2d_by_cluster(spark, sf):
     from ..operators.explore import kde_2d_by_group
     lab, _ = kmeans_fixed(spark, sf)
-    d = dedup(spark, sf)
-    pts = lab.select("pos", "year", "cluster_label").join(d.select("pos", "latitude", "longitude"), "pos")
-    k = kde_2d_by_group(pts, gridsize=KDE2_GRID)
+    k = kde_2d_by_group(lab, gridsize=KDE2_GRID)
     return k.select("year", "cluster_label", "gi", "gj", r6("x").alias("x"), r6("y").alias("y"),
                     r6("density").alias("density"))
 

@@ -216,12 +216,20 @@ def q_forecast_delta(spark, sf):
 _W = fc.WEIGHTED_AVERAGE
 
 
+_NULL_CELL = "CAST(round_even(lat_bin * 2, 0) + round_even(lon_bin * 2, 0) AS BIGINT) % 7 = 0"
+
+
 @register("hotspots_forecast", build(f"""SELECT lat_bin AS lat, lon_bin AS lon,
-  CAST(greatest(0.0, round_even({_W.sql()} * s_range + s_min, 0)) AS BIGINT) AS count,
+  CAST(greatest(0.0, round_even(CASE WHEN {_NULL_CELL} THEN x4 ELSE {_W.sql()} END * s_range + s_min, 0)) AS BIGINT) AS count,
   historical_count, {R6('mean_mag')} AS mag, CAST(2026 AS INTEGER) AS year, CAST(NULL AS INTEGER) AS month
 FROM lastseq ORDER BY count DESC, lat, lon LIMIT 15""", "lastseq"), headline=True)
 def q_hotspots_forecast(spark, sf):
-    return fc.hotspots_forecast(series(spark, sf), _W).withColumn("mag", r6("mag"))
+    """Some cells get no prediction: they keep their last observed count."""
+    class Gaps:
+        def predict(self, df, out="pred_scaled"):
+            gap = (F.rint(F.col("lat_bin") * 2) + F.rint(F.col("lon_bin") * 2)).cast("long") % 7 == 0
+            return _W.predict(df, out).withColumn(out, F.when(~gap, F.col(out)))
+    return fc.hotspots_forecast(series(spark, sf), Gaps()).withColumn("mag", r6("mag"))
 
 
 @register("forecaster_metrics", build(f"""SELECT {R6(f'avg((y - {_W.sql()}) * (y - {_W.sql()}))')} AS mse,
@@ -233,46 +241,46 @@ def q_forecaster_metrics(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# Learned forecasters (rows-only checks)
+# MLlib forecasters: weights have no SQL twin, but what they must satisfy has
 # ---------------------------------------------------------------------------
-@register("fit_sequence_forecaster")
+_TRAIN_SQL = "SELECT CAST(count(*) AS BIGINT) AS n%s FROM split2 WHERE is_train = 1"
+
+
+@register("fit_sequence_forecaster", build(_TRAIN_SQL % "".join(f", 0.0 AS r{i}" for i in range(6)), "split"))
 def q_fit_sequence_forecaster(spark, sf):
-    sp = split(spark, sf)
-    model = fc.fit_sequence_forecaster(sp.where(F.col("is_train") == 1), "linear")
-    lin = fc.linear_from_mllib(model)
-    test = sp.where(F.col("is_test") == 1)
-    m = fc.forecaster_metrics(lin, test)
-    coefs = F.array(*[F.lit(w) for w in lin.weights])
-    return m.select("mse", "mae", "n", coefs.alias("weights"), F.lit(lin.intercept).alias("intercept"))
+    """Normal equations: the mean of residual times each lag (and of the
+    residual itself, ``r5``) is 0 for least squares with an intercept."""
+    train = split(spark, sf).where(F.col("is_train") == 1)
+    lin = fc.linear_from_mllib(fc.fit_sequence_forecaster(train, "linear"))
+    res = lin.predict(train).withColumn("r", F.col("y") - F.col("pred_scaled"))
+    return res.agg(F.count(F.lit(1)).alias("n"),
+                   *[r6(F.abs(F.avg(F.col("r") * F.col(f"x{i}")))).alias(f"r{i}") for i in range(5)],
+                   r6(F.abs(F.avg("r"))).alias("r5"))
 
 
-@register("fit_rf_forecaster")
+@register("fit_rf_forecaster", build("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS below, CAST(0 AS BIGINT) AS above
+FROM split2 WHERE is_test = 1""", "split"))
 def q_fit_rf_forecaster(spark, sf):
+    """A forest averages training targets: no prediction leaves their range."""
     sp = split(spark, sf)
-    model = fc.fit_sequence_forecaster(sp.where(F.col("is_train") == 1), "rf", numTrees=20, maxDepth=5)
-    return fc.forecaster_metrics(model, sp.where(F.col("is_test") == 1))
+    train, test = sp.where(F.col("is_train") == 1), sp.where(F.col("is_test") == 1)
+    pred = fc.fit_sequence_forecaster(train, "rf", numTrees=100, maxDepth=10).predict(test)
+    lo, hi = train.agg(F.min("y")).scalar(), train.agg(F.max("y")).scalar()
+    return pred.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred_scaled") < lo - 1e-9).alias("below"),
+                    F.count_if(F.col("pred_scaled") > hi + 1e-9).alias("above"))
 
 
-@register("hotspots_forecast_learned")
+@register("hotspots_forecast_learned", build("""SELECT least(15, count(*)) AS n, least(15, count(*)) AS cells,
+  CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS wrong_history FROM lastseq""", "lastseq"))
 def q_hotspots_forecast_learned(spark, sf):
-    sp = split(spark, sf)
+    """Least-squares forecast: as many distinct cells as asked for, no
+    negative count, every cell with its own history."""
+    sp, ser = split(spark, sf), series(spark, sf)
     model = fc.fit_sequence_forecaster(sp.where(F.col("is_train") == 1), "linear")
-    return fc.hotspots_forecast(series(spark, sf), model)
-
-
-@register("fit_recurrent_forecaster")
-def q_fit_recurrent_forecaster(spark, sf):
-    """2 x LSTM(50) forecaster, model-averaged over partitions (3 epochs)."""
-    from ..operators.recurrent import fit_recurrent
-    sp = split(spark, sf)
-    model = fit_recurrent(sp.where(F.col("is_train") == 1), epochs=3)
-    return fc.forecaster_metrics(model, sp.where(F.col("is_test") == 1))
-
-
-@register("hotspots_forecast_recurrent")
-def q_hotspots_forecast_recurrent(spark, sf):
-    from ..operators.recurrent import fit_recurrent
-    sp = split(spark, sf)
-    model = fit_recurrent(sp.where(F.col("is_train") == 1), epochs=2)
-    pts, method = fc.hotspots_forecast_or_frequency(clean(spark, sf), model)
-    return pts.withColumn("method", F.lit(method))
+    pts = fc.hotspots_forecast(ser, model)
+    own = se.last_sequence(se.minmax_scale_series(ser)).select(
+        F.col("lat_bin").alias("lat"), F.col("lon_bin").alias("lon"), F.col("historical_count").alias("own"))
+    j = pts.join(own, ["lat", "lon"], "left")
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lat", "lon").alias("cells"),
+                 F.count_if(F.col("count") < 0).alias("negative"),
+                 F.count_if(F.coalesce(F.col("own") != F.col("historical_count"), F.lit(True))).alias("wrong_history"))

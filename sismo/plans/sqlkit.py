@@ -32,7 +32,7 @@ def build(body: str, *needs: str) -> str:
     for n in needs:
         visit(n)
     parts = [_CTES[n][1] for n in order]
-    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
 # Snap offset of the comparison grid: 1/pi instead of 1/2, so values with a

@@ -24,7 +24,6 @@ HIST_BINS = 50
 HIST_STEP = 0.2
 MAP_SAMPLE = 5000
 CORR_SAMPLE = 10000
-MARKER_CAPS = ((10000, 3000), (5000, 4000))   # (rows above, cap); else MARKER_CAP
 MARKER_CAP = 5000
 KDE_GRID = 200
 KDE_CUT = 3.0
@@ -46,6 +45,10 @@ OTHER_CENTER_SPAN = 5.0
 METHOD_LSTM = "LSTM (Deep Learning)"
 METHOD_FREQUENCY = "Frequency-Based (Statistik)"
 METHOD_UNKNOWN = "Unknown"
+METHOD_LINEAR = "Linear Regression"
+METHOD_GBT = "Gradient Boosted Trees"
+METHOD_RF = "Random Forest"
+METHOD_WEIGHTED = "Weighted Average"
 NOT_AVAILABLE_LONG = "Tidak tersedia"
 NOT_AVAILABLE = "N/A"
 TYPE_HISTORICAL = "Historical"
@@ -53,9 +56,10 @@ TYPE_PREDICTED = "Predicted"
 DATETIME_LABEL_FORMAT = "dd MMMM yyyy, HH:mm:ss 'WIB'"
 DATE_FORMAT = "yyyy-MM-dd"
 TIME_FORMAT = "HH:mm:ss"
-# Accepted datetime text formats (Spark patterns), tried in order.
-DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS",
-                    "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+# Date spellings brought to year-month-day: (pattern, replacement), in order.
+# With slashes and the year last, the month comes first.
+DATE_REWRITES = ((r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3"),
+                 (r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"))
 # ---------------------------------------------------------------------------
 
 FEATURES = ("magnitude", "depth", "latitude", "longitude")
@@ -70,18 +74,6 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("location", T.StringType()),
 ])
 
-# Raw text form of a catalogue file: every column read as string and coerced.
-CATALOG_TEXT_SCHEMA = T.StructType([
-    T.StructField("event_id", T.StringType()),
-    T.StructField("datetime", T.StringType()),
-    T.StructField("magnitude", T.StringType()),
-    T.StructField("depth", T.StringType()),
-    T.StructField("latitude", T.StringType()),
-    T.StructField("longitude", T.StringType()),
-    T.StructField("location", T.StringType()),
-])
-
-FEATURE_SCHEMA = T.StructType([T.StructField(c, T.DoubleType()) for c in FEATURES])
 
 HOTSPOT_SCHEMA = T.StructType([
     T.StructField("lat", T.DoubleType()),

@@ -5,41 +5,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.parse import nan_to_null, parse_datetime_coerce, parse_datetime_strict, to_numeric_coerce
-from ..schema import (CATALOG_TEXT_SCHEMA, FEATURE_SCHEMA, METHOD_UNKNOWN, PREDICTION_DOC_SCHEMA,
-                      REQUIRED_COLUMNS)
+from ..schema import FEATURES, METHOD_UNKNOWN, PREDICTION_DOC_SCHEMA, REQUIRED_COLUMNS
 
 
 class MissingColumns(ValueError):
     pass
 
 
-def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = False,
-                 schema=CATALOG_TEXT_SCHEMA) -> DataFrame:
+def _read_text_columns(spark: SparkSession, path: str, required) -> DataFrame:
+    """A header CSV with every column as text, under the names of its header
+    (any order, extra columns kept); a missing required column raises."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [c for c in required if c not in raw.columns]
+    if missing:
+        raise MissingColumns(f"{path} lacks required columns: {missing}")
+    return raw
+
+
+def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = False) -> DataFrame:
     """Read an event catalogue written as text (CSV with header) or Parquet.
 
-    Every column is read as text with an explicit schema (no inference pass)
-    and coerced: numbers by ``try_cast`` (bad -> null), datetimes by the
-    mixed-format parser — ``strict`` fails the query on a bad datetime,
-    otherwise it becomes null. Missing required columns raise at once."""
+    Columns are found by name, in any order; extra ones are kept. CSV columns
+    are read as text (no inference pass) and coerced: numbers by ``try_cast``
+    (bad -> null), datetimes by the mixed-format parser — ``strict`` fails the
+    query on a bad datetime, otherwise it becomes null. A file without
+    ``event_id`` gets one: unique, rising in file order. Missing required
+    columns raise at once."""
     if fmt == "csv":
-        raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        raw = _read_text_columns(spark, path, REQUIRED_COLUMNS)
     else:
         raw = spark.read.parquet(path)
-    missing = [c for c in REQUIRED_COLUMNS if c not in raw.columns]
-    if missing:
-        raise MissingColumns(f"catalogue lacks required columns: {missing}")
+        missing = [c for c in REQUIRED_COLUMNS if c not in raw.columns]
+        if missing:
+            raise MissingColumns(f"{path} lacks required columns: {missing}")
     dtypes = dict(raw.dtypes)
     cols = {}
-    for c in ("magnitude", "depth", "latitude", "longitude"):
+    for c in FEATURES:
         cols[c] = to_numeric_coerce(F.col(c)) if dtypes[c] == "string" else nan_to_null(F.col(c).cast("double"))
     if dtypes["datetime"] == "string":
         cols["datetime"] = (parse_datetime_strict if strict else parse_datetime_coerce)(F.col("datetime"))
-    if "event_id" in raw.columns and dtypes["event_id"] == "string":
+    if "event_id" not in raw.columns:
+        cols["event_id"] = F.monotonically_increasing_id()
+    elif dtypes["event_id"] == "string":
         cols["event_id"] = F.col("event_id").try_cast("long")
     return raw.withColumns(cols)
 
@@ -50,39 +63,44 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def read_preprocessed(spark: SparkSession, path: str, schema=FEATURE_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
-
+def read_preprocessed(spark: SparkSession, path: str) -> DataFrame:
+    """The four feature columns of a header CSV, by name, as numbers."""
+    raw = _read_text_columns(spark, path, FEATURES)
+    return raw.select(*[to_numeric_coerce(F.col(c)).alias(c) for c in FEATURES])
 
-def _ranked_points(points: DataFrame) -> DataFrame:
-    """Rank the (top-k, bounded) points in their published order."""
-    w = Window.orderBy(F.col("count").desc(), F.col("lat"), F.col("lon"))
-    return points.withColumn("_rank", F.row_number().over(w))
 
+POINT_FIELDS = [f.name for f in PREDICTION_DOC_SCHEMA["hotspot_points"].dataType.elementType.fields]
 
-def write_predictions(points: DataFrame, method: str, path: str) -> str:
-    """One JSON document ``{method, hotspot_points: [...], timestamp}``.
 
-    ``points`` is a top-k result (bounded by k), so gathering it into one
-    array is safe; the timestamp is the write time in ISO format."""
-    fields = ["lat", "lon", "count", "historical_count", "mag", "year", "month"]
-    ranked = _ranked_points(points)
-    doc = ranked.agg(F.sort_array(F.collect_list(F.struct("_rank", F.struct(*fields).alias("p"))))
-                     .alias("pts"))
-    doc = doc.select(F.lit(method).alias("method"),
-                     F.transform("pts", lambda s: s["p"]).alias("hotspot_points"),
-                     F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
-    doc.coalesce(1).write.mode("overwrite").json(path)
+def write_predictions(points: DataFrame, method: str, path: str, k: int) -> str:
+    """One indented JSON document ``{method, hotspot_points: [...],
+    timestamp}`` with the ``k`` first points in their published order, so
+    gathering them into one array is bounded; the timestamp is the write time
+    in ISO format."""
+    best = points.orderBy(F.col("count").desc(), "lat", "lon").limit(k)
+    # ascending struct order: the largest count first, then lat, lon
+    keyed = F.struct((-F.col("count")).alias("key"), *POINT_FIELDS)
+    doc = best.agg(F.sort_array(F.collect_list(keyed)).alias("pts")).select(F.struct(
+        F.lit(method).alias("method"), F.transform("pts", lambda s: s.dropFields("key")).alias("hotspot_points"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")).alias("doc"))
+    text = F.to_json("doc", {"pretty": "true", "ignoreNullFields": "false"})
+    doc.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
 def read_prediction_doc(spark: SparkSession, path: str) -> DataFrame | None:
-    """The document row, or None when missing/unreadable. Missing keys
-    default to an empty list / "Unknown"."""
+    """The document row, or None when missing, empty or corrupt. The document
+    may span many lines. Missing keys default to an empty list / "Unknown"."""
+    schema = T.StructType([*PREDICTION_DOC_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
     try:
-        doc = spark.read.schema(PREDICTION_DOC_SCHEMA).json(path)
+        doc = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+               .option("columnNameOfCorruptRecord", "_corrupt").json(path))
+        rows = doc.limit(2).collect()  # one document: bounded by its points
     except AnalysisException:
         return None
+    if len(rows) != 1 or rows[0]["_corrupt"] is not None:
+        return None
+    doc = spark.createDataFrame([tuple(rows[0])[:-1]], PREDICTION_DOC_SCHEMA)
     return doc.select(F.coalesce("method", F.lit(METHOD_UNKNOWN)).alias("method"),
                       F.coalesce("hotspot_points", F.array().cast(PREDICTION_DOC_SCHEMA["hotspot_points"].dataType))
                       .alias("hotspot_points"), "timestamp")
@@ -111,8 +129,7 @@ def reuse_predictions(spark: SparkSession, path: str, method: str, top_k: int,
         meta = doc.select("method", F.size("hotspot_points").alias("n")).first()
         if meta is not None and meta["method"] == method and meta["n"] >= top_k:
             return saved_topk_slice(read_predictions(spark, path), top_k).drop("method"), True
-    points = compute()
-    write_predictions(points, method, path)
+    write_predictions(compute(), method, path, top_k)
     return read_predictions(spark, path).drop("method"), False
 
 

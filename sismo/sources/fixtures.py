@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import parse_datetime_coerce, to_numeric_coerce
 
-DUP_OFFSET = 10_000_000
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                  "value double, props string")
 
@@ -48,7 +47,7 @@ def catalog_from_events(events: DataFrame) -> DataFrame:
         " + CAST(event_id * 29 % 89 - 44 AS DOUBLE) / CAST(200 AS DOUBLE) END AS longitude",
         "event_type AS location")
     dups = base.where("event_id % 53 = 0").selectExpr(
-        f"event_id + {DUP_OFFSET} AS event_id", "datetime + INTERVAL 1 DAY AS datetime",
+        "-event_id - 1 AS event_id", "datetime + INTERVAL 1 DAY AS datetime",
         "magnitude", "depth", "latitude", "longitude", "location")
     return base.unionByName(dups)
 
@@ -110,7 +109,7 @@ cat_base AS (
 cat AS (
   SELECT * FROM cat_base
   UNION ALL
-  SELECT event_id + 10000000, datetime + INTERVAL 1 DAY, magnitude, depth, latitude, longitude, location
+  SELECT -event_id - 1, datetime + INTERVAL 1 DAY, magnitude, depth, latitude, longitude, location
   FROM cat_base WHERE event_id % 53 = 0)"""
 
 _DT_TEXT_SQL = """CASE WHEN event_id % 3 = 0 THEN strftime(datetime, '%Y-%m-%d %H:%M:%S')

@@ -2,36 +2,36 @@
 
 The scoring transform is stateless (scale with fitted statistics, forward
 pass, compare with a fitted threshold), so the same function serves a batch
-DataFrame and a streaming one: no watermark or state store is involved.
-The fitted threshold enters as a literal (a stream cannot aggregate over
-itself inside a stateless query).
+DataFrame and a streaming one: no watermark or state store is involved. A
+stream takes the threshold as a number (it cannot aggregate over itself
+inside a stateless query); a batch may pass a scalar subquery.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import net
 from ..operators.anomaly import ERR
 from ..operators.scale import StandardStats, standard_scale
-from ..schema import CATALOG_SCHEMA, FEATURES
+from ..schema import CATALOG_SCHEMA, FALLBACK_THRESHOLD, FEATURES
 
 
-def score_records(records: DataFrame, stats: StandardStats, params, threshold: float,
-                  arrow: bool = False) -> DataFrame:
+def score_records(records: DataFrame, stats: StandardStats, params,
+                  threshold: Column | float = FALLBACK_THRESHOLD) -> DataFrame:
     """``event_id, reconstruction_error, is_anomaly`` for records with all
-    four features present (batch or streaming input)."""
+    four features present (batch or streaming input). The threshold defaults
+    to the one saved with the original model."""
     feats = list(FEATURES)
-    x = standard_scale(records.dropna(subset=feats), stats)
-    scored = (net.score_arrow(x, params, feats) if arrow
-              else net.reconstruction_error_columns(x, params, feats))
-    return scored.select("event_id", F.col(ERR),
-                         (F.col(ERR) > F.lit(float(threshold))).cast("int").alias("is_anomaly"))
+    x = standard_scale(records.dropna(subset=feats), stats, "z_")
+    scored = net.score_arrow(x, params, [f"z_{c}" for c in feats])
+    thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return scored.select("event_id", F.col(ERR), (F.col(ERR) > thr).cast("int").alias("is_anomaly"))
 
 
 def stream_score_records(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                         stats: StandardStats, params, threshold: float, max_files: int = 4,
+                         stats: StandardStats, params, threshold: float = FALLBACK_THRESHOLD, max_files: int = 4,
                          schema=CATALOG_SCHEMA) -> None:
     """File-source stream -> anomaly flags -> Parquet sink; runs every file
     present now (``availableNow``) in micro-batches and returns. Progress

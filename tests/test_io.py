@@ -27,11 +27,46 @@ def test_catalog_fixture_counts(spark):
     assert cat.where(F.col("datetime").isNull()).count() == 6
 
 
+def _write(lines, name="cat.csv"):
+    path = _tmp(name)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+    return path
+
+
 def test_read_catalog_requires_columns(spark):
-    path = _tmp("bad.csv")
-    spark.createDataFrame([("x", 1.0)], "datetime string, magnitude double").write.option("header", True).csv(path)
+    path = _write(["datetime,latitude,longitude,depth", "2020-01-01,1,2,3"])
+    with pytest.raises(io.MissingColumns):
+        io.read_catalog(spark, path)
     with pytest.raises(io.MissingColumns):
-        io.read_catalog(spark, path, "csv", schema="datetime string, magnitude string")
+        io.read_preprocessed(spark, path)
+
+
+def test_read_catalog_goes_by_header_names(spark):
+    path = _write(["datetime,latitude,longitude,magnitude,depth,location,agency",
+                   "2020-01-01 00:00:00,-6.2,106.8,5.1,10,Jakarta,x", "junk,1,2,N/A,,\"a, b\",y"])
+    a, b = io.read_catalog(spark, path).orderBy("event_id").collect()
+    assert (a.latitude, a.longitude, a.magnitude, a.depth, a.location, a.agency) == (-6.2, 106.8, 5.1, 10.0, "Jakarta", "x")
+    assert (b.datetime, b.magnitude, b.depth, b.location) == (None, None, None, "a, b")
+    assert a.event_id < b.event_id
+    r = io.read_preprocessed(spark, path).collect()
+    assert tuple(r[0]) == (5.1, 10.0, -6.2, 106.8)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_mixed_datetimes_keep_their_wall_clock(spark, zone):
+    from datetime import datetime as dt
+    texts = {"2020-01-01 00:00:00.123456": dt(2020, 1, 1, 0, 0, 0, 123456), "2020-01-01T00:00:00Z": dt(2020, 1, 1),
+             "2020-01-01 07:05": dt(2020, 1, 1, 7, 5), "01/02/2020": dt(2020, 1, 2), "2020/03/08 02:30": dt(2020, 3, 8, 2, 30),
+             "2020-03-08 02:30:00": dt(2020, 3, 8, 2, 30), "2020-05-01": dt(2020, 5, 1), "12/31/2019 23:59:58.5": dt(2019, 12, 31, 23, 59, 58, 500000)}
+    path = _write(["datetime,magnitude,depth,latitude,longitude", *(f"{t},1,2,3,4" for t in texts)])
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        rows = io.read_catalog(spark, path, strict=True).orderBy("event_id").collect()
+        assert [r.datetime for r in rows] == list(texts.values())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_csv_catalog_round_trip(spark):
@@ -47,7 +82,7 @@ def test_prediction_document_round_trip_and_reuse(spark):
     cat = fx.catalog(spark, SF_SMALL).dropna(subset=["latitude", "longitude", "magnitude"])
     pts = sp.hotspots_frequency(cat, top_k=7)
     path = _tmp("pred.json")
-    io.write_predictions(pts, METHOD_FREQUENCY, path)
+    io.write_predictions(pts, METHOD_FREQUENCY, path, k=7)
     back = io.read_predictions(spark, path).orderBy("rank").toPandas()
     want = pts.toPandas()
     assert back["rank"].tolist() == list(range(7))
@@ -68,6 +103,21 @@ def test_prediction_document_round_trip_and_reuse(spark):
     assert io.read_predictions(spark, _tmp("missing.json")) is None
 
 
+def test_indented_and_corrupt_documents(spark):
+    import json
+    points = [{"lat": 1.0, "lon": 2.0, "count": 3 - i, "historical_count": 3, "mag": 4.5, "year": 2026, "month": None} for i in range(3)]
+    path = _tmp("pred.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"method": "m", "hotspot_points": points, "timestamp": "t"}, f, indent=2)
+    assert [r["count"] for r in io.read_predictions(spark, path).orderBy("rank").collect()] == [3, 2, 1]
+    with open(_tmp("bad.json"), "w", encoding="utf-8") as f:
+        f.write('{"method": "m", "hotspot_po')
+    assert io.read_prediction_doc(spark, f.name) is None
+    with open(_tmp("few.json"), "w", encoding="utf-8") as f:
+        f.write("{}")
+    assert io.read_prediction_doc(spark, f.name).first()["method"] == "Unknown"
+
+
 def test_scaler_fit_on_missing_then_load(spark):
     cat = fx.catalog(spark, SF_SMALL).dropna(subset=list(FEATURES))
     path = _tmp("scaler")
@@ -77,7 +127,7 @@ def test_scaler_fit_on_missing_then_load(spark):
 
 
 def test_model_weights_round_trip(spark):
-    params = net.init_mlp((4, 6, 3), seed=7)
+    params = net.rule_params((4, 6, 3))
     path = _tmp("model")
     io.save_model(net.weights_table(spark, params), path)
     back = net.params_from_rows(io.load_model(spark, path).collect(), (4, 6, 3))
@@ -110,7 +160,7 @@ def test_stream_resumes_from_checkpoint(spark):
     cat.where("event_id % 2 = 0").repartition(3).write.parquet(src)
     stream_score_records(spark, src, sink, ck, stats, params, 0.5)
     first = spark.read.parquet(sink).count()
-    cat.where("event_id % 2 = 1").repartition(3).write.mode("append").parquet(src)
+    cat.where("event_id % 2 <> 0").repartition(3).write.mode("append").parquet(src)
     stream_score_records(spark, src, sink, ck, stats, params, 0.5)
     out = spark.read.parquet(sink)
     want = cat.dropna(subset=list(FEATURES)).count()

@@ -1,5 +1,5 @@
-"""Registered queries against their DuckDB oracle (the driver's check) on
-the smallest tables. SISMO_ORACLE_ALL=1 runs every key."""
+"""Every registered query against its DuckDB oracle (the driver's check) on
+the smallest tables."""
 
 import math
 import os
@@ -10,17 +10,12 @@ import pytest
 
 import __spark_entry__ as ent
 from conftest import SF_SMALL
+from sismo.plans import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-FAST = ["read_catalog", "prediction_clean", "cell_aggregate", "hotspots_frequency", "heat_weights",
-        "cell_lattice", "parse_datetime_coerce", "null_counts", "describe", "explore_filter",
-        "interpolate_linear", "dedupe_keep_first", "year_magnitude_stats", "histogram_equal_width",
-        "kde_1d", "ols_trend", "top_magnitude_markers", "event_popup_text", "cell_year_series",
-        "sliding_sequences", "train_test_split", "forecast_chart_table", "hotspots_forecast",
-        "anomaly_report", "kmeans_by_year", "silhouette_by_year", "silhouette_by_year_fast",
-        "read_predictions", "hotspot_label"]
-KEYS = sorted(ent.oracle_sql()) if os.environ.get("SISMO_ORACLE_ALL") else FAST
+registry.load_all()
+KEYS = sorted(registry.ORACLES)
 
 
 def _norm(v):

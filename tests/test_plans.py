@@ -37,3 +37,13 @@ def test_top_k_is_take_ordered(spark):
     df = ent.queries()["hotspots_frequency"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_global_order_is_one_exchange(spark):
+    from sismo.operators import ordering as od
+    from sismo.plans.q_core import cat_ym
+    df = od.sorted_by_range(cat_ym(spark, SF_SMALL), od.time_order())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and "Window" not in plan
+    done = od.sort_by_time(cat_ym(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in done

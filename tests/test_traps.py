@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sismo.functions.cells import cell_of
 from sismo.functions.parse import parse_datetime_coerce, parse_datetime_strict, to_numeric_coerce
 from sismo.operators import explore as ex
+from sismo.operators import filters as flt
 from sismo.operators import ordering as od
 from sismo.operators import quantiles as qt
 from sismo.operators import scale as sc
@@ -212,14 +213,45 @@ def test_map_bounds_variants(spark):
     assert (c["min_lat"], c["max_lat"], c["min_lon"], c["max_lon"]) == (-10.0, 0.0, 110.0, 120.0)
 
 
-def test_prefiltered_topk_and_sample_are_exact(spark):
+def test_large_topk_and_sample_are_exact(spark):
     from sismo.operators import topk as tk
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"event_id": np.arange(5000), "magnitude": np.round(rng.uniform(2, 7, 5000), 1)})
     df = spark.createDataFrame(pdf).repartition(6)
-    got = tk.top_magnitude_markers(df, cap=100).toPandas()             # prefilter path (5000 > 4 x 100)
+    got = tk.top_magnitude_markers(df, 100).toPandas()
     want = pdf.sort_values(["magnitude", "event_id"], ascending=[False, True]).head(100)
-    assert got["event_id"].tolist() == want["event_id"].tolist()
-    s1 = tk.sample_exact_n(df, 50).toPandas()["event_id"].tolist()    # prefilter path
+    assert sorted(got["event_id"]) == sorted(want["event_id"]) and list(got.columns) == list(df.columns)
+    assert tk.top_magnitude_markers(df, 9000).count() == 5000
+    s1 = tk.sample_exact_n(df, 50).toPandas()["event_id"].tolist()
     full = df.orderBy(tk.sample_key(), "event_id").limit(50).toPandas()["event_id"].tolist()
-    assert s1 == full and len(s1) == 50
+    assert sorted(s1) == sorted(full) and len(s1) == 50
+
+
+def test_depth_bounds_truncate_toward_zero(spark):
+    df = spark.createDataFrame([(2020, 5.0, -1.5), (2020, 5.0, -0.5), (2020, 5.0, 9.5), (2020, 5.0, 9.0)],
+                               "year int, magnitude double, depth double")
+    kept = flt.explore_filter(df, truncate_bounds=True)
+    assert sorted(r.depth for r in kept.collect()) == [-0.5, 9.0]
+
+
+def test_interpolation_over_batches_and_partitions(spark):
+    """Long runs of nulls across Arrow batches and range partitions."""
+    rng = np.random.default_rng(12)
+    n = 700
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    a[rng.random(n) < 0.4] = np.nan
+    b[50:420] = np.nan
+    b[:7] = np.nan
+    a[-9:] = np.nan
+    pdf = pd.DataFrame({"event_id": np.arange(n), "a": a, "b": b, "t": ["x"] * n})
+    df = spark.createDataFrame([(int(i), None if np.isnan(x) else float(x), None if np.isnan(y) else float(y), t)
+                                for i, x, y, t in pdf.itertuples(index=False)], "event_id long, a double, b double, t string").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+        got = od.interpolate_linear(df, ["a", "b"], order=[F.col("event_id").asc()], partitions=4).orderBy("event_id").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got["pos"].tolist() == list(range(n)) and list(got.columns) == ["event_id", "a", "b", "t", "pos"]
+    for c in "ab":
+        np.testing.assert_allclose(got[c].to_numpy(dtype=float), pdf[c].interpolate(limit_direction="forward").to_numpy(), atol=1e-12)
