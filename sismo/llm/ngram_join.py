@@ -216,10 +216,9 @@ def _block_pair(threshold):
 
 def _hot_groups(hot: DataFrame, s: Scratch) -> DataFrame:
     """(node, grp): nodes that share large buckets, directly or in steps."""
-    both = components(hot.select(F.col("node").alias("a"), F.col("key").alias("b"))
-                      .groupBy("b").agg(F.min("a").alias("low"))
-                      .join(hot.select(F.col("key").alias("b"), F.col("node").alias("a")), "b")
-                      .select("a", F.col("low").alias("b")))
+    low = s.keep(hot.groupBy("key").agg(F.min("node").alias("low")), "low")  # written, so that the join can split hot keys
+    both = components(hot.join(low, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    s.drop(low)
     return both.select("node", F.col("root").alias("grp"))
 
 

@@ -27,9 +27,9 @@ WINDOW = 8
 CHUNK = 4096
 LEVEL = 3
 # Fixed values: (bytes below, lowest ratio, highest ratio); the last row has no upper length.
-BANDS = ((256, 0.40, 1.20), (1024, 0.32, 0.95), (4096, 0.26, 0.90), (16384, 0.22, 0.85), (None, 0.18, 0.80))
+BANDS = ((256, 0.40, 1.20), (1024, 0.32, 0.90), (4096, 0.26, 0.80), (16384, 0.22, 0.70), (None, 0.18, 0.65))
 # Limits of one full chunk, and the share of chunks outside them that rejects.
-CHUNK_BAND = (0.20, 0.90)
+CHUNK_BAND = (0.20, 0.75)
 MAX_BAD_CHUNKS = 0.5
 
 SYMBOL = np.zeros(256, bool)

@@ -114,14 +114,16 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Document ranges [a, b) of at most ``most`` bytes, or one document."""
+def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Document ranges [a, b) of at most ``most`` bytes, or one document.
+    After the last one, freed memory goes back to the system."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1
         b = min(max(b, a + 1), n)
         yield a, b
         a = b
+    give_back()
 
 
 @dataclass
