@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import textarr as ta
 
 Q = 12
-WINDOW = 80
-STRIDE = 40
+WINDOW = 64
+STRIDE = 16
 PER_EDIT = 16
 SHORTEST = 24
 INDEX_CHARS = 4_000_000
