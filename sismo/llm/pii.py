@@ -352,7 +352,7 @@ def examples(texts: list[str]):
 
 def fit(docs: DataFrame) -> Field | None:
     """The field's weights from a bounded sample (see the module text)."""
-    rows = (thin(docs.select("doc_id", "text"), 50 * TRAIN_DOCS)
+    rows = (thin(docs.select("doc_id", "text"), 20 * TRAIN_DOCS)
             .where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
             .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).collect())
     return train(*examples([r.text for r in rows]))
