@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .ordering import MID, PID, offsets, part_of, sorted_by_range
+from .ordering import PID, offsets, part_of, sorted_by_range
 
 
 def qname(p: float) -> str:
