@@ -238,50 +238,51 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, mos
 
 # ---- reading ----------------------------------------------------------
 
-def _read(length, block):
+def _read(length, block, checksums):
+    """Decoded documents; with ``checksums`` in place of their ids."""
     def run(batches):
         release()
         decoder = Decoder(length)
         for batch in batches:
-            for row in batch.to_pylist():
-                n = row["n_ids"]
-                flat = decoder.decode(row["payload"], np.frombuffer(row["checkpoints"], "<i8"), n, block)
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                flat = decoder.decode(row["payload"], np.frombuffer(row["checkpoints"], "<i8"), row["n_ids"], block)
                 doc, size = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
                 ends = np.cumsum(size)
                 raw = memoryview(flat.astype("<u4")).cast("B")
-                parts = [raw[4 * a:4 * b] for a, b in zip((ends - size).tolist(), ends.tolist())]
+                parts = (raw[4 * a:4 * b] for a, b in zip((ends - size).tolist(), ends.tolist()))
+                last = pa.array(map(zlib.crc32, parts), pa.int64()) if checksums else pa.array(list(parts), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]] * len(doc), pa.int32()), pa.array(row["first_id"] + ends - size, pa.int64()),
-                     pa.array(doc, pa.int64(), mask=np.frombuffer(row["known"], np.uint8) == 0), pa.array(size, pa.int64()),
-                     pa.array(parts, pa.binary())],
-                    names=["shard", "at", "doc_id", "n_tokens", "ids"])
+                     pa.array(doc, pa.int64(), mask=np.frombuffer(row["known"], np.uint8) == 0), pa.array(size, pa.int64()), last],
+                    names=["shard", "at", "doc_id", "n_tokens", "ids_crc32" if checksums else "ids"])
     return run
 
 
-def _checksums(batches):
-    for batch in batches:
-        crc = [zlib.crc32(x.as_buffer()) for x in batch.column(4)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(crc, pa.int64())],
-                                         names=["shard", "at", "doc_id", "n_tokens", "ids_crc32"])
-
-
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per stored document: shard, at (ids before it in its shard),
-    doc_id, n_tokens, ids (little-endian unsigned 32-bit)."""
+def _decoded(spark: SparkSession, folder: str, checksums: bool) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/codes").collect()  # one row per vocabulary entry at most
     length = np.zeros(max((r.id for r in rows), default=0) + 1, np.uint8)
     for r in rows:
         length[r.id] = r.length
     segments = spark.read.schema(SEGMENTS).parquet(f"{folder}/segments")
-    return segments.mapInArrow(_read(length, BLOCK), "shard int, at long, doc_id long, n_tokens long, ids binary")
+    return segments.mapInArrow(_read(length, BLOCK, checksums), "shard int, at long, doc_id long, n_tokens long, "
+                               + ("ids_crc32 long" if checksums else "ids binary"))
+
+
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per stored document: shard, at (ids before it in its shard),
+    doc_id, n_tokens, ids (little-endian unsigned 32-bit)."""
+    return _decoded(spark, folder, False)
 
 
 def digest(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
-    docs = read_ids(spark, folder).mapInArrow(_checksums, "shard int, at long, doc_id long, n_tokens long, ids_crc32 long")
+    """doc_id, start (ids of all documents before), n_tokens, ids_crc32.
+    Checksums are formed where the ids are decoded: a second Python step
+    would put a second worker beside each task."""
     sums = (spark.read.schema(SEGMENTS).parquet(f"{folder}/segments").groupBy("shard").agg(F.sum("n_ids").alias("n"))
             .select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("before")))  # one row per shard
-    return docs.join(sums, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    docs = _decoded(spark, folder, True).join(sums, "shard")
+    return docs.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_id_files(docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
