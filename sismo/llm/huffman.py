@@ -37,7 +37,7 @@ from .tokens import release, tokenizer, with_end
 
 END_ID = 2
 MAX_LENGTH = 20
-BLOCK = 1024
+BLOCK = 512
 SEGMENT = 1 << 18  # ids a segment has at most, but for a single longer document
 
 SEGMENTS = ("shard int, first_id long, n_ids long, doc_ids binary, known binary, sizes binary, "
@@ -57,8 +57,8 @@ def code_lengths(counts: np.ndarray, most: int = MAX_LENGTH) -> np.ndarray:
         out[used] = 1
     if n < 2:
         return out
-    if n > 1 << most:
-        raise ValueError("the length limit is too small for this many ids")
+    if n > 1 << most or most > 31 or len(counts) > 1 << 27:
+        raise ValueError("the length limit is too small for this many ids, or the table too narrow for them")
     used = used[np.argsort(counts[used], kind="stable")]
     weight = counts[used].astype(np.float64)
     levels = []  # for each list, which of its sorted items are packages
@@ -112,35 +112,35 @@ def encode_bits(ids, code, length):
 
 
 class Decoder:
-    """Lookup table over the next ``bits`` bits: id and code length."""
+    """Lookup table over the next ``bits`` bits: id and, in the low five
+    bits, code length."""
 
     def __init__(self, length: np.ndarray):
         self.bits = int(length.max(initial=1))
         order = np.lexsort((np.arange(len(length)), length))
         order = order[length[order] > 0]
         span = (1 << (self.bits - length[order].astype(np.int64)))
-        self.ids = np.zeros(1 << self.bits, np.uint32)
-        self.step = np.ones(1 << self.bits, np.uint8)
-        self.ids[:span.sum()] = np.repeat(order, span)
-        self.step[:span.sum()] = np.repeat(length[order], span)
+        self.table = np.ones(1 << self.bits, np.uint32)
+        self.table[:span.sum()] = np.repeat((order << 5 | length[order]).astype(np.uint32), span)
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
         """All ``n`` ids; block b starts at bit checkpoints[b]."""
         raw = np.frombuffer(payload + b"\0" * (16 - len(payload) % 4), ">u4").astype(np.uint64)
         wide = (raw[:-1] << np.uint64(32)) | raw[1:]
         out = np.zeros((block, len(checkpoints)), np.uint32)
-        pos = checkpoints.astype(np.int64).copy()
+        pos = checkpoints.astype(np.uint64)
         full, rest = divmod(n, block)
-        shift, mask = 64 - self.bits, np.uint64((1 << self.bits) - 1)
+        shift, mask = np.uint64(64 - self.bits), np.uint64((1 << self.bits) - 1)
+        five, low = np.uint64(5), np.uint64(31)
         for i in range(block):
             m = full + (i < rest)  # the last block may be shorter
             if m == 0:
                 break
             p = pos[:m]
-            key = (wide[p >> 5] >> (shift - (p & 31)).astype(np.uint64)) & mask
-            out[i, :m] = self.ids[key]
-            p += self.step[key]
-        return np.ascontiguousarray(out.T).reshape(-1)[:n]
+            found = self.table[(wide[p >> five] >> (shift - (p & low))) & mask]
+            out[i, :m] = found
+            p += found & np.uint32(31)
+        return np.ascontiguousarray(out.T).reshape(-1)[:n] >> np.uint32(5)
 
 
 # ---- writing ----------------------------------------------------------
@@ -173,11 +173,13 @@ def _counted(batches):
     z = zstandard.ZstdDecompressor()
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            c = np.bincount(_unpack(z, kind, data))
+        kinds, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a in range(0, len(data), 256):
+            ids = np.concatenate([_unpack(z, k, d) for k, d in zip(kinds[a:a + 256], data[a:a + 256])])
+            c = np.bincount(ids, minlength=len(total))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-            total[:len(c)] += c
+            total += c
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
