@@ -2,9 +2,9 @@ import random
 
 import duckdb
 import pytest
-from test_decontam import brute as leaks
-from test_ngram_join import brute as classes
-from test_packing import check, plain
+from .test_decontam import brute as leaks
+from .test_ngram_join import brute as classes
+from .test_packing import check, plain
 
 import corpus_pipeline as cp
 from sismo.llm import pii, quality
