@@ -13,11 +13,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node of the component, the same for all its nodes.
 
     Each round hooks every node to its smallest neighbour when that is
-    smaller, then replaces both ends of every edge by their parents and drops
-    loops; the edge table shrinks until it is empty. A round is a few
-    shuffles of the remaining edges; its tables are written to the shared
-    scratch folder, so lineage stays short and a lost executor costs one
-    round at most. Self-loops keep their node; null ends are ignored; an
+    smaller, follows these links to the end by doubling, replaces both ends
+    of every edge by what they lead to and drops loops; the edge table shrinks
+    until it is empty, in a logarithmic number of rounds for chains as well.
+    A round is a few shuffles of the remaining edges; its tables are written
+    to the shared scratch folder, so lineage stays short and a lost executor
+    costs one round at most. Self-loops keep their node; null ends are ignored; an
     empty table gives an empty result.
     """
     spark = edges.sparkSession
@@ -28,6 +29,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ends = e.select("a", "b").union(e.select("b", "a"))
         parent = s.keep(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
                         .select("node", F.least("node", "low").alias("up")), "parent")
+        while True:  # each pass doubles the length of the links that have been followed
+            up = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            far = s.keep(parent.join(up, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("more")), "parent")
+            s.drop(parent)
+            parent = far
+            if parent.where("more").isEmpty():
+                break
         if labels is None:
             new = s.keep(parent.select("node", F.col("up").alias("root")), "labels")
         else:
