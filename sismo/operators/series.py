@@ -110,9 +110,10 @@ def training_workload(series: DataFrame, length: int = SEQUENCE_LENGTH, batch: i
 # Yearly chart (global counts per year, 2008..target)
 # ---------------------------------------------------------------------------
 def _recent(yearly: DataFrame, n: int = 5) -> DataFrame:
-    """1 row: the sorted (year, frequency) list of observed years; bounded
-    by the number of distinct years."""
-    return yearly.agg(F.sort_array(F.collect_list(F.struct("year", "frequency"))).alias("obs"))
+    """1 row: the sorted (year, frequency) list of the last n observed years
+    (all of them when there are fewer)."""
+    last = yearly.orderBy(F.col("year").desc()).limit(n)
+    return last.agg(F.sort_array(F.collect_list(F.struct("year", "frequency"))).alias("obs"))
 
 
 def yearly_trend_forecast(yearly: DataFrame, n: int = 5) -> DataFrame:
@@ -161,7 +162,7 @@ def year_spine_join(spark_df: DataFrame, yearly: DataFrame, first: int = FIRST_Y
     0, type Historical."""
     spark = spark_df.sparkSession
     spine = spark.range(first, target + 1).select(F.col("id").cast("int").alias("year"))
-    return (spine.join(F.broadcast(yearly.select("year", "frequency")), "year", "left")
+    return (spine.join(yearly.select("year", "frequency"), "year", "left")
             .select("year", F.coalesce("frequency", F.lit(0).cast("long")).alias("frequency"),
                     F.lit(TYPE_HISTORICAL).alias("type")))
 
