@@ -2,27 +2,36 @@
 
 Texts and items are lower-cased and white space becomes single spaces. Every
 benchmark item is cut into overlapping windows of ``WINDOW`` code points. A
-window stands in a document when some region lies within its edit budget, one
-edit per ``PER_EDIT`` code points. By the q-gram lemma such a region shares
-at least (length - q + 1) - edits * q q-grams with the window, on diagonals
-that differ by at most the budget. So the operator counts shared q-grams in
+window stands in a document when some region lies within its edit budget: one
+edit per ``PER_EDIT`` code points, or as many as leave a q-gram that must be
+shared (one edit instead of two for items of 32 to 35 code points). By the
+q-gram lemma such a region shares at least (length - q + 1) - edits * q
+q-grams with the window, on diagonals that differ by at most the budget. So the operator counts shared q-grams in
 overlapping diagonal bands, keeps the bands that reach the bound, and
 verifies each by banded alignment. The filter loses nothing, the alignment
-admits nothing beyond the budget.
+admits nothing beyond the budget. With ``short_items`` (as op2 and the
+pipeline call it), items under ``SHORTEST`` code points stand in a document
+when it holds them exactly as whole words: no letter, mark or digit goes on
+across either end (scripts written without spaces have a word boundary at
+every character). Without it they are not searched.
 
 Plan: map-only over the documents. The item index is broadcast in blocks of
 at most ``INDEX_CHARS`` characters; a larger benchmark is searched block by
 block in consecutive map steps of the same pass, so no task ever holds more
 than one block and nothing is left out.
 
-Defined results: null texts count as empty; null items and items under
-``SHORTEST`` code points (normalised) are not searched, as they would match
-anything; repeated rows each get their own equal row; empty tables give empty
-or all-clean results; other columns are ignored.
+Defined results: null texts count as empty; items without any text are not
+searched; items with a null item_id contaminate like all others, count
+together as one in n_items and have no name in item_ids; repeated rows each
+get their own equal row; empty tables give empty or all-clean results; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +51,10 @@ INDEX_CHARS = 4_000_000
 _BITS = 20
 _NONE = np.uint32(0xFFFFFFFF)  # no code point: outside the document
 
+# Code points of scripts written without spaces (Thai to Lao, Myanmar, Khmer, kana, Han, ...).
+_UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3100), (0x31F0, 0x3200), (0x3400, 0xA000),
+             (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x32000))
+
 STATE = "doc_id long, text string, items array<long>, edits int"
 
 
@@ -87,9 +100,22 @@ def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
     return out
 
 
+@functools.cache
+def word_points() -> np.ndarray:
+    """Which code points belong to words: letters, marks, digits, _."""
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    out[ord("_")] = True
+    for a, b in _UNSPACED:
+        out[a:b] = False
+    return out
+
+
 @dataclass
 class Index:
-    """Windows of a block of items and the q-grams in them."""
+    """Windows of a block of items and the q-grams in them; short items by
+    their length, as (sorted hashes, their code points, their items)."""
+    ids: list            # item_id of each item, may be None
+    short: dict
     points: np.ndarray   # (windows, WINDOW), padded
     length: np.ndarray
     item: np.ndarray
@@ -102,35 +128,41 @@ class Index:
     table: np.ndarray    # bit table over the top bits of the hashes
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
-    wins, owner = [], []
+def build_index(items: list[tuple[int | None, str]], short_items: bool = False) -> Index | None:
+    wins, owner, whole = [], [], {}
     points, off = normalise(pa.array([t for _, t in items], pa.large_string()))
-    for (i, _), a, b in zip(items, off[:-1], off[1:]):
+    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
         if b - a < SHORTEST:
+            if short_items and b > a:
+                whole.setdefault(b - a, []).append((a, i))
             continue
         starts = [a] if b - a <= WINDOW else sorted({*range(a, b - WINDOW + 1, STRIDE), b - WINDOW})
         for s in starts:
             wins.append(points[s:min(s + WINDOW, b)])
             owner.append(i)
-    if not wins:
+    if not wins and not whole:
         return None
-    length = np.array([len(w) for w in wins])
-    budget = length // PER_EDIT
+    short = {}
+    for n, found in whole.items():
+        a, i = np.array(found).T
+        h = ta.segment_hash(points, a, a + n)
+        order = np.argsort(h, kind="stable")
+        short[n] = h[order], points[a[order, None] + np.arange(n)], i[order]
+    length = np.array([len(w) for w in wins], np.int64)
+    budget = np.minimum(length // PER_EDIT, length // Q - 1)  # the bound stays positive
     bound = length - Q + 1 - budget * Q
-    if (bound < 1).any():
-        raise ValueError("the q-gram bound must be positive for every window length")
     padded = np.full((len(wins), WINDOW), _NONE, np.uint32)
     for row, w in zip(padded, wins):
         row[:len(w)] = w
     h = [gram_hashes(w) for w in wins]
-    flat = np.concatenate(h)
-    window = np.repeat(np.arange(len(wins)), [len(x) for x in h])
-    offset = np.concatenate([np.arange(len(x)) for x in h])
+    flat = np.concatenate([np.zeros(0, np.uint64), *h])
+    window = np.repeat(np.arange(len(wins)), np.array([len(x) for x in h], np.int64))
+    offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in h)])
     order = np.argsort(flat, kind="stable")
     grams, first = np.unique(flat[order], return_index=True)
     table = np.zeros(1 << _BITS, bool)
     table[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Index(padded, length, np.array(owner, np.int64), budget, bound, grams, np.append(first, len(flat)),
+    return Index([i for i, _ in items], short, padded, length, np.array(owner, np.int64), budget, bound, grams, np.append(first, len(flat)),
                  window[order], offset[order], table)
 
 
@@ -170,8 +202,40 @@ def align(points, lo_bound, hi_bound, start, width, windows, length, most):
 
 
 def search(points: np.ndarray, off: np.ndarray, ix: Index):
-    """(document, window, edits) of every match in a slice of documents."""
+    """(document, item, edits) of every match in a slice of documents; items
+    as places in ``ix.ids``."""
+    doc, window, edits = search_windows(points, off, ix)
+    parts = [(doc, ix.item[window], edits), *search_short(points, off, ix)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def search_short(points: np.ndarray, off: np.ndarray, ix: Index):
+    """Matches of the short items, as whole words, by item length."""
+    if not ix.short or len(points) == 0:
+        return
+    word = word_points()[points]
+    edge = np.ones(len(points) + 1, bool)
+    edge[1:-1] = ~(word[1:] & word[:-1])
+    edge[off] = True
+    for n, (hashes, texts, items) in ix.short.items():
+        for i in range(0, len(points) - n + 1, ta.BLOCK // 2):
+            part = points[i:i + ta.BLOCK // 2 + n - 1]
+            start = np.flatnonzero(edge[i:i + len(part) - n + 1] & edge[i + n:i + len(part) + 1])
+            h = ta.segment_hash(part, start, start + n)
+            lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            size = hi - lo
+            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            start = np.repeat(start, size)
+            doc = np.searchsorted(off, i + start, side="right") - 1
+            ok = (i + start + n <= off[doc + 1]) & (part[start[:, None] + np.arange(n)] == texts[at]).all(axis=1)
+            yield doc[ok], items[at[ok]], np.zeros(int(ok.sum()), np.int64)
+
+
+def search_windows(points: np.ndarray, off: np.ndarray, ix: Index):
+    """(document, window, edits) of every matching window."""
     none = np.zeros(0, np.int64)
+    if len(ix.length) == 0:
+        return none, none, none
     h = gram_hashes(points)
     pos = np.flatnonzero(ix.table[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
     if len(pos) == 0:
@@ -211,6 +275,10 @@ def search(points: np.ndarray, off: np.ndarray, ix: Index):
     return doc[ok], window[ok], edits[ok]
 
 
+def _by_id(item_id):
+    return item_id is None, item_id or 0
+
+
 def _step(shared):
     def run(batches):
         ix = shared.value
@@ -219,33 +287,33 @@ def _step(shared):
             found, least = [set(x or ()) for x in batch.column(2).to_pylist()], batch.column(3).to_pylist()
             for a, b in ta.slices(off_all):
                 points, off = normalise(batch.column(1).slice(a, b - a))
-                for d, w, e in zip(*(x.tolist() for x in search(points, off, ix))):
-                    found[a + d].add(int(ix.item[w]))
+                for d, i, e in zip(*(x.tolist() for x in search(points, off, ix))):
+                    found[a + d].add(ix.ids[i])
                     least[a + d] = e if least[a + d] is None else min(e, least[a + d])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array(least, pa.int32())],
+                [batch.column(0), batch.column(1), pa.array([sorted(x, key=_by_id) for x in found], pa.list_(pa.int64())), pa.array(least, pa.int32())],
                 names=["doc_id", "text", "items", "edits"])
     return run
 
 
-def _blocks(benchmark: DataFrame):
+def _blocks(benchmark: DataFrame, short_items: bool):
     """Indexes over blocks of about INDEX_CHARS characters of items each."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-chars // INDEX_CHARS)
     for b in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()
-        index = build_index(sorted((r.item_id, r.text) for r in part))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
+        index = build_index(sorted(((r.item_id, r.text) for r in part), key=lambda x: (_by_id(x[0]), x[1])), short_items)
         if index is not None:
             yield index
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids
     (ascending, comma-joined), min_edits (null when clean)."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("items"),
                       F.lit(None).cast("int").alias("edits"))
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, short_items):
         out = out.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast(index)), STATE)
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"),
                       F.concat_ws(",", F.col("items").cast("array<string>")).alias("item_ids"),
@@ -266,10 +334,10 @@ def _clean(shared, at):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, with all their
     columns."""
     out = docs
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, short_items):
         out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
     return out

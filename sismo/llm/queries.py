@@ -29,7 +29,7 @@ def op1_skip_chain_pii(spark, sf_dir):
 @query
 def op2_benchmark_decontamination(spark, sf_dir):
     from .decontam import find_contamination
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 @query

@@ -103,3 +103,47 @@ def test_edges(spark, make):
     t = "x " * 50000 + "THE quick  brown fox jumps\nover the lazy dog by the old river bank " + "y " * 50000
     df = make([t, t], [4, 4]).selectExpr("*", "1 as items", "2 as edits", "3 as item_id")
     assert got(dc.find_contamination(df, bench)) == [(4, "1", 0), (4, "1", 0)]
+
+
+def letters(rnd, n):
+    """n code points of words, no space at the ends or next to another."""
+    out = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzé", k=n))
+    return "".join(" " if 0 < i < n - 1 and i % 6 == 5 else c for i, c in enumerate(out))
+
+
+def test_items_of_every_length(spark, make):
+    rnd = random.Random(8)
+    items = [(n, letters(rnd, n)) for n in range(1, 81)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    # digits around them: nothing but the item itself can match
+    exact = got(dc.find_contamination(make([f"12 345 {t.upper()}, 67 890" for _, t in items]), bench, short_items=True))
+    for (n, _), (_, ids, least) in zip(items, exact):
+        assert str(n) in ids.split(",") and least == 0, n
+    changed = [(n, k) for n, _ in items for k in (1, 2, 3) if n >= dc.SHORTEST]
+    texts = []
+    for n, k in changed:
+        t = list(items[n - 1][1])
+        for j in range(k):
+            t[(2 * j + 1) * n // (2 * k)] = "#"
+        texts.append("12 345 " + "".join(t) + " 67 890")
+    for (n, k), text, (_, ids, _) in zip(changed, texts, got(dc.find_contamination(make(texts), bench, short_items=True))):
+        want = any(edits(w, norm(text)) <= min(len(w) // dc.PER_EDIT, len(w) // dc.Q - 1) for w in windows(items[n - 1][1]))
+        assert (str(n) in ids.split(",")) == want, (n, k)
+
+
+def test_short_items_are_whole_words(spark, make):
+    bench = spark.createDataFrame([(1, "The  Cat"), (2, "9"), (3, "x = 1;"), (4, "\u732b\u306f"), (5, "the cat")], "item_id long, text string")
+    texts = ["(the\ncat)", "the cats", "bathe cat", "the", "cat 9", "19 9th", "ax = 1;2", "x = 1;2", "\u9ed2\u732b\u306f\u597d", "the cat"]
+    want = ["1,5", "", "", "", "2", "", "", "3", "4", "1,5"]
+    assert [x[1] for x in got(dc.find_contamination(make(texts), bench, short_items=True))] == want
+    clean = dc.drop_contaminated(make(texts), bench, short_items=True)
+    assert sorted(r.doc_id for r in clean.collect()) == [i for i, w in enumerate(want) if not w]
+
+
+def test_items_without_an_id(spark, make):
+    item = "the quick brown fox jumps over the lazy dog by the old river bank"
+    bench = spark.createDataFrame([(None, item), (None, "old bank"), (7, item)], "item_id long, text string")
+    docs = make([f"so {item} it was", "an old bank", "nothing"])
+    rows = dc.find_contamination(docs, bench, short_items=True).orderBy("doc_id").collect()
+    assert [(r.contaminated, r.n_items, r.item_ids, r.min_edits) for r in rows] == [(True, 2, "7", 0), (True, 1, "", 0), (False, 0, "", None)]
+    assert [r.doc_id for r in dc.drop_contaminated(docs, bench, short_items=True).collect()] == [2]
