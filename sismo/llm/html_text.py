@@ -4,12 +4,18 @@ The standard library's parser streams events; they become lines (the text of
 one block-level stretch) with the number of tags met and of characters
 inside links. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are not content, whether
-their element or its class, id or role says so. The ratio of text to tags of
-the other lines is smoothed with a Gaussian and split into two clusters; the
-upper one marks content regions. The answer is every line (of those allowed)
-of the element that holds the regions: the article or main element if they
-lie in one, else the innermost element with most of their text; so short
-lines between long ones stay.
+their element or its class, id or role says so: a name of ``WORDS`` alone or
+at the end of a longer one, not with-, has- or no- such a name. An element
+around a main element, or around the page's only articles, is content for all
+that. The ratio of text to tags of the other lines is smoothed with a
+Gaussian and split into two clusters; the upper one marks content regions.
+The answer is every line (of those allowed) of the element that holds the
+regions: the article or main elements if most of them lie there, else the
+innermost container around all of them and all lines whose own ratio reaches
+the upper cluster, be it the whole page; so headlines
+and short lines before, between and after long ones stay. Only where that is
+the whole page, elements of links before the first and after the last region
+count as menus.
 
 Map-only; a page is parsed in pieces and only its text is held.
 
@@ -31,7 +37,6 @@ from pyspark.sql import DataFrame
 SIGMA = 1.5
 PIECE = 1 << 16
 MOST_LINKS = 0.5  # share of a content line's characters inside links
-MOST_OF = 0.8     # share of the regions' text that the chosen element holds
 
 # Element and attribute names.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "head", "title", "iframe", "object", "canvas", "audio", "video"}
@@ -50,24 +55,47 @@ WORDS = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertisin
          "aside", "widget", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "popup", "modal", "overlay", "newsletter",
          "subscribe", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "share", "sharing",
          "social", "related", "recommended", "toolbar", "skip"}
+TALK = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}  # of readers: may hold articles of their own
+PARTS = {"area", "box", "form", "items", "links", "list", "posts"}  # may follow a name of WORDS
+NOT = {"with", "has", "no", "without", "not", "non"}
+NO_CONTAINER = {"p", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "tr", "td", "th", "tbody", "thead",
+                "caption", "figcaption", "address", "summary"}
 _WORD = re.compile("[a-z0-9]+")
 
 
+def said(names: str) -> set[str]:
+    """What class or id names call their element: the last word of each name,
+    or the one before a word of PARTS."""
+    out = set()
+    for name in names.split():
+        words = _WORD.findall(name)
+        if len(words) > 1 and words[-1] in PARTS:
+            words.pop()
+        if words and not NOT.intersection(words[:-1]):
+            out.add(words[-1])
+    return out
+
+
 @dataclass
 class Line:
     text: str
     tags: int
     linked: int
     path: tuple[int, ...]  # numbers of the open block elements
-    content: bool
+    marked: list[_Open]    # open elements that looked like no content
 
+    @property
+    def content(self) -> bool:
+        return not any(o.aside for o in self.marked)
 
-@dataclass
+
+@dataclass(eq=False)
 class _Open:
     name: str
     number: int
     aside: bool
     block: bool
+    talk: bool = False
 
 
 @dataclass
@@ -79,6 +107,7 @@ class Lines(HTMLParser):
     def __post_init__(self):
         HTMLParser.__init__(self, convert_charrefs=True)
         self.open: list[_Open] = []
+        self.mains: list[tuple[str, int, list[_Open]]] = []  # article and main elements, marked elements around them
         self.parts: list[str] = []
         self.tags = self.linked = self.silent = self.links = 0
 
@@ -88,7 +117,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             blocks = [o for o in self.open if o.block]
-            self.lines.append(Line(text, self.tags, self.linked, tuple(o.number for o in blocks), not any(o.aside for o in self.open)))
+            self.lines.append(Line(text, self.tags, self.linked, tuple(o.number for o in blocks), [o for o in self.open if o.aside]))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -103,9 +132,29 @@ class Lines(HTMLParser):
         a = {k: (v or "").lower() for k, v in attrs}
         if a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             return True
-        named = set(_WORD.findall(a.get("class", "") + " " + a.get("id", "")))
+        named = said(a.get("class", "") + " " + a.get("id", ""))
         return bool(named & WORDS) or "header" in named and not inside
 
+    @staticmethod
+    def _talk(attrs):
+        return any(k in ("class", "id") and TALK & said((v or "").lower()) for k, v in attrs)
+
+    def settle(self):
+        """Unmarks elements around a main element, and those around articles
+        when no article or main lies elsewhere and most text is in these."""
+        for name, _, marked in self.mains:
+            for o in marked if name == "main" else ():
+                o.aside = False
+        if not all(any(o.aside for o in marked) for _, _, marked in self.mains):
+            return
+        numbers = {n for _, n, _ in self.mains}
+        free = sum(len(x.text) for x in self.lines if x.content)
+        held = sum(len(x.text) for x in self.lines if numbers.intersection(x.path))
+        for _, _, marked in self.mains if held > free else ():
+            if free == 0 or not any(o.talk for o in marked):
+                for o in marked:
+                    o.aside = False
+
     def handle_starttag(self, name, attrs):
         self.tags += 1
         if name in ("body", "main", "article"):
@@ -122,7 +171,10 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if name in VOID:
             return
-        self.open.append(_Open(name, len(self.kinds) if block else -1, self._not_content(name, attrs), block))
+        if name in ("article", "main"):
+            self.mains.append((name, len(self.kinds), [o for o in self.open if o.aside]))
+        aside = self._not_content(name, attrs)
+        self.open.append(_Open(name, len(self.kinds) if block else -1, aside, block, aside and self._talk(attrs)))
         if block:
             self.kinds.append(name)
         self.silent += name in SILENT
@@ -172,6 +224,7 @@ def read_lines(html: str) -> Lines:
         p.feed(html[i:i + PIECE])
     p.close()
     p.flush()
+    p.settle()
     return p
 
 
@@ -205,7 +258,8 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     size = np.array([len(x.text) for x in lines], float)
-    ratio = smoothed(size / np.array([max(1, x.tags) for x in lines]))
+    own = size / np.array([max(1, x.tags) for x in lines])
+    ratio = smoothed(own)
     chosen = (ratio >= threshold(ratio)) & (np.array([x.linked for x in lines]) <= MOST_LINKS * size)
     if not chosen.any():
         chosen = ratio >= threshold(ratio)
@@ -219,11 +273,33 @@ def main_text(html: str | None) -> str:
     if whole and sum(w for x, w in zip(lines, weight) if set(whole) & set(x.path)) >= 0.5 * all_of:
         roots = set(whole)
         return "\n".join(x.text for x in lines if roots & set(x.path))
-    deep = [e for e, w in held.items() if w >= MOST_OF * all_of]
-    if deep and page.kinds[max(deep)] not in ("html", "body"):
-        return "\n".join(x.text for x in lines if max(deep) in x.path)
-    at = np.flatnonzero(chosen)
-    return "\n".join(x.text for x in lines[at[0]:at[-1] + 1])
+    # a line as dense as a region is one also where its neighbours are not
+    dense = (own >= threshold(ratio)) & (np.array([x.linked for x in lines]) <= MOST_LINKS * size)
+    at = np.flatnonzero(chosen | dense)
+    root = list(lines[at[0]].path)
+    for i in at:
+        path = lines[i].path
+        while root and (len(path) < len(root) or path[len(root) - 1] != root[-1]):
+            root.pop()
+    while root and page.kinds[root[-1]] in NO_CONTAINER:
+        root.pop()
+    if root and page.kinds[root[-1]] not in ("html", "body"):
+        return "\n".join(x.text for x in lines if root[-1] in x.path)
+    return "\n".join(x.text for x, stays in zip(lines, _no_menus(lines, len(root), at[0], at[-1])) if stays)
+
+
+def _no_menus(lines: list[Line], depth: int, first: int, last: int) -> list[bool]:
+    """Which lines of a whole page stay: all but those outside first .. last
+    in a block below the root, wholly outside, with most text inside links."""
+    sums: dict[int, list] = {}
+    for i, x in enumerate(lines):
+        if len(x.path) > depth:
+            t = sums.setdefault(x.path[depth], [0, 0, True])
+            t[0] += len(x.text)
+            t[1] += x.linked
+            t[2] &= not first <= i <= last
+    return [len(x.path) <= depth or not sums[x.path[depth]][2] or sums[x.path[depth]][1] <= MOST_LINKS * sums[x.path[depth]][0]
+            for x in lines]
 
 
 def _extract(batches):

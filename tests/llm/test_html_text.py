@@ -89,3 +89,44 @@ def test_edges(spark):
     assert ht.extract_text(spark.createDataFrame([], schema)).collect() == []
     df = spark.createDataFrame([(1, "u", "<p>x", "a", 1), (1, "u", "<p>x", "a", 1), (None, None, None, None, None)], schema)
     assert sorted(((r.text, r.n_chars) for r in ht.extract_text(df).collect())) == [("", 0), ("x", 1), ("x", 1)]
+
+
+def test_the_root_is_a_container_around_all_regions():
+    long, short = (P * 9).strip(), (P * 2).strip()
+    assert ht.main_text(f"<div><h1>Title</h1><p>{long}</p><p>{short}</p></div>") == f"Title\n{long}\n{short}"
+    parts = f"<div><h2>One</h2>{f'<p>{short}</p>' * 5}</div><div><h2>Two</h2><p>{short}</p></div>"
+    assert ht.main_text(f"<body><nav>Home</nav><div>{parts}</div></body>") == "\n".join(["One", *[short] * 5, "Two", short])
+    page = f"<html><body><h1>Title</h1><p>First.</p><p>{short}</p><p>{short}</p><p>{short}</p><p>Last.</p><p>End.</p></body></html>"
+    assert ht.main_text(page) == "\n".join(["Title", "First.", short, short, short, "Last.", "End."])
+    assert ht.main_text(page.replace("<html><body>", "").replace("</body></html>", "")) == ht.main_text(page)
+    for name in ("li", "blockquote", "pre", "h2"):
+        assert ht.main_text(f"<div><p>Before.</p><{name}>{long}</{name}><p>After.</p></div>") == f"Before.\n{long}\nAfter."
+
+
+def test_menus_outside_the_regions_of_a_whole_page():
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(9)) + "</ul>"
+    page = f"<body>{menu}<h1>Title</h1><p>{P * 3}</p><p>{P * 3}</p><p>End.</p>{menu}</body>"
+    assert ht.main_text(page).split("\n") == ["Title", (P * 3).strip(), (P * 3).strip(), "End."]
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar", "has-comments", "ad-free", "page_has_comments", "menu-page",
+                                  "sidebar", "ads"])
+def test_wrappers_that_only_sound_like_no_content(name):
+    want = "Title\n" + (P * 3).strip()
+    for kind in ("article", "main"):
+        page = f"<body><nav>Home</nav><div class='{name}'><p>Before.</p><{kind}><h1>Title</h1><p>{P * 3}</p></{kind}></div><footer>We</footer></body>"
+        assert ht.main_text(page) == want
+        assert ht.main_text(page.replace("div", "form")) == want
+    if name not in ("sidebar", "ads"):
+        page = f"<body><nav>Home</nav><div id='{name}'><h1>Title</h1><p>{P * 3}</p></div></body>"
+        assert ht.main_text(page) == want
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "post comments", "site_footer", "comment-list", "related-posts", "ad-box"])
+def test_no_content_by_name(name):
+    teasers = "".join(f"<article><p>{i} {P * 2}</p></article>" for i in range(3))
+    for inner in (P * 4, teasers):
+        page = f"<body><article><h1>Title</h1><p>{P * 3}</p></article><div class='{name}'>{inner}</div></body>"
+        assert ht.main_text(page) == "Title\n" + (P * 3).strip()
+    page = f"<body><div><p>{P * 3}</p><p>{P * 3}</p></div><section class='comments'>{teasers * 3}</section></body>"
+    assert ht.main_text(page) == (P * 3).strip() + "\n" + (P * 3).strip()
