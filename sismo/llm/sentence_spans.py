@@ -1,12 +1,17 @@
 """Substring deduplication by sliding sentence spans (operator 10).
 
-A text is cut into sentences (after . ! ? before white space, and at every
-line feed). Every run of consecutive sentences that is just long enough is
+A text is cut into sentences: after a stop before white space, also when
+closing quotes or brackets stand between the two, and at every line feed
+(``STOPS``, ``FULL_STOPS`` and ``CLOSERS`` list the marks). Words are cut at
+ASCII white space, so text in a script without spaces is one word. Every run of consecutive sentences that is just long enough is
 hashed on its words: from each sentence on, and up to each sentence, the
 shortest run of two or more sentences with ``MIN_WORDS`` words, or a single
 sentence of twice as many. Both directions together guarantee that of any
 shared passage of at least twice ``MIN_WORDS`` words every whole sentence
-lies in a run that is shared as well.
+lies in a run that is shared as well. What is not found: at an edge where the
+passage has no boundary of its own (unterminated text before or after it), its
+first or last sentence merges with the neighbouring text, and the guarantee
+holds for the sentences between.
 
 Runs are joined globally by hash; the first place of a hash is the smallest
 (doc_id, sentence). Sentences covered by any run that stands there not for
@@ -39,21 +44,57 @@ from . import textarr as ta
 
 MIN_WORDS = 25
 
+# Marks that end a sentence, ASCII and others, and marks that may follow them.
+STOPS = ".!?"
+FULL_STOPS = "\u3002\uff01\uff1f\uff0e\uff61\u2026\u203c\u203d\u2047\u2048\u2049\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u104b\u17d4\u17d5"
+CLOSERS = ("\"')]}\u00bb\u00ab\u2019\u2018\u201d\u201c\u203a\u2039\u300d\u300f\u3009\u300b\u3011\u3015\u3017\u3019\u301b\u301e\u301f"
+           "\uff02\uff07\uff09\uff3d\uff5d\uff60\uff63")
+
+
+def _codes(marks: str) -> np.ndarray:
+    """UTF-8 bytes of each mark as one number."""
+    return np.array(sorted(int.from_bytes(c.encode(), "big") for c in marks))
+
+
+_STOP_CODES, _CLOSER_CODES = _codes(STOPS + FULL_STOPS), _codes(CLOSERS)
 _STOP = np.zeros(256, bool)
-_STOP[list(b".!?")] = True
+_STOP[list(STOPS.encode())] = True
+_LAST = np.zeros(256, bool)  # bytes that the other marks end in
+_LAST[np.concatenate([_codes(FULL_STOPS), _CLOSER_CODES]) & 0xFF] = True
+STEPS = 8  # marks taken off many words at once; longer rows of them word by word
+
+
+def ends_sentence(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words end in a stop, or in a stop and closing marks."""
+    out = _STOP[buf[end - 1]]
+    at = np.flatnonzero(_LAST[buf[end - 1]])
+    e = end[at]
+    for _ in range(STEPS):
+        if len(at) == 0:
+            return out
+        b = buf[np.maximum(e[:, None] - [1, 2, 3], 0)].astype(np.int64)
+        size = np.where(b[:, 0] < 0x80, 1, np.where(b[:, 1] >= 0xC0, 2, 3))
+        code = b[:, 0] | np.where(size > 1, b[:, 1] << 8, 0) | np.where(size > 2, b[:, 2] << 16, 0)
+        out[at[np.isin(code, _STOP_CODES)]] = True
+        more = np.isin(code, _CLOSER_CODES) & (e - size > start[at])
+        at, e = at[more], (e - size)[more]
+    for i, x in zip(at.tolist(), e.tolist()):
+        left = buf[start[i]:x].tobytes().decode().rstrip(CLOSERS)
+        out[i] = left.endswith(tuple(STOPS + FULL_STOPS))
+    return out
 
 
 def sentences(buf: np.ndarray, off: np.ndarray):
     """Word table and sentences of all documents: (words, first word of each
     sentence plus the total, first sentence of each document plus the total).
     A sentence begins at a document's first word, after a word that ends in
-    . ! ? and after white space holding a line feed."""
+    a stop (and closing marks) and after white space holding a line feed."""
     w = ta.words(buf, off)
     n = len(w.start)
     begins = np.zeros(n + 1, bool)
     begins[w.first[:-1]] = True
     if n:
-        begins[1:n] |= _STOP[buf[w.end[:-1] - 1]]
+        begins[1:n] |= ends_sentence(buf, w.start[:-1], w.end[:-1])
         lines = np.searchsorted(np.flatnonzero(buf == 0x0A), w.start)
         begins[1:n] |= lines[1:] != lines[:-1]
     first_word = np.concatenate([np.flatnonzero(begins[:n]), [n]])

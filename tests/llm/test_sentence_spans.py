@@ -1,7 +1,10 @@
 import random
 import re
 
-from sismo.llm.sentence_spans import MIN_WORDS, dedup_sentence_spans
+import numpy as np
+import pytest
+
+from sismo.llm.sentence_spans import CLOSERS, FULL_STOPS, MIN_WORDS, STOPS, dedup_sentence_spans, ends_sentence
 
 WS = " \t\n\r\v\f"
 
@@ -102,3 +105,22 @@ def test_edges(make):
     assert [r.n_removed for r in dedup_sentence_spans(clash).orderBy("doc_id").collect()] == [0, 12]
     long = " ".join(f"w{i}" for i in range(30000)) + ". " + p
     assert got(dedup_sentence_spans(make([long, p])))[1][3] == 12
+
+
+@pytest.mark.parametrize("end", ['."', "!)", "?'", ".)]", ".\u201d", "!\u00bb", "\u3002", "\uff1f\u300d", "\u2026\"", "\u0964", "." + ")" * 20])
+def test_stops_before_closing_marks_and_other_stops(make, end):
+    first, second = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    shared = f"{first}{end} {second}{end}"
+    texts = [f"one he said{end} {shared} Then this went on", f"two they asked{end} {shared} Now that came up"]
+    assert got(dedup_sentence_spans(make(texts))) == [(0, texts[0], 4, 0), (1, f"two they asked{end} Now that came up", 4, 2)]
+
+
+def test_word_ends(make):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("a\u00e9\u732b\U0001f600," + STOPS + FULL_STOPS[:4] + CLOSERS, k=rnd.randrange(1, 30))) for _ in range(3000)]
+    words += ["x" + s + c for s in STOPS + FULL_STOPS for c in ["", *CLOSERS]] + list(CLOSERS)
+    raw = [w.encode() for w in words]
+    end = np.cumsum([len(r) for r in raw])
+    want = [w.rstrip(CLOSERS)[-1:] in tuple(STOPS + FULL_STOPS) for w in words]
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    assert ends_sentence(buf, end - [len(r) for r in raw], end).tolist() == want
