@@ -4,13 +4,18 @@ A text's subwords are all byte n-grams of 2 to 4 bytes of its lower-cased
 letters (other characters become spaces) hashed into ``BUCKETS``. Their
 embeddings are averaged and a linear softmax names the language; both are
 trained by stochastic gradient descent in numpy on at most ``PER_LANG``
-labelled texts a language, none longer than ``TRAIN_CHARS``, picked by id
-hash from rows that are not held out. A part of the sample is kept back to
+labelled texts a language: those of the smallest id hashes among all labelled
+rows that are not held out, however large the table. Of a text longer than
+``TRAIN_CHARS`` a window of that length is used, its place picked by id hash;
+an id that is repeated with a label gives one text. A part of the sample is kept back to
 calibrate: a temperature for the scores, and the lowest score at which the
 accepted answers are right at rate ``ACCEPT``. Rows below it are ``rejected``.
 
 Prediction multiplies embeddings and softmax weights into one table, so a
-text costs a gather and a sum per n-gram: map-only, whole texts, Arrow.
+text costs a gather and a sum per n-gram: map-only, whole texts, Arrow. For
+the sample, the ids and labels are shuffled once and cut to ``PER_LANG`` a
+language, first in ``PARTS`` parts of them, then of these together; the ids
+left are broadcast to fetch their texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0 and rejected; without any labelled text all rows are ``und``; repeated rows
@@ -30,7 +35,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textarr as ta
-from .sampling import thin
 
 ORDERS = (2, 3, 4)
 BITS = 15
@@ -38,7 +42,7 @@ BUCKETS = 1 << BITS
 WIDTH = 16
 PER_LANG = 800
 TRAIN_CHARS = 20_000
-THIN = 200_000
+PARTS = 64
 EPOCHS = 6
 RATE = 0.3
 BATCH = 16
@@ -200,14 +204,20 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def _smallest(ids: DataFrame, *by: str) -> DataFrame:
+    order = W.partitionBy(*by).orderBy("hash", "doc_id")
+    return ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANG).drop("n")
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Train on the bounded sample described in the module text."""
-    pool = (thin(docs.select("doc_id", "text", "lang"), THIN)
-            .where("doc_id is not null and lang is not null and text is not null")
-            .where(~held_out() & (F.length("text") <= TRAIN_CHARS)))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = pool.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANG)
-    rows = sorted(pool.join(picked.select("doc_id", "lang"), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect())
+    pool = docs.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null").where(~held_out())
+    ids = (pool.select("doc_id", "lang").distinct()
+           .select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"), F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part")))
+    picked = _smallest(_smallest(ids, "lang", "part"), "lang").select("doc_id", "lang")
+    window = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id), greatest(length(text) - {TRAIN_CHARS}, 0) + 1) as int), {TRAIN_CHARS})")
+    texts = pool.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", window.alias("text"))
+    rows = sorted(texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect())
     return train([r.text for r in rows], [r.lang for r in rows])
 
 

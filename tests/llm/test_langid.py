@@ -75,3 +75,28 @@ def test_learns_only_from_the_training_folds(spark, table):
     wrong = [(d, t, "xx" if held(d) else x) for d, t, x in small]
     a, b = (li.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() for rows in (small, wrong))
     assert sorted(a) == sorted(b)
+
+
+def test_every_labelled_row_counts_in_a_large_table(spark, monkeypatch):
+    """Few labels among many rows, more rows than any sample takes."""
+    seen = []
+    monkeypatch.setattr(li, "train", lambda texts, langs: seen.extend(zip(langs, texts)))
+    n = 300_000
+    df = spark.range(n).selectExpr("id as doc_id", "concat('text ', id) as text", "case when id % 7500 = 1 then 'aa' when id % 2 = 0 then 'bb' end as lang")
+    assert li.fit(df) is None
+    assert sorted(t for k, t in seen if k == "aa") == sorted(f"text {i}" for i in range(1, n, 7500) if not held(i))
+    both = [t for k, t in seen if k == "bb"]
+    hashes = df.where("lang = 'bb'").where(~li.held_out()).selectExpr("text", "xxhash64(doc_id) as h").orderBy("h").limit(li.PER_LANG).collect()
+    assert sorted(both) == sorted(r.text for r in hashes)
+
+
+def test_long_and_repeated_texts_train(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(li, "train", lambda texts, langs: seen.extend(zip(langs, texts)))
+    long = " ".join(f"w\u00e9{i}" for i in range(9000))
+    ids = [i for i in range(40) if not held(i)]
+    rows = [(i, long, "aa") for i in ids[:9]] + [(ids[9], "short", "bb")] * 30 + [(None, "x", "cc"), (ids[10], None, "cc")]
+    li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [t for k, t in seen if k == "bb"] == ["short"] and {k for k, _ in seen} == {"aa", "bb"}
+    windows = [t for k, t in seen if k == "aa"]
+    assert len(windows) == 9 and all(len(t) == li.TRAIN_CHARS and t in long for t in windows) and len(set(windows)) > 5
