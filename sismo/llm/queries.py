@@ -82,6 +82,12 @@ def op10_sentence_span_dedup(spark, sf_dir):
     return dedup_sentence_spans(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_secret_scan(spark, sf_dir):
+    from .secret_scan import find_secrets
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
