@@ -88,6 +88,18 @@ def op11_secret_scan(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_source_divergence(spark, sf_dir):
+    from .divergence import source_divergence
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    from .spelling import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -99,5 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .license_scan import oracle
-    return {**ORACLES, "op3_license_scan": oracle()}
+    from . import divergence, license_scan, spelling
+    return {**ORACLES, "op3_license_scan": license_scan.oracle(), "op12_source_divergence": divergence.oracle(),
+            "op13_spelling_variants": spelling.oracle()}
