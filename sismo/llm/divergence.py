@@ -4,9 +4,9 @@ How far do the sources of a language differ in their words? Every (lang,
 source) group gives each term a probability p in exact integers; a pair of
 groups diverges by the sum of ``floor((p - q)^2 / (p + q))`` over all terms.
 
-* Counting: tasks count terms of their documents, combine them in memory of a
-  bounded size, and one aggregate per (lang, source, term) follows. Terms of
-  ``AT_LEAST`` documents of their language stay.
+* Counting: tasks count the terms of a slice of documents at once; the partial
+  aggregate of the same task adds up its slices before one shuffle by (lang,
+  source, term). Terms of ``AT_LEAST`` documents of their language stay.
 * Cube: groups of a language are cut into blocks of ``GROUPS``, its terms into
   blocks of about ``TERMS`` by hash. A task owns the cells (group block, group
   block, term block): a slice (group block, term block) is sent to each cell
@@ -41,7 +41,6 @@ from . import textarr as ta
 AT_LEAST, TOP = 10, 10
 GROUPS, TERMS = 64, 2048
 UNIT = 1_000_000_000
-HOLD = 400_000  # combined rows that a task keeps before it sends them on
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[:0x80] = True
@@ -74,37 +73,16 @@ def _slice_counts(buf, off, group) -> tuple[pa.Array, np.ndarray, np.ndarray, np
 
 
 def _count(batches):
-    held: list[pa.Table] = []
-    rows = 0
     for batch in batches:
         lang, source = (batch.column(i).cast(pa.large_string()).fill_null("").dictionary_encode() for i in (1, 2))
         wide = max(1, len(source.dictionary))
         group = lang.indices.to_numpy().astype(np.int64) * wide + source.indices.to_numpy()
+        langs, sources = lang.dictionary.cast(pa.string()), source.dictionary.cast(pa.string())
         buf_all, off_all = ta.utf8(batch.column(0))
         for p, q in ta.slices(off_all):
             term, g, n, docs = _slice_counts(buf_all[off_all[p]:off_all[q]], off_all[p:q + 1] - off_all[p], group[p:q])
-            t = pa.table([lang.dictionary.take(pa.array(g // wide)), source.dictionary.take(pa.array(g % wide)), term, pa.array(n), pa.array(docs)],
-                         names=["lang", "source", "term", "n", "docs"])
-            held.append(t)
-            rows += len(t)
-            if rows > HOLD:
-                both = _combined(held)
-                held, rows = [both], len(both)
-                if rows > HOLD // 2:  # few repeats: pass them on
-                    yield from _out(both)
-                    held, rows = [], 0
-    if held:
-        yield from _out(_combined(held))
-
-
-def _combined(tables):
-    t = pa.concat_tables(tables).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-    return t.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
-
-
-def _out(t):
-    small = pa.schema([(c, pa.string() if pa.types.is_large_string(k) else k) for c, k in zip(t.schema.names, t.schema.types)])
-    yield from t.cast(small).to_batches(max_chunksize=50_000)
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(g // wide)), sources.take(pa.array(g % wide)), term.cast(pa.string()), pa.array(n), pa.array(docs)],
+                                             names=["lang", "source", "term", "n", "docs"])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

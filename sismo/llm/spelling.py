@@ -4,7 +4,7 @@ Words of a corpus that differ by one inserted, deleted or replaced code point
 are near; a word's form is its near word of largest count, if that is FACTOR
 times as frequent, and forms are followed to a root.
 
-* Words: runs of letters, counted per slice and task before one aggregate. In
+* Words: runs of letters, counted per slice, then by one aggregate. In
   one of ``DROP_EVERY`` (document, run) pairs, chosen by CRC-32, one code point
   is deleted; the CRCs of all pairs of a slice advance together, byte by byte.
 * Filters: the vocabulary is split by length (code points). Tasks set the bits
@@ -48,7 +48,6 @@ SHORTEST, AT_LEAST, FACTOR, DROP_EVERY = 6, 5, 5, 199
 BITS, PROBES = 16, 4
 FILTER_BYTES = 32 << 20
 BLOCK = 1 << 18
-HOLD = 400_000
 U64 = np.uint64
 
 _ASCII = np.zeros(256, bool)
@@ -100,7 +99,7 @@ def letters(buf: np.ndarray) -> np.ndarray:
     return np.where(inside, low, np.uint8(0x20))
 
 
-def _slice_words(buf, off, ids) -> pa.Table:
+def _slice_words(buf, off, ids) -> pa.RecordBatch:
     """Words and their occurrences in one slice. ids: bytes before each
     document's runs in the CRC."""
     low = letters(buf)
@@ -116,42 +115,25 @@ def _slice_words(buf, off, ids) -> pa.Table:
     prefix = np.array([zlib.crc32(b) for b in ids], np.uint32)
     h = crc_after(prefix[doc[first]], low, start[first], end[first])
     cut = h % DROP_EVERY == 0
-    words = [enc.dictionary.take(pa.array((pair % n)[~cut]))]
+    total = np.bincount(pair[~cut] % n, times[~cut], n).astype(np.int64)
     more = []
     for i in np.flatnonzero(cut):
         run = low[start[first[i]]:end[first[i]]].tobytes().decode()
         k = int(h[i]) % len(run)
         more.append(run[:k] + run[k + 1:])
     keep = [i for i, m in enumerate(more) if len(m) >= SHORTEST]
-    words.append(pa.array([more[i] for i in keep], pa.large_string()))
-    count = np.concatenate([times[~cut], times[cut][keep]]).astype(np.int64)
-    return pa.table([pa.concat_arrays(words), pa.array(count)], names=["word", "n"])
-
-
-def _combined(tables):
-    return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+    some = np.flatnonzero(total)
+    words = pa.concat_arrays([enc.dictionary.take(pa.array(some)), pa.array([more[i] for i in keep], pa.large_string())])
+    count = np.concatenate([total[some], times[cut][keep]]).astype(np.int64)
+    return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(count)], names=["word", "n"])
 
 
 def _words(batches):
-    held, rows = [], 0
     for batch in batches:
         ids = [b"%d:" % i if i is not None else b":" for i in batch.column(0).to_pylist()]
         buf_all, off_all = ta.utf8(batch.column(1))
         for p, q in ta.slices(off_all):
-            held.append(_slice_words(buf_all[off_all[p]:off_all[q]], off_all[p:q + 1] - off_all[p], ids[p:q]))
-            rows += len(held[-1])
-            if rows > HOLD:
-                both = _combined(held)
-                held, rows = [both], len(both)
-                if rows > HOLD // 2:  # few repeats: pass them on
-                    yield from _out(both)
-                    held, rows = [], 0
-    if held:
-        yield from _out(_combined(held))
-
-
-def _out(t):
-    yield from t.cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=50_000)
+            yield _slice_words(buf_all[off_all[p]:off_all[q]], off_all[p:q + 1] - off_all[p], ids[p:q])
 
 
 def vocabulary(docs: DataFrame, at_least: int = AT_LEAST) -> DataFrame:

@@ -73,22 +73,6 @@ def test_many_cells_give_the_same_rows(spark):
     assert got(dv.source_divergence(frame(spark, rows), block_size=2, term_block=7)) == brute(rows)
 
 
-def test_combining_in_tasks_changes_nothing(monkeypatch):
-    rows = fixture(seed=3)
-
-    def counts():
-        batches = pa.table({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(("text", "lang", "source"))}).to_batches(max_chunksize=17)
-        total = Counter()
-        for b in dv._count(iter(batches)):
-            for r in b.to_pylist():
-                total[r["lang"], r["source"], r["term"], "n"] += r["n"]
-                total[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
-        return total
-    whole = counts()
-    monkeypatch.setattr(dv, "HOLD", 5)
-    assert counts() == whole
-
-
 def test_oracle(spark, tmp_path):
     rows = fixture(seed=4)
     db = duckdb.connect()

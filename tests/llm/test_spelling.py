@@ -6,7 +6,6 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from sismo.llm import spelling as sp
 
@@ -125,19 +124,3 @@ def test_edges(make):
     assert got(sp.spelling_variants(make(["short ab", None]))) == []
     chain = " ".join(["aaaaaa"] * 5 + ["aaaaab"] * 30 + ["aaaabb"] * 160 + ["aaabbb"] * 900)
     assert got(sp.spelling_variants(make([chain], [3]))) == brute([(3, chain)])
-
-
-@pytest.mark.parametrize("hold", [3])
-def test_combining_in_tasks_changes_nothing(monkeypatch, hold):
-    t = texts(docs=30, seed=6)
-    batches = pa.table({"doc_id": range(len(t)), "text": t}).to_batches(max_chunksize=4)
-
-    def counts():
-        c = Counter()
-        for b in sp._words(iter(batches)):
-            for r in b.to_pylist():
-                c[r["word"]] += r["n"]
-        return c
-    whole = counts()
-    monkeypatch.setattr(sp, "HOLD", hold)
-    assert counts() == whole
