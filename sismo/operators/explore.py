@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 from ..schema import HIST_BINS, HIST_STEP, KDE_CUT, KDE_GRID
 from .quantiles import exact_quantiles
 
+REACH = 7.5  # bandwidths beyond which a Gaussian kernel is under 1e-12
+GRIDS = 200  # grids that a task holds
+
 
 def kpi_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.min("year").alias("min_year"),
@@ -103,7 +106,8 @@ def kde_1d(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = KDE_C
     Values are pre-aggregated to (value, multiplicity); each distinct value
     generates its grid contributions inside its task and a partial
     aggregation on the grid index collapses them before the shuffle, so the
-    shuffle carries at most ``gridsize`` rows per partition."""
+    shuffle carries at most ``gridsize`` rows per partition. Kernels end
+    ``REACH`` bandwidths away, where they are under 1e-12."""
     vals = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull()
                                                                  & ~F.isnan("x"))
     st = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
@@ -124,9 +128,13 @@ def kde_1d(df: DataFrame, col: str, gridsize: int = KDE_GRID, cut: float = KDE_C
                 continue
             total = np.zeros(gridsize) if total is None else total
             at = low[0] + g * st[0]
-            for i in range(0, len(x), 4096):
-                z = (at[:, None] - x[None, i:i + 4096]) / h[0]
-                total += np.exp(-0.5 * z * z) @ w[i:i + 4096]
+            order = np.argsort(x)
+            x, w = x[order], w[order]
+            for i in range(0, len(x), 512):
+                part = x[i:i + 512]  # neighbours, which only the grid points around them feel
+                a, b = np.searchsorted(at, (part[0] - REACH * h[0], part[-1] + REACH * h[0]))
+                z = (at[a:b, None] - part[None]) / h[0]
+                total[a:b] += np.exp(-0.5 * z * z) @ w[i:i + 512]
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(total)], names=["g", "k"])
 
@@ -158,9 +166,11 @@ def kde_2d_by_group(df: DataFrame, x: str = "longitude", y: str = "latitude",
     each axis spans ``[min - cut*bw, max + cut*bw]``.
 
     Repeated points are counted first; each task then adds up its points'
-    kernels on its groups' grids inside one array operation per batch and
-    emits one row per group and grid cell, which a final aggregation sums.
-    Work is distinct points x gridsize^2, nothing is exploded."""
+    kernels on its groups' grids (``GRIDS`` of them at a time) and emits one row
+    per group and grid cell, which a final aggregation sums.
+    Kernels end ``REACH`` bandwidths away, where they are under 1e-12: points
+    are taken in cells of that size and meet only the grid around them, so work
+    is distinct points x grid points within reach. Nothing is exploded."""
     by = list(by)
     pts = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
@@ -185,22 +195,40 @@ def kde_2d_by_group(df: DataFrame, x: str = "longitude", y: str = "latitude",
                                T.StructField("k", T.DoubleType())])
     g = np.arange(gridsize)
 
+    def add(total: np.ndarray, p) -> None:
+        """Kernels of one group's points, added to its grid."""
+        r = p.iloc[0]
+        rx, ry = REACH * np.sqrt(r["hxx"]), REACH * np.sqrt(r["hyy"])
+        gx, gy = r["gx0"] + g * r["sx"], r["gy0"] + g * r["sy"]
+        px, py, pw = (p[c].to_numpy(dtype=float) for c in ("_x", "_y", "_w"))
+        order = np.lexsort((py, px // rx))  # by columns of cells, then upwards
+        for i in range(0, len(order), 128):
+            x, y, w = (v[order[i:i + 128]] for v in (px, py, pw))
+            a, b = np.searchsorted(gx, (x.min() - rx, x.max() + rx))
+            c, d = np.searchsorted(gy, (y.min() - ry, y.max() + ry))
+            dx, dy = gx[None, a:b, None] - x[:, None, None], gy[None, None, c:d] - y[:, None, None]
+            q = (dx * dx * r["hyy"] - 2.0 * dx * dy * r["hxy"] + dy * dy * r["hxx"]) / r["det"]
+            total[a:b, c:d] += np.tensordot(w, np.exp(-0.5 * q), axes=1)
+
+    def rows(grids: dict, fields) -> pa.RecordBatch:
+        size, n = gridsize ** 2, len(grids)
+        keys = [pa.array([k[i] for k in grids for _ in range(size)], f) for i, f in enumerate(fields)]
+        at = [np.tile(np.repeat(g, gridsize), n), np.tile(g, gridsize * n)]
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array(x, pa.int32()) for x in at), pa.array(np.concatenate([t.ravel() for t in grids.values()]))],
+                                          names=[*by, "gi", "gj", "k"])
+
     def sums(batches):
+        grids: dict[tuple, np.ndarray] = {}
+        fields = []
         for batch in batches:
-            t = batch.to_pandas()
-            for key, p in t.groupby(by, dropna=False, sort=False):
-                r = p.iloc[0]
-                total = np.zeros((gridsize, gridsize))
-                for i in range(0, len(p), 256):
-                    x, y, w = (p[c].to_numpy()[i:i + 256] for c in ("_x", "_y", "_w"))
-                    dx = (r["gx0"] + g * r["sx"])[None, :, None] - x[:, None, None]
-                    dy = (r["gy0"] + g * r["sy"])[None, None, :] - y[:, None, None]
-                    q = (dx * dx * r["hyy"] - 2.0 * dx * dy * r["hxy"] + dy * dy * r["hxx"]) / r["det"]
-                    total += np.tensordot(w.astype(float), np.exp(-0.5 * q), axes=1)
-                keys = [pa.array([k] * gridsize ** 2, batch.schema.field(b).type) for k, b in zip(key, by)]
-                yield pa.RecordBatch.from_arrays(
-                    [*keys, pa.array(np.repeat(g, gridsize), pa.int32()), pa.array(np.tile(g, gridsize), pa.int32()), pa.array(total.ravel())],
-                    names=[*by, "gi", "gj", "k"])
+            fields = [batch.schema.field(b).type for b in by]
+            for key, p in batch.to_pandas().groupby(by, dropna=False, sort=False):
+                add(grids.setdefault(key, np.zeros((gridsize, gridsize))), p)
+            if len(grids) > GRIDS:
+                yield rows(grids, fields)
+                grids = {}
+        if grids:
+            yield rows(grids, fields)
 
     dens = (weighted.join(st, by).mapInArrow(sums, out_schema)
             .groupBy(*by, "gi", "gj").agg(F.sum("k").alias("s")))

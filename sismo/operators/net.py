@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,33 +99,40 @@ def reconstruction_error_columns(df: DataFrame, params: Params, in_cols: Sequenc
 def score_arrow(df: DataFrame, params: Params, in_cols: Sequence[str], mode: str = "error",
                 upto: int | None = None, out: str = "reconstruction_error",
                 latent_prefix: str = "latent_feature_") -> DataFrame:
-    """Arrow-batched numpy forward pass (``mapInPandas``).
+    """Arrow-batched numpy forward pass: only ``in_cols`` become numpy arrays,
+    all other columns pass untouched.
 
     ``mode='error'`` adds ``out`` (per-row MSE of the reconstruction);
-    ``mode='latent'`` adds ``{latent_prefix}0..`` from layer ``upto``."""
-    in_cols = list(in_cols)
+    ``mode='latent'`` adds ``{latent_prefix}0..`` from layer ``upto``. A row
+    with a null input gets null."""
     weights = [(w.astype(np.float64), b.astype(np.float64)) for w, b in params]
-    base = df.schema
     if mode == "error":
-        schema = T.StructType(base.fields + [T.StructField(out, T.DoubleType())])
+        names = [out]
     else:
-        width = weights[(upto or len(weights)) - 1][0].shape[1]
-        schema = T.StructType(base.fields + [T.StructField(f"{latent_prefix}{j}", T.DoubleType())
-                                             for j in range(width)])
+        names = [f"{latent_prefix}{j}" for j in range(weights[(upto or len(weights)) - 1][0].shape[1])]
+    cols = list(in_cols)
+    kept = [c for c in df.columns if c not in names]
 
     def run(batches):
-        for pdf in batches:
-            x = pdf[in_cols].to_numpy(dtype=np.float64)
+        for batch in batches:
+            x = np.stack([batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in cols], axis=1)
             if mode == "error":
-                r = forward_np(weights, x)
-                pdf[out] = np.mean((x - r) ** 2, axis=1)
+                new = np.mean((x - forward_np(weights, x)) ** 2, axis=1)[:, None]
             else:
-                z = forward_np(weights, x, upto)
-                for j in range(z.shape[1]):
-                    pdf[f"{latent_prefix}{j}"] = z[:, j]
-            yield pdf
+                new = forward_np(weights, x, upto)
+            old = batch.select(kept)
+            yield pa.RecordBatch.from_arrays([*old.columns, *(pa.array(v, mask=np.isnan(v)) for v in new.T)], names=[*kept, *names])
 
-    return df.mapInPandas(run, schema)
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return df.mapInArrow(run, schema)
+
+
+def fold_scaler(params: Params, mean: Sequence[float], std: Sequence[float]) -> Params:
+    """The network that takes raw features: ``(x - mean) / std`` becomes part
+    of the first layer."""
+    w, b = params[0]
+    scaled = w / np.asarray(std, float)[:, None]
+    return [(scaled, b - np.asarray(mean, float) @ scaled), *params[1:]]
 
 
 def weights_table(spark, params: Params) -> DataFrame:

@@ -10,9 +10,11 @@ since the range partitioner samples its bounds anew whenever a shuffle is
 planned: offsets and rows then come from the same files, and a lost executor
 cannot make them disagree. The offset table has one row per partition.
 
-Interpolation carries the nearest non-null values along the sorted
-partitions in the same pass (Arrow batches, whole-array operations), and
-across partition borders by the same one-row-per-partition table.
+Interpolation is a segmented scan of two levels: inside windows of a sorted
+partition neighbours are found by whole-array operations in the same pass;
+a null stretch that outlasts its window is a numbered gap whose end joins back
+by one row per gap, and partition borders are crossed by the same
+one-row-per-partition table.
 
 ``with_position`` and ``interpolate_linear`` therefore run one write job when
 they are called; ``session.release_scratch`` deletes what they wrote.
@@ -21,6 +23,7 @@ they are called; ``session.release_scratch`` deletes what they wrote.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from ..session import cut_lineage
 MID, PID = "_mid", "_pid"
 LOCAL_BITS = 33
 LOCAL_MASK = (1 << LOCAL_BITS) - 1
+WINDOW_ROWS = 1 << 16
 
 
 def time_order(ts: str = "datetime", tie: str = "event_id") -> list[Column]:
@@ -91,53 +95,70 @@ def _filled(have: np.ndarray, back: bool) -> np.ndarray:
     return np.maximum.accumulate(np.where(have, np.arange(len(have)), -1))
 
 
-def _neighbours(cols: Sequence[str]):
+def _neighbours(cols: Sequence[str], window_rows: int):
     """Adds to every row, per column, place and value of the nearest non-null
-    rows of its partition before and after it (null when there is none).
-    Rows that still wait for a value after them are held back with it."""
-    def emit(batch: pa.RecordBatch, last: dict) -> pa.RecordBatch:
-        place = batch.column(batch.schema.get_field_index(MID)).to_numpy() & LOCAL_MASK
+    rows before and after it (null when there is none). The rows of a sorted
+    partition pass in windows of ``window_rows``. What lies before is carried
+    along; a null whose next value lies beyond its window gets the number of
+    its gap instead (``_gap_``), and the row that ends such a gap names it
+    (``_closes_``). So no row waits, however long a column stays null."""
+    def emit(window: pa.RecordBatch, last: dict, gap: dict) -> pa.RecordBatch:
+        place = window.column(window.schema.get_field_index(MID)).to_numpy() & LOCAL_MASK
+        n = len(place)
         extra, names = [], []
         for c in cols:
-            col = batch.column(batch.schema.get_field_index(c))
+            col = window.column(window.schema.get_field_index(c))
             have = col.is_valid().to_numpy(zero_copy_only=False)
             value = col.fill_null(0.0).to_numpy(zero_copy_only=False)
-            for back in (False, True):
-                i = _filled(have, back)
-                p, v, no = place[i], value[i], i < 0
-                if not back and c in last:
-                    p, v, no = np.where(no, last[c][0], p), np.where(no, last[c][1], v), np.zeros(len(i), bool)
-                side = "next" if back else "prev"
-                extra += [pa.array(p, pa.int64(), mask=no), pa.array(v, pa.float64(), mask=no)]
-                names += [f"_{side}_p_{c}", f"_{side}_v_{c}"]
+            i, j = _filled(have, False), _filled(have, True)
+            p, v, none = place[i], value[i], i < 0
+            if c in last:
+                p, v, none = np.where(none, last[c][0], p), np.where(none, last[c][1], v), np.zeros(n, bool)
+            late = j < 0
+            closes, closed = np.zeros(n, np.int64), np.zeros(n, bool)
             if have.any():
-                j = int(np.flatnonzero(have)[-1])
-                last[c] = (place[j], value[j])
-        return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
+                first, end = int(np.argmax(have)), n - 1 - int(np.argmax(have[::-1]))
+                if c in gap:
+                    closes[first], closed[first] = gap.pop(c), True
+                last[c] = (place[end], value[end])
+            if late.any():
+                gap.setdefault(c, int(place[np.argmax(late)]))
+            extra += [pa.array(p, pa.int64(), mask=none), pa.array(v, pa.float64(), mask=none),
+                      pa.array(place[j], pa.int64(), mask=late), pa.array(value[j], pa.float64(), mask=late),
+                      pa.array(np.full(n, gap.get(c, 0)), pa.int64(), mask=~late), pa.array(closes, pa.int64(), mask=~closed)]
+            names += [f"_prev_p_{c}", f"_prev_v_{c}", f"_next_p_{c}", f"_next_v_{c}", f"_gap_{c}", f"_closes_{c}"]
+        return pa.RecordBatch.from_arrays([*window.columns, *extra], names=[*window.schema.names, *names])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        last: dict[str, tuple] = {}
+        held, rows = [], 0
+        last, gap = {}, {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             held.append(batch)
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            # rows before ``cut`` have a later value in every column, if they ever will here
-            ends = [np.flatnonzero(whole.column(whole.schema.get_field_index(c)).is_valid().to_numpy(zero_copy_only=False)) for c in cols]
-            cut = min((int(e[-1]) if len(e) else 0) for e in ends)
-            if cut:
-                yield emit(whole, dict(last)).slice(0, cut)
-                emit(whole.slice(0, cut), last)
-            held = [whole.slice(cut)]
-        if held:
-            yield emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0], last)
+            rows += batch.num_rows
+            if rows >= window_rows:
+                yield emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0], last, gap)
+                held, rows = [], 0
+        if rows:
+            yield emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0], last, gap)
     return run
 
 
+def _with_gaps_closed(local: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Next values of the rows in gaps that outlast a window, from one row per
+    gap; all other rows pass without a join."""
+    inside = reduce(lambda a, b: a | b, [F.col(f"_gap_{c}").isNotNull() for c in cols])
+    opened = local.where(inside).withColumn(PID, part_of())
+    for c in cols:
+        ends = local.where(F.col(f"_closes_{c}").isNotNull()).select(
+            part_of().alias(PID), F.col(f"_closes_{c}").alias(f"_gap_{c}"), place_of().alias("_end_p"), F.col(c).alias("_end_v"))
+        opened = opened.join(ends, [PID, f"_gap_{c}"], "left").withColumns(
+            {f"_next_{k}_{c}": F.coalesce(f"_next_{k}_{c}", f"_end_{k}") for k in "pv"}).drop("_end_p", "_end_v")
+    return local.where(~inside).unionByName(opened.drop(PID))
+
+
 def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth"),
                        order: Sequence[Column] | None = None, pos: str = "pos",
-                       partitions: int | None = None) -> DataFrame:
+                       partitions: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Fill nulls linearly in row *position* along ``order``.
 
     ``v = v0 + (v1 - v0) * (p - p0) / (p1 - p0)`` between the nearest
@@ -146,9 +167,9 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth
     """
     order, cols = list(order or time_order()), list(cols)
     ranged = sorted_by_range(df.withColumns({c: F.col(c).cast("double") for c in cols}), order, partitions)
-    more = [T.StructField(f"_{s}_{k}_{c}", T.LongType() if k == "p" else T.DoubleType())
-            for c in cols for s in ("prev", "next") for k in "pv"]
-    local = cut_lineage(ranged.mapInArrow(_neighbours(cols), T.StructType([*ranged.schema.fields, *more])), "ordered")
+    more = [T.StructField(f"_{name}_{c}", T.DoubleType() if name.endswith("v") else T.LongType())
+            for c in cols for name in ("prev_p", "prev_v", "next_p", "next_v", "gap", "closes")]
+    local = cut_lineage(ranged.mapInArrow(_neighbours(cols, window_rows), T.StructType([*ranged.schema.fields, *more])), "ordered")
     # per partition: row count, first and last non-null (place, value)
     extras = []
     for c in cols:
@@ -168,7 +189,7 @@ def interpolate_linear(df: DataFrame, cols: Sequence[str] = ("magnitude", "depth
         carries[f"_cr_{c}"] = F.first(glob(f"_first_{c}"), ignorenulls=True).over(right)
     offs = offs.withColumns(carries).select(PID, "_off", *carries.keys())
 
-    out = local.withColumn(PID, part_of()).join(F.broadcast(offs), PID).withColumn(pos, F.col("_off") + place_of())
+    out = _with_gaps_closed(local, cols).withColumn(PID, part_of()).join(F.broadcast(offs), PID).withColumn(pos, F.col("_off") + place_of())
     filled = {}
     for c in cols:
         prev_p = F.coalesce(F.col(f"_prev_p_{c}") + F.col("_off"), F.col(f"_cl_{c}").p)

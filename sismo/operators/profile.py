@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RANGE_CHECKS
-from .quantiles import exact_quantiles
+from .selection import order_statistics
 
 NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint")
 
@@ -46,9 +46,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: count, mean, std (sample), min, 25/50/75 %, max.
 
     Moments come from one aggregate pass; quartiles are exact (linear
-    interpolation between order statistics) from :func:`exact_quantiles`,
-    which sorts distinct values by range partitions instead of gathering
-    values per group."""
+    interpolation between order statistics) from :func:`order_statistics`:
+    all columns in the same few counting passes, no exchange of values."""
     cols = list(cols or numeric_columns(df))
     moments = df.agg(*[F.struct(F.count(c).cast("long").alias("count"),
                                 F.avg(F.col(c).cast("double")).alias("mean"),
@@ -58,13 +57,9 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                        for c in cols])
     moments = moments.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c + ".*")) for c in cols])))
-    # all columns in one ordering pass: long form (column, value), counted per distinct value
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "v")
-    quarts = exact_quantiles(long, "v", (0.25, 0.5, 0.75), by=("column",))
-    quarts = quarts.select("column", F.col("q_0_25").alias("p25"), F.col("q_0_5").alias("p50"),
-                           F.col("q_0_75").alias("p75"))
-    return (moments.join(quarts, "column", "left")
+    found = order_statistics(df, cols, (0.25, 0.5, 0.75))
+    quarts = df.sparkSession.createDataFrame([(cols[r.column], *r.quantiles) for r in found], "column string, p25 double, p50 double, p75 double")
+    return (moments.join(quarts, "column", "left")  # both a row per column
             .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 

@@ -1,11 +1,14 @@
 """Exact quantiles by order statistics, without gathering a group's values.
 
-Values are first counted: one row per (group, distinct value). These rows are
-put in order by range partitions (one exchange, see ``ordering``), running
-counts tell which ranks each value takes, and the two order statistics around
-``p * (n - 1)`` of a group are the values that take those ranks; between them
-the result is linear (``lo + (hi - lo) * frac``, the ``quantile_cont`` / numpy
-"linear" definition).
+The two order statistics around ``p * (n - 1)`` of a group come from radix
+refinement (``selection``): a few passes of counts, no exchange of values.
+Between them the result is linear (``lo + (hi - lo) * frac``, the
+``quantile_cont`` / numpy "linear" definition).
+
+With more groups than ``selection.STATES`` ranks allow, the values are counted
+(one row per group and distinct value) and put in order by range partitions
+(one exchange, see ``ordering``); running counts then tell which ranks each
+value takes. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .ordering import PID, offsets, part_of, sorted_by_range
+from .selection import order_statistics
 
 
 def qname(p: float) -> str:
@@ -39,7 +43,23 @@ def _running(batches):
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                     partitions: int | None = None) -> DataFrame:
     """One row per group: ``*by, n, q_<p>...`` (null and NaN ignored; without
-    ``by`` one row even for empty input). Runs one write job when called."""
+    ``by`` one row even for empty input). Runs jobs when called."""
+    by = list(by)
+    found = order_statistics(df, [col], probs, by)
+    if found is None:
+        return sorted_quantiles(df, col, probs, by, partitions)
+    rows = [(*r.group, r.n, *r.quantiles) for r in found]
+    if not by and not rows:
+        rows = [(0, *[None] * len(probs))]
+    schema = T.StructType([*(T.StructField(b, df.schema[b].dataType) for b in by), T.StructField("n", T.LongType()),
+                           *(T.StructField(qname(p), T.DoubleType()) for p in probs)])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def sorted_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                     partitions: int | None = None) -> DataFrame:
+    """The same rows for any number of groups, over distinct values in order.
+    Runs one write job when called."""
     by = list(by)
     vals = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     seen = vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))

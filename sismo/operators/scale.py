@@ -89,3 +89,30 @@ def standard_scale_lazy(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFr
     # one aggregate, one scalar subquery (a struct), referenced per column
     model = df.agg(F.struct(*fields).alias("st")).scalar()
     return df.withColumns({c: (F.col(c) - model[f"m{i}"]) / model[f"s{i}"] for i, c in enumerate(cols)})
+
+
+MODEL_NUMBERS = 200_000  # keys x features up to which a model table is broadcast
+
+
+def standard_stats_by(df: DataFrame, key: str, cols: Sequence[str] = FEATURES) -> DataFrame:
+    """A table of models: one row per ``key`` (a year, a cell), with the mean
+    and population std (0 -> 1) of each column; one hash aggregate."""
+    aggs = []
+    for c in cols:
+        sd = F.stddev_pop(c)
+        aggs += [F.avg(c).alias(f"_m_{c}"), F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias(f"_s_{c}")]
+    return df.groupBy(key).agg(*aggs)
+
+
+def scale_by_model(df: DataFrame, models: DataFrame, key: str, cols: Sequence[str] = FEATURES) -> DataFrame:
+    """Every row scaled by the model of its key. A written (or otherwise cheap)
+    model table is counted when called: while it is small it is broadcast and
+    no row moves; beyond that rows and models meet by key, and adaptive
+    execution splits a hot key. Rows of a null key use the null key's model;
+    rows without a model get null."""
+    names = {c: f"_key_{key}" if c == key else c for c in models.columns}
+    table = models.select(*[F.col(c).alias(n) for c, n in names.items()])
+    if models.count() * len(cols) <= MODEL_NUMBERS:
+        table = F.broadcast(table)  # at most MODEL_NUMBERS numbers
+    met = df.join(table, F.col(key).eqNullSafe(F.col(names[key])), "left")
+    return met.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in cols}).select(*df.columns)

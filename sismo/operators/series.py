@@ -8,6 +8,7 @@ is ever built.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,15 +83,23 @@ def train_test_split(df: DataFrame, key: Column, train_fraction: float = TRAIN_F
     with the smallest hash key when ``n > min_rows``; otherwise every row is
     both train and test (``is_test = 1`` and ``is_train = 1``).
 
-    The rank comes from the range-partitioned position, not a global window."""
+    The last test row's key is looked up by counting passes when called (see
+    ``selection``); flagging the rows is one map-only pass, unless rows with
+    the same hash key stand on both sides of the split (then one range exchange)."""
     from .ordering import with_position
-    ranked = with_position(df.withColumn("_k", key), [F.col("_k")], pos="_r")
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    n_test = F.ceil(n.cast("double") * F.lit(1.0 - train_fraction))
-    small = n <= F.lit(min_rows)
-    is_test = F.when(small, F.lit(1)).otherwise((F.col("_r") < n_test).cast("int"))
-    is_train = F.when(small, F.lit(1)).otherwise((F.col("_r") >= n_test).cast("int"))
-    return ranked.withColumns({"is_test": is_test, "is_train": is_train}).drop("_k", "_r")
+    from .selection import first_rows
+    from .topk import hash_order
+    n = df.count()
+    if n <= min_rows:
+        return df.withColumns({"is_test": F.lit(1), "is_train": F.lit(1)})
+    n_test = math.ceil(float(n) * (1.0 - train_fraction))
+    picked = first_rows(df, hash_order(key), n_test)[1]
+    if picked is None:  # rows with the key at the split: number them all
+        ranked = with_position(df.withColumn("_k", key), [F.col("_k")], pos="_r")
+        is_test = (F.col("_r") < n_test).cast("int")
+        return ranked.withColumns({"is_test": is_test, "is_train": 1 - is_test}).drop("_k", "_r")
+    is_test = F.coalesce(picked, F.lit(False)).cast("int")
+    return df.withColumns({"is_test": is_test, "is_train": 1 - is_test})
 
 
 def training_workload(series: DataFrame, length: int = SEQUENCE_LENGTH, batch: int = 32,

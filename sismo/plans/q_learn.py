@@ -14,6 +14,8 @@ from ..operators import scale as sc
 from ..operators import silhouette as sil
 from ..operators import topk as tk
 from ..schema import AE_LATENT_LAYER, AE_LAYERS, AE_VALIDATION, FEATURES
+from ..session import cut_lineage, scratch_path
+from ..sources import files as io
 from .q_explore import interp
 from .registry import register
 from .sqlkit import R6, build, cte, r6
@@ -205,7 +207,15 @@ def q_encode_latent(spark, sf):
 
 @register("attach_latents", build(f"SELECT pos, year, m_raw AS magnitude, d_raw AS depth, {_LAT_SQL} FROM en", "encnet"))
 def q_attach_latents(spark, sf):
-    return encoded(scaled(spark, sf)).select("pos", "year", "magnitude", "depth", *_lat())
+    """Features and latents saved apart, in files of different layouts, and put
+    side by side again by row position."""
+    from ..operators.zipping import zip_stored
+    features, latents = scratch_path(spark, "features"), scratch_path(spark, "latents")
+    data = scaled(spark, sf)
+    by_pos = [F.col("pos").asc()]
+    od.sorted_by_range(data, by_pos, 5).select("pos", "year", "magnitude", "depth").write.parquet(features)
+    od.sorted_by_range(encoded(data), by_pos, 3).select(*LATENTS).write.option("maxRecordsPerFile", 700).parquet(latents)
+    return zip_stored(spark, features, latents).select("pos", "year", "magnitude", "depth", *_lat())
 
 
 @register("anomaly_threshold", build(f"""SELECT {R6('threshold')} AS threshold, {R6('mean_error')} AS mean_error,
@@ -297,12 +307,24 @@ def q_cluster_result_table(spark, sf):
     return encoded(lab).select("pos", "year", "cluster_label", *F4, *_lat(5))
 
 
-@register("union_years", build("""SELECT pos, year, lab AS cluster_label FROM km_lab WHERE year <= 2016
-UNION ALL SELECT pos, year, lab AS cluster_label FROM km_lab WHERE year > 2016""", "kmeans"))
+@register("union_years", build("""SELECT k.pos, k.year, k.lab AS cluster_label,
+  CASE WHEN k.year <= 2016 THEN f.magnitude END AS magnitude FROM km_lab k JOIN feat f ON k.pos = f.pos""", "kmeans"))
 def q_union_years(spark, sf):
+    """Two saved exports, one folder a year, the later one without magnitude."""
     lab, _ = kmeans_fixed(spark, sf)
-    lab = lab.select("pos", "year", "cluster_label")
-    return lab.where(F.col("year") <= 2016).unionByName(lab.where(F.col("year") > 2016))
+    early, late = scratch_path(spark, "years-early"), scratch_path(spark, "years-late")
+    io.write_partitioned(lab.where("year <= 2016").select("pos", "year", "cluster_label", "magnitude"), early, "year", "parquet")
+    io.write_partitioned(lab.where("year > 2016").select("year", "cluster_label", "pos"), late, "year", "parquet")
+    return io.union_years(spark, [early, late]).select("pos", "year", "cluster_label", "magnitude")
+
+
+@register("write_partitioned", build("SELECT pos, lab AS cluster_label, year FROM km_lab WHERE year = 2015", "kmeans"))
+def q_write_partitioned(spark, sf):
+    """One year of the saved per-year export; the other folders are not read."""
+    lab, _ = kmeans_fixed(spark, sf)
+    path = io.write_partitioned(lab.select("pos", "year", "cluster_label"), scratch_path(spark, "years"), "year", "csv")
+    return (spark.read.schema("pos long, cluster_label int, year int").option("header", True).csv(path)
+            .where(F.col("year") == 2015))
 
 
 @register("filter_cluster", build("SELECT pos, year FROM km_lab WHERE lab = 0", "kmeans"))
@@ -510,3 +532,15 @@ def q_model_broadcast_join(spark, sf):
     """Every row sees the fitted scaler through scalar subqueries."""
     s = sc.standard_scale_lazy(dedup(spark, sf), F4)
     return s.select("pos", "year", *[r6(c).alias(c) for c in F4])
+
+
+@register("model_broadcast_join_by_year", build(f"""SELECT f.pos, f.year, {", ".join(
+    R6(f"(f.{c} - m.m_{c}) / m.s_{c}") + f" AS {c}" for c in F4)}
+FROM feat f LEFT JOIN (SELECT year, {", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}" for c in F4)}
+  FROM feat GROUP BY year) m ON f.year IS NOT DISTINCT FROM m.year""", "feat"))
+def q_model_broadcast_join_by_year(spark, sf):
+    """Every row meets the scaler of its year."""
+    d = dedup(spark, sf)
+    models = cut_lineage(sc.standard_stats_by(d, "year", F4), "models")
+    return sc.scale_by_model(d, models, "year", F4).select("pos", "year", *[r6(c).alias(c) for c in F4])

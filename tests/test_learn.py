@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sismo.operators import anomaly as an
 from sismo.operators import kmeans as km
 from sismo.operators import net
+from sismo.operators import scale as sc
 from sismo.operators import silhouette as sil
 from sismo.operators.pca import pca_reconstruct_error
 
@@ -43,9 +44,9 @@ def _lloyd_np(x, pos, k):
     return cs, lab, pos
 
 
-@pytest.mark.parametrize("hint", [km.BROADCAST_NUMBERS, 0])
+@pytest.mark.parametrize("hint", [km.DRIVER_NUMBERS, 0])
 def test_kmeans_matches_numpy_lloyd(spark, monkeypatch, hint):
-    monkeypatch.setattr(km, "BROADCAST_NUMBERS", hint)
+    monkeypatch.setattr(km, "DRIVER_NUMBERS", hint)
     pdf = _blobs()
     pdf.loc[pdf.index % 3 == 0, ["a", "b"]] += 1.7        # several updates until nothing moves
     df = spark.createDataFrame(pdf)
@@ -158,3 +159,44 @@ def test_pca_identities_hold_for_the_rows_it_was_fitted_on(spark):
         r = pca.identities(pca.pca_reconstruct_error(df, list("abc"), fit=fit), list("abc"), fit).first()
         assert r["n"] == 300 and r["eigen_residual"] < 1e-8 and r["error_residual"] < 1e-8
         assert abs(r["total_variance"] - x.var(axis=0, ddof=1).sum()) < 1e-8
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_delta_lloyd_and_table_of_centres_agree(spark, monkeypatch, k):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"year": rng.integers(2000, 2004, 900), "pos": np.arange(900), "a": rng.random(900), "b": rng.random(900) * 3})
+    pdf.loc[pdf.year == 2003, "a"] = 1.0  # a group that settles at once
+    df = spark.createDataFrame(pdf).repartition(3)
+    monkeypatch.setattr(km, "ANEW", 0.05)  # the table is labelled anew more than once
+    got = []
+    for most in (km.DRIVER_NUMBERS, 0):
+        monkeypatch.setattr(km, "DRIVER_NUMBERS", most)
+        lab, res = km.kmeans_by_year(df, ["a", "b"], k=k)
+        got.append(sorted((r.pos, r.cluster_label) for r in lab.collect()))
+        assert k == 1 or res.updates > 4
+    assert got[0] == got[1]
+    for y, g in pdf.groupby("year"):
+        _, lab, pos = _lloyd_np(g[["a", "b"]].to_numpy(), g["pos"].to_numpy(), k)
+        assert {p: x for p, x in got[0] if p in set(pos)} == dict(zip(pos, lab))
+
+
+def test_scoring_leaves_other_columns_alone(spark):
+    params = net.rule_params((2, 3, 2))
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, 1.0, 2.0, ["x"]), (None, None, 2.0, None)], "event_id long, a double, b double, tags array<string>")
+    rows = net.score_arrow(df, params, ["a", "b"]).collect()
+    assert rows[0].event_id == big and rows[0].tags == ["x"] and rows[0].reconstruction_error is not None
+    assert rows[1].event_id is None and rows[1].reconstruction_error is None
+
+
+def test_models_by_key(spark, monkeypatch):
+    rows = [(y, float(i), float(i * (y or 3) % 7)) for y in (1, 2, None) for i in range(5)] + [(3, 4.0, 4.0)]
+    df = spark.createDataFrame(rows, "year int, a double, b double")
+    got = []
+    for most in (sc.MODEL_NUMBERS, 0):
+        monkeypatch.setattr(sc, "MODEL_NUMBERS", most)
+        got.append(sorted(map(str, sc.scale_by_model(df, sc.standard_stats_by(df, "year", ["a", "b"]), "year", ["a", "b"]).collect())))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    pdf = pd.DataFrame(rows, columns=["year", "a", "b"])
+    want = pdf.groupby("year", dropna=False)["a"].transform(lambda v: (v - v.mean()) / (v.std(ddof=0) or 1))
+    assert sorted(round(x, 9) for x in want) == sorted(round(float(s.split("a=")[1].split(",")[0]), 9) for s in got[0])

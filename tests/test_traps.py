@@ -255,3 +255,37 @@ def test_interpolation_over_batches_and_partitions(spark):
     assert got["pos"].tolist() == list(range(n)) and list(got.columns) == ["event_id", "a", "b", "t", "pos"]
     for c in "ab":
         np.testing.assert_allclose(got[c].to_numpy(dtype=float), pdf[c].interpolate(limit_direction="forward").to_numpy(), atol=1e-12)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_interpolate_gaps_longer_than_a_window(spark, parts):
+    import pandas as pd
+    n = 400
+    rnd = np.random.default_rng(8)
+    a, b = rnd.normal(size=n), rnd.normal(size=n)
+    a[17:160], a[161:240], a[390:] = np.nan, np.nan, np.nan
+    b[:90], b[100:102], b[200:] = np.nan, np.nan, np.nan
+    pdf = pd.DataFrame({"event_id": np.arange(n), "a": a, "b": b, "none": np.full(n, np.nan)})
+    df = spark.createDataFrame(pdf).selectExpr("event_id", *(f"nanvl({c}, null) as {c}" for c in ("a", "b", "none")))
+    cols = ["a", "b", "none"]
+    got = od.interpolate_linear(df, cols, order=[F.col("event_id").asc()], partitions=parts, window_rows=8).orderBy("event_id").toPandas()
+    assert got["pos"].tolist() == list(range(n))
+    for c in cols:
+        np.testing.assert_allclose(got[c].to_numpy(dtype=float), pdf[c].interpolate(limit_direction="forward").to_numpy(), atol=1e-12)
+
+
+def test_interpolate_holds_no_more_than_a_window():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for i in range(300):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i * 10_000, (i + 1) * 10_000)), pa.nulls(10_000, pa.float64())], names=[od.MID, "v"])
+    pool = pa.default_memory_pool()
+    most = 0
+    tracemalloc.start()
+    for out in od._neighbours(["v"], 1 << 16)(batches()):
+        most = max(most, pool.bytes_allocated() + tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert most < 60e6 and out.column(out.schema.get_field_index("_gap_v"))[0].as_py() == 0
