@@ -15,10 +15,11 @@ when it holds them exactly as whole words: no letter, mark or digit goes on
 across either end (scripts written without spaces have a word boundary at
 every character). Without it they are not searched.
 
-Plan: map-only over the documents. The item index is broadcast in blocks of
-at most ``INDEX_CHARS`` characters; a larger benchmark is searched block by
-block in consecutive map steps of the same pass, so no task ever holds more
-than one block and nothing is left out.
+Plan: the item index is broadcast in blocks of about ``INDEX_CHARS`` characters
+(about 80 bytes of index a character). With one block the operator is map-only
+over the documents. A larger benchmark gets a pass for every block, so a task
+never holds more than one; only (doc_id, hash of the text) of texts with an item
+come out of these passes and are joined back to the rows.
 
 Defined results: null texts count as empty; items without any text are not
 searched; items with a null item_id contaminate like all others, count
@@ -55,7 +56,8 @@ _NONE = np.uint32(0xFFFFFFFF)  # no code point: outside the document
 _UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3100), (0x31F0, 0x3200), (0x3400, 0xA000),
              (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x32000))
 
-STATE = "doc_id long, text string, items array<long>, edits int"
+TEXT = "_text_hash"
+STATE = f"doc_id long, {TEXT} long, items array<long>, edits int"
 
 
 def normalise(column) -> tuple[np.ndarray, np.ndarray]:
@@ -279,20 +281,30 @@ def _by_id(item_id):
     return item_id is None, item_id or 0
 
 
-def _step(shared):
+def _found(batch, column, ix):
+    """Items and fewest edits of each row of a batch: (sets, least)."""
+    _, off_all = ta.utf8(batch.column(column))
+    found, least = [set() for _ in range(len(batch))], [None] * len(batch)
+    for a, b in ta.slices(off_all):
+        points, off = normalise(batch.column(column).slice(a, b - a))
+        for d, i, e in zip(*(x.tolist() for x in search(points, off, ix))):
+            found[a + d].add(ix.ids[i])
+            least[a + d] = e if least[a + d] is None else min(e, least[a + d])
+    return found, least
+
+
+def _step(shared, hits_only=False):
+    """Adds items and edits to (doc_id, text key, text); only rows with an item
+    if ``hits_only``."""
     def run(batches):
         ix = shared.value
         for batch in batches:
-            _, off_all = ta.utf8(batch.column(1))
-            found, least = [set(x or ()) for x in batch.column(2).to_pylist()], batch.column(3).to_pylist()
-            for a, b in ta.slices(off_all):
-                points, off = normalise(batch.column(1).slice(a, b - a))
-                for d, i, e in zip(*(x.tolist() for x in search(points, off, ix))):
-                    found[a + d].add(ix.ids[i])
-                    least[a + d] = e if least[a + d] is None else min(e, least[a + d])
+            found, least = _found(batch, 2, ix)
+            rows = [i for i, x in enumerate(found) if x or not hits_only]
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([sorted(x, key=_by_id) for x in found], pa.list_(pa.int64())), pa.array(least, pa.int32())],
-                names=["doc_id", "text", "items", "edits"])
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array([sorted(found[i], key=_by_id) for i in rows], pa.list_(pa.int64())),
+                 pa.array([least[i] for i in rows], pa.int32())], names=["doc_id", TEXT, "items", "edits"])
     return run
 
 
@@ -308,15 +320,45 @@ def _blocks(benchmark: DataFrame, short_items: bool):
             yield index
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hash of each text: (doc_id, hash) names a text."""
+    return docs.withColumn(TEXT, F.xxhash64("text"))
+
+
+def _same_text(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a[TEXT] == b[TEXT])
+
+
+def _hits(rows: DataFrame, indexes: list) -> DataFrame:
+    """(doc_id, text hash, items, edits) of the texts that hold an item of any
+    index. Every index has a pass of its own, so a task holds one at a time."""
+    parts = [rows.mapInArrow(_step(x, True), STATE) for x in indexes]
+    each = functools.reduce(DataFrame.union, parts).select("doc_id", TEXT, F.explode("items").alias("item"), "edits")
+    # a set of items, at most those of the benchmark, however often a text is repeated
+    return (each.groupBy("doc_id", TEXT).agg(F.collect_set(F.struct("item")).alias("found"), F.min("edits").alias("edits"))
+            .select("doc_id", TEXT, F.transform("found", lambda x: x.item).alias("items"), "edits"))
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame, short_items: bool) -> list:
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(index) for index in _blocks(benchmark, short_items)]  # about INDEX_CHARS of items each
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids
     (ascending, comma-joined), min_edits (null when clean)."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("items"),
-                      F.lit(None).cast("int").alias("edits"))
-    for index in _blocks(benchmark, short_items):
-        out = out.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast(index)), STATE)
+    indexes = _shared(docs, benchmark, short_items)
+    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", TEXT, "text")
+    if not indexes:
+        out = rows.select("doc_id", F.array().cast("array<long>").alias("items"), F.lit(None).cast("int").alias("edits"))
+    elif len(indexes) == 1:
+        out = rows.mapInArrow(_step(indexes[0]), STATE)
+    else:
+        hits, keys = _hits(rows, indexes), rows.select("doc_id", TEXT)
+        out = keys.join(hits, _same_text(keys, hits), "left").select(keys["doc_id"], F.coalesce("items", F.array()).alias("items"), "edits")
+    ids = F.concat(F.filter("items", lambda x: x.isNull()), F.sort_array(F.filter("items", lambda x: x.isNotNull())))
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"),
-                      F.concat_ws(",", F.col("items").cast("array<string>")).alias("item_ids"),
+                      F.concat_ws(",", ids.cast("array<string>")).alias("item_ids"),
                       F.col("edits").cast("long").alias("min_edits"))
 
 
@@ -324,20 +366,18 @@ def _clean(shared, at):
     def run(batches):
         ix = shared.value
         for batch in batches:
-            column = batch.column(at)
-            _, off_all = ta.utf8(column)
-            clean = np.ones(len(batch), bool)
-            for a, b in ta.slices(off_all):
-                doc, _, _ = search(*normalise(column.slice(a, b - a)), ix)
-                clean[a + doc] = False
-            yield batch.filter(pa.array(clean))
+            yield batch.filter(pa.array([not x for x in _found(batch, at, ix)[0]], pa.bool_()))
     return run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, with all their
     columns."""
-    out = docs
-    for index in _blocks(benchmark, short_items):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
-    return out
+    indexes = _shared(docs, benchmark, short_items)
+    if not indexes:
+        return docs
+    if len(indexes) == 1:
+        return docs.mapInArrow(_clean(indexes[0], docs.columns.index("text")), docs.schema)
+    rows = _keyed(docs)
+    hits = _hits(rows.select(F.col("doc_id").cast("long").alias("doc_id"), TEXT, "text"), indexes)
+    return rows.join(hits, _same_text(rows, hits), "left_anti").select(docs.columns)

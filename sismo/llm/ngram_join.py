@@ -15,16 +15,21 @@ Plan, all tables in the shared scratch folder:
    are verified on the full shingle sets. Larger buckets are not listed:
    nodes that share such buckets are merged into hot groups, dealt into
    blocks of about ``BLOCK`` nodes, and every pair of blocks is one task that
-   multiplies incidence matrices, counts links and emits one row per node.
+   multiplies incidence matrices tile by tile, counts links and emits one row
+   per node; a group of n nodes sends each set n / BLOCK times.
    Nothing is dropped or capped: every pair that shares a band is verified
    on its whole sets, and a hot group's pairs all are, band or not.
 5. components of the verified links; one row per document comes back.
 
+Texts are fetched again by (doc_id, hash of the text), so ids need be neither
+unique nor present.
+
 Defined results: null or blank texts have no shingles, form their own class
-and have no links; a row with null doc_id counts among the copies of its
-text but never names a class (class_id is the smallest id of the class);
-repeated rows are copies of each other; an empty table gives an empty
-result; other columns are ignored.
+and have no links; a row with null doc_id is linked like any other but never
+names a class (class_id is the smallest id of the class, null if it has none);
+repeated rows are copies of each other; rows of one id with different texts are
+different documents; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -46,8 +51,11 @@ THRESHOLD = 0.8
 RECALL = 0.995
 HASHES = 128
 SMALL = 32
-BLOCK = 512
+BLOCK = 4096  # nodes of a hot group whose sets travel together
+TILE = 512    # sets multiplied at once
 SEED = 20231
+TEXT = "_text_hash"
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
@@ -104,7 +112,7 @@ def _signer(n, bands, rows):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
+            ids, text_hash = batch.column(0).cast(pa.int64()), batch.column(2)
             for a, buf, off in _texts(batch.column(1)):
                 node, size, sig = [], [], []
                 for s in shingles(buf, off, n):
@@ -119,16 +127,32 @@ def _signer(n, bands, rows):
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sig])])
                 flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(node)), pa.array(node, pa.int64()), pa.array(size, pa.int32()),
+                    [ids.slice(a, len(node)), text_hash.slice(a, len(node)), pa.array(node, pa.int64()), pa.array(size, pa.int32()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                    names=["doc_id", "node", "n_sh", "bands"])
+                    names=["doc_id", TEXT, "node", "n_sh", "bands"])
     return run
 
 
 def signatures(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, node (hash of the shingle set, null when empty), n_sh, bands."""
-    return docs.select("doc_id", "text").mapInArrow(_signer(n, *bands_for(threshold, recall)),
-                                                    "doc_id long, node long, n_sh int, bands array<long>")
+    """doc_id, hash of the text, node (hash of the shingle set, null when
+    empty), n_sh, bands."""
+    return keyed(docs).select("doc_id", "text", TEXT).mapInArrow(
+        _signer(n, *bands_for(threshold, recall)), f"doc_id long, {TEXT} long, node long, n_sh int, bands array<long>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hash of each text: (doc_id, hash) names a text."""
+    return docs.withColumn(TEXT, F.xxhash64("text"))
+
+
+def same_text(a: DataFrame, b: DataFrame):
+    """Join condition: the same text, id null or not."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a[TEXT] == b[TEXT])
+
+
+def _with_first(frame: DataFrame) -> DataFrame:
+    """``first`` as columns: id and text hash of a node's first row."""
+    return frame.select("*", "first.doc_id", f"first.{TEXT}")
 
 
 def _setter(n):
@@ -178,38 +202,44 @@ def _linked(left, right, threshold):
     return inter >= threshold * (total - inter)
 
 
-def _block_pair(threshold):
-    """One task: links between two blocks of a hot group (or inside one)."""
+def _rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest number of each node's component over the edges a - b."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _block_pair(threshold, tile=TILE):
+    """One task: links between two blocks of a hot group (or inside one),
+    ``tile`` sets against ``tile`` sets at a time."""
     def run(key, t):
         same = key[1].as_py() == key[2].as_py()
-        node = t.column("node").to_numpy()
-        _, pick = np.unique(node, return_index=True)
-        node, side = node[pick], t.column("side").to_numpy()[pick]
-        copies = t.column("copies").to_numpy()[pick]
-        flat, off = t.column("sh").combine_chunks(), None
-        off = flat.offsets.to_numpy()
-        vals = flat.values.to_numpy().view(np.uint64)
-        sets = [vals[off[i]:off[i + 1]] for i in pick]
+        node, pick = np.unique(t.column("node").to_numpy(), return_index=True)
+        side = t.column("side").to_numpy()[pick]
+        copies = t.column("copies").to_numpy()[pick].astype(np.int64)
+        flat = t.column("sh").combine_chunks()
+        off, vals = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
         n = len(node)
-        link = np.zeros((n, n), bool)
-        if same:
-            link = _linked(sets, sets, threshold)
-            np.fill_diagonal(link, False)
-        else:
-            li, ri = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if len(li) and len(ri):
-                m = _linked([sets[i] for i in li], [sets[i] for i in ri], threshold)
-                link[np.ix_(li, ri)] = m
-                link[np.ix_(ri, li)] = m.T
-        n_links = link @ copies.astype(np.int64)
-        low = np.arange(n)
-        while True:
-            near = np.where(link, low[None, :], n).min(axis=1, initial=n)
-            new = np.minimum(low, near)
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
+        left, right = (np.arange(n),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        n_links, edges = np.zeros(n, np.int64), [np.zeros((2, 0), np.int64)]
+        for i in range(0, len(left), tile):
+            for j in range(i if same else 0, len(right), tile):
+                x, y = left[i:i + tile], right[j:j + tile]
+                a, b = np.nonzero(_linked([vals[off[k]:off[k + 1]] for k in pick[x]], [vals[off[k]:off[k + 1]] for k in pick[y]], threshold))
+                a, b = x[a], y[b]
+                once = a < b if same and i == j else np.ones(len(a), bool)
+                a, b = a[once], b[once]
+                np.add.at(n_links, a, copies[b])
+                np.add.at(n_links, b, copies[a])
+                low = _rooted(n, a, b)  # a spanning set of this tile's links is enough
+                edges.append(np.stack([np.flatnonzero(low != np.arange(n)), low[low != np.arange(n)]]))
+        low = _rooted(n, *np.concatenate(edges, axis=1))
         return pa.table({"node": node, "n_links": n_links, "root": node[low] if n else node})
     return run
 
@@ -222,17 +252,18 @@ def _hot_groups(hot: DataFrame, s: Scratch) -> DataFrame:
     return both.select("node", F.col("root").alias("grp"))
 
 
-def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id of the
-    documents reachable over links), n_links (other rows at ``threshold`` or
-    more, copies included), n_shingles."""
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and per node its class: (node, class_id, head,
+    n_links); ``head`` is the first row of the class: by id (null last), then
+    hash of the text."""
     s = Scratch(docs.sparkSession)
     sig = s.keep(signatures(docs, n, threshold, recall), "sig")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", TEXT))
     classes = s.keep(sig.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n_sh").alias("n_sh"),
+        first.alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_sh").alias("n_sh"),
         F.first("bands").alias("bands")), "classes")
-    nodes = classes.where("first_id is not null").select("node", "n_sh", "copies")
-    spread = classes.where("first_id is not null").select("node", "n_sh", F.explode("bands").alias("key"))
+    nodes = classes.select("node", "n_sh", "copies")
+    spread = classes.select("node", "n_sh", F.explode("bands").alias("key"))
     live = s.keep(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "live")
     members = s.keep(spread.join(live, "key"), "members")
     s.drop(live)
@@ -253,8 +284,9 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
     s.drop(members)
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(grp.select("node")).distinct()
-    who = s.keep(wanted.join(classes.select("node", "first_id"), "node"), "wanted")
-    texts = docs.select("doc_id", "text").hint("merge").join(who.select("node", F.col("first_id").alias("doc_id")), "doc_id")
+    who = s.keep(_with_first(wanted.join(classes.select("node", "first"), "node")).select("node", "doc_id", TEXT), "wanted")
+    rows = keyed(docs.select("doc_id", "text")).hint("merge")
+    texts = rows.join(who, same_text(rows, who))
     sets = s.keep(texts.select("node", "text").mapInArrow(_setter(n), "node long, sh array<long>"), "sets")
     s.drop(who)
 
@@ -279,10 +311,18 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
               .union(warm.select("node", "n_links")).groupBy("node").agg(F.sum("n").alias("linked")))
     rooted = s.keep(classes.drop("bands").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
                     .join(degree, "node", "left")
-                    .select("node", "root", "first_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted")
-    heads = s.keep(rooted.groupBy("root").agg(F.min("first_id").alias("class_id")), "heads")
-    named = s.keep(rooted.join(heads, "root").select("node", "class_id", "n_links"), "named")
+                    .select("node", "root", "first", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted")
+    heads = s.keep(rooted.groupBy("root").agg(F.min("first").alias("head")), "heads")
+    named = s.keep(rooted.join(heads, "root").select("node", F.col("head.doc_id").alias("class_id"), "head", "n_links"), "named")
     s.drop(rooted, heads, sets, classes, cold, warm, comp)
+    return sig, named
+
+
+def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest id of the
+    documents reachable over links), n_links (other rows at ``threshold`` or
+    more, copies included), n_shingles."""
+    sig, named = _classes(docs, n, threshold, recall)
     return (sig.select("doc_id", "node", "n_sh").join(named, "node", "left")
             .select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -290,10 +330,13 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
 
 
 def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one document of each class, the one of smallest id, with
-    all its columns. Rows that share an id are one document, of which one row
-    stays; rows without an id stay all."""
-    named = docs.where("doc_id is not null")
-    heads = ngram_join(named, n, threshold, recall).where("doc_id = class_id").select("doc_id").distinct()
-    kept = named.hint("merge").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    """``docs`` with one row of each class, all its columns: the one of the
+    smallest id (rows without an id come last, ties go by a hash of the text).
+    Texts without words are no copies of each other and stay."""
+    heads = _classes(docs, n, threshold, recall)[1].select("head").distinct().select(
+        F.col("head.doc_id").alias("doc_id"), F.col(f"head.{TEXT}").alias(TEXT))
+    rows = keyed(docs)
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = rows.where(worded).hint("merge")
+    kept = kept.join(heads, same_text(kept, heads), "left_semi").dropDuplicates(["doc_id", TEXT])
+    return kept.select(docs.columns).union(docs.where(~worded))

@@ -13,9 +13,15 @@ where patterns fail, such as a number whose other mentions are marked.
 
 Tokens without a digit or @ are clamped to "other", so they enter only as
 fixed neighbours and messages run over the rest. Weights are trained here by
-pseudo-likelihood on at most ``TRAIN_DOCS`` documents of at most
-``TRAIN_CHARS`` characters (sampled by id hash), labelled by the patterns;
-the field itself runs over every whole text. Map-only but for that sample.
+pseudo-likelihood on texts that the patterns label: all rows are searched, and
+of those with a base span of a kind the ``TRAIN_DOCS`` smallest hashes of (id,
+text) train, for each kind, and as many of those with a digit or @ but no span.
+Of a text longer than ``TRAIN_CHARS`` bytes the stretch around its first span of
+the kind trains. The field itself runs over every whole text. Two map passes;
+the driver gets at most ``(kinds + 1) x TRAIN_DOCS`` stretches.
+
+The patterns are searched in time that grows with the text: a run of digits or
+letters is read once, not once from each of its characters.
 
 Defined results: a null text counts as empty (no spans); repeated rows each
 get their own equal row; an empty table, or one without any marked token,
@@ -25,6 +31,7 @@ leaves the field untrained and adds nothing; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from dataclasses import dataclass
 
@@ -33,22 +40,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from . import textarr as ta
-from .sampling import thin
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 400
 TRAIN_CHARS = 20_000
 SURE = 0.6       # belief a token needs
 SKIP_PRIOR = 2.0  # agreement over a skip before any is seen
 ROUNDS = 30
 DAMPING = 0.3
 
-# The patterns of the base spans.
+# The patterns of the base spans, with possessive runs and tried
+# only where such a run begins, since no match can begin elsewhere in it.
+_MAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+MAIL_HERE, MAIL = re.compile(_MAIL), re.compile(r"(?<![A-Za-z0-9._%+-])" + _MAIL)
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 MASKS = {k: f"<{k.upper()}>" for k in KINDS}
@@ -68,20 +77,30 @@ def _holds(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in found.split(".")))
     digits = re.sub("[^0-9]", "", found)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     return 10 <= len(digits) <= 15
 
 
+def mails(text: str):
+    """Matches of the email pattern. After one, a run that it ended in may go
+    on and begin the next."""
+    m = MAIL.search(text)
+    while m:
+        yield m
+        m = MAIL_HERE.match(text, m.end()) or MAIL.search(text, m.end())
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in code points, by start, then kind."""
     out = []
     for k, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
             continue
-        out += [(m.start(), k, m.end()) for m in PATTERNS[kind].finditer(text) if _holds(kind, m.group())]
+        found = mails(text) if kind == "email" else PATTERNS[kind].finditer(text)
+        out += [(m.start(), k, m.end()) for m in found if _holds(kind, m.group())]
     return sorted(out)
 
 
@@ -350,12 +369,61 @@ def examples(texts: list[str]):
     return tokens, labels
 
 
+OTHER = len(KINDS)  # label of texts with active tokens but no base span
+
+
+def _labels(batches):
+    """Per task and label, the smallest hashes of texts that have it."""
+    heaps: list[list[int]] = [[] for _ in range(OTHER + 1)]
+
+    def offer(label, h):
+        heap = heaps[label]
+        if len(heap) < TRAIN_DOCS:
+            heapq.heappush(heap, -h)
+        elif -heap[0] > h:
+            heapq.heapreplace(heap, -h)
+
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        buf_all, off_all = ta.utf8(batch.column(1))
+        strong = _DIGIT[buf_all] | (buf_all == 0x40)
+        for d in np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(strong), off_all))):
+            text = buf_all[off_all[d]:off_all[d + 1]].tobytes().decode()
+            for label in {k for _, k, _ in base_spans(text)} or {OTHER}:
+                offer(label, int(keys[d]))
+    rows = [(y, -h) for y in range(OTHER + 1) for h in set(heaps[y])]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["label", "key"])
+
+
+def _stretches(wanted: dict[int, list[int]]):
+    """(label, key, stretch) of the wanted texts."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                spans = base_spans(text) if len(text) > TRAIN_CHARS else ()
+                for label in wanted.get(key, ()):
+                    at = next((a for a, k, _ in spans if k == label), 0)
+                    cut = text.rfind(" ", 0, max(0, at - TRAIN_CHARS // 2)) + 1  # whole words
+                    rows.append((label, key, text[cut:cut + TRAIN_CHARS]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.int64(), pa.string()))],
+                                             names=["label", "key", "text"])
+    return run
+
+
 def fit(docs: DataFrame) -> Field | None:
-    """The field's weights from a bounded sample (see the module text)."""
-    rows = (thin(docs.select("doc_id", "text"), 20 * TRAIN_DOCS)
-            .where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).collect())
-    return train(*examples([r.text for r in rows]))
+    """The field's weights from a bounded sample (see the module text). A text
+    with spans of several kinds trains once."""
+    s = Scratch(docs.sparkSession)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").where("text is not null")
+    found = s.keep(keyed.where(F.col("text").rlike("[0-9@]")).mapInArrow(_labels, "label int, key long"), "labels")
+    wanted: dict[int, list[int]] = {}
+    for y in range(OTHER + 1):
+        for r in found.where(F.col("label") == y).distinct().orderBy("key").limit(TRAIN_DOCS).collect():
+            wanted.setdefault(r.key, []).append(y)
+    s.drop(found)
+    rows = keyed.where(F.col("key").isin(list(wanted))).mapInArrow(_stretches(wanted), "label int, key long, text string").distinct()
+    return train(*examples(sorted({r.text for r in rows.collect()})))
 
 
 def _find(field):

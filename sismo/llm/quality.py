@@ -1,8 +1,10 @@
 """Quality rules by compression bands (operator 7).
 
-A document is kept when its zstandard ratio (compressed bytes / bytes), over
-the whole text and over fixed chunks, lies inside limits that depend on the
-length: a low ratio means repetition, a high one noise. Word rules come
+A document is kept when its zstandard ratio (compressed bytes / bytes) over
+the whole text lies inside limits that depend on the length, and when at most
+``MAX_BAD`` of its bytes stand in chunks outside the limits of a chunk of their
+length: a low ratio means repetition, a high one noise. Chunks are near-equal
+parts of about ``CHUNK`` bytes that cover the text to its end. Word rules come
 first: fewer than 20 words, or over 30 % of the words inside repeated
 eight-word windows, reject a document whatever its ratios.
 
@@ -24,13 +26,13 @@ from . import textarr as ta
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 WINDOW = 8
-CHUNK = 4096
+CHUNK = 512
 LEVEL = 3
 # Fixed values: (bytes below, lowest ratio, highest ratio); the last row has no upper length.
 BANDS = ((256, 0.40, 1.20), (1024, 0.32, 0.90), (4096, 0.26, 0.80), (16384, 0.22, 0.70), (None, 0.18, 0.65))
-# Limits of one full chunk, and the share of chunks outside them that rejects.
-CHUNK_BAND = (0.20, 0.75)
-MAX_BAD_CHUNKS = 0.5
+# Fixed values: (bytes of a chunk below, lowest ratio, highest ratio), and the share of bytes in chunks outside them that a text may have.
+CHUNK_BANDS = ((448, 0.34, 0.84), (None, 0.30, 0.80))
+MAX_BAD = 0.25
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -90,24 +92,31 @@ def measures(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
             "n_repeat_words": ta.counts(np.cumsum(cover)[:-1] > 0, w.first)}
 
 
-def ratios(data: bytes, zstd) -> tuple[float | None, int, int]:
-    """Whole ratio, number of full chunks, and those outside CHUNK_BAND. The
-    last chunk is taken only when it is full or the whole text."""
+def _limits(bands, size: int) -> tuple[float, float]:
+    return next((lo, hi) for below, lo, hi in bands if below is None or size < below)
+
+
+def ratios(data: bytes, zstd) -> tuple[float | None, int, int, int]:
+    """Whole ratio, number of chunks, those outside the limits of their
+    length, and the bytes in these. A text of one chunk is judged as a whole."""
     if not data:
-        return None, 0, 0
+        return None, 0, 0, 0
     whole = len(zstd.compress(data)) / len(data)
-    n = len(data) // CHUNK
-    if n < 2:
-        return whole, 0, 0
-    parts = (len(zstd.compress(data[i * CHUNK:(i + 1) * CHUNK])) / CHUNK for i in range(n))
-    return whole, n, sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in parts)
+    n = max(1, round(len(data) / CHUNK))
+    bad = bad_bytes = 0
+    edges = [len(data) * i // n for i in range(n + 1)] if n > 1 else []
+    for a, b in zip(edges, edges[1:]):
+        low, high = _limits(CHUNK_BANDS, b - a)
+        if not low <= len(zstd.compress(data[a:b])) / (b - a) <= high:
+            bad, bad_bytes = bad + 1, bad_bytes + b - a
+    return whole, n, bad, bad_bytes
 
 
-def in_bands(size: int, ratio: float | None, n_chunks: int, n_bad: int) -> bool:
+def in_bands(size: int, ratio: float | None, n_chunks: int, n_bad: int, bad_bytes: int) -> bool:
     if ratio is None:
         return False
-    low, high = next((lo, hi) for below, lo, hi in BANDS if below is None or size < below)
-    return low <= ratio <= high and n_bad <= MAX_BAD_CHUNKS * n_chunks
+    low, high = _limits(BANDS, size)
+    return low <= ratio <= high and bad_bytes <= MAX_BAD * size
 
 
 def verdicts(buf, off, m, zstd):

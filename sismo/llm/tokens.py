@@ -5,7 +5,9 @@ between a non-space character and an ASCII white space. So a text's ids are
 the ids of its words (each with the white space before it) joined. The words
 of a slice are made distinct by 64-bit hashes, only new ones go to the
 library, and numpy joins the ids. Texts with other Unicode white space, where
-that rule could fail, go to the library whole.
+that rule could fail, go to the library whole, and so do texts that hold the
+mark of an added token (such as ``<|endoftext|>``): like the library's own
+``encode`` they get that token's id there.
 """
 
 from __future__ import annotations
@@ -44,7 +46,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = True  # words are plain text; whole texts with a mark are not
+        #: marks of added tokens, lower-cased since a normalizer may do so first
+        self.marks = sorted({t.content.lower().encode() for t in self.lib.get_added_tokens_decoder().values()})
         self.lib.model._resize_cache(0)  # words come here once, so the library's own cache only costs
         split, suffix = self.lib.pre_tokenizer, self.lib.model.end_of_word_suffix
         vocab = self.lib.get_vocab(with_added_tokens=False)
@@ -128,6 +132,25 @@ class WordTokenizer:
             at = np.searchsorted(self.known, distinct)
         return self.place[at][which]
 
+    def _marked(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Documents that may hold the mark of an added token."""
+        out = np.zeros(len(off) - 1, bool)
+        low = buf.tobytes().lower()
+        for mark in self.marks:
+            at = low.find(mark)
+            while at >= 0:
+                d = int(np.searchsorted(off, at, side="right")) - 1
+                out[d] = True
+                at = low.find(mark, int(off[d + 1]))
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        self.lib.encode_special_tokens = False
+        try:
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+        finally:
+            self.lib.encode_special_tokens = True
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets of each document's ids)."""
         n_docs = len(off) - 1
@@ -135,6 +158,7 @@ class WordTokenizer:
         if len(at := _odd_bytes(buf)):
             for d in np.unique(np.searchsorted(off, at, side="right") - 1):
                 odd[d] = bool(ODD_SPACE.search(buf[off[d]:off[d + 1]].tobytes().decode()))
+        odd |= self._marked(buf, off)
         if len(self.known) > CACHED_WORDS:
             self._forget()
         space = ta.IS_SPACE[buf]
@@ -154,8 +178,7 @@ class WordTokenizer:
             parts, at = [], 0
             for d in np.flatnonzero(odd):
                 parts.append(flat[first[at]:first[d]])
-                text = buf[off[d]:off[d + 1]].tobytes().decode()
-                parts.append(np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32))
+                parts.append(self._whole(buf[off[d]:off[d + 1]].tobytes().decode()))
                 at = d + 1
             parts.append(flat[first[at]:])
             count = np.diff(first)

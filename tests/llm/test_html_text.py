@@ -130,3 +130,93 @@ def test_no_content_by_name(name):
         assert ht.main_text(page) == "Title\n" + (P * 3).strip()
     page = f"<body><div><p>{P * 3}</p><p>{P * 3}</p></div><section class='comments'>{teasers * 3}</section></body>"
     assert ht.main_text(page) == (P * 3).strip() + "\n" + (P * 3).strip()
+
+
+FIFTEEN = ["comments-section", "comment-body", "comment-wrapper", "comments-container", "sidebar-left", "ad-container", "ad-slot", "cookie-bar",
+           "newsletter-section", "related-articles", "share-buttons", "social-icons", "nav-main", "footer-bottom", "menu-item"]
+WRAPPERS = ["with-sidebar", "has-comments", "no-ads", "page-without-menu", "comments-disabled", "ad-free-page"]
+
+
+@pytest.mark.parametrize("name", FIFTEEN)
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_words_anywhere_in_a_name(name, attribute):
+    paragraphs = "".join(f"<p>{i} {P * 2}</p>" for i in range(4))
+    want = "\n".join(["Title", *(f"{i} {P * 2}".strip() for i in range(4))])
+    block = f"<div {attribute}='{name}'><p>{P}</p><p>Short one</p></div>"
+    for kind in ("article", "div"):
+        assert ht.main_text(f"<body><{kind}><h1>Title</h1>{paragraphs}{block}</{kind}></body>") == want
+        assert ht.main_text(f"<body><{kind}><h1>Title</h1>{paragraphs}</{kind}>{block}</body>") == want
+        # a wrapper of all there is, whatever its name
+        if name not in ("comments-section", "comment-body", "comment-wrapper", "comments-container"):
+            assert ht.main_text(f"<body><div {attribute}='{name}'><{kind}><h1>Title</h1>{paragraphs}</{kind}></div></body>") == want
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_names_that_say_nothing(name):
+    paragraphs = "".join(f"<p>{i} {P * 2}</p>" for i in range(4))
+    want = "\n".join(["Title", *(f"{i} {P * 2}".strip() for i in range(4))])
+    for kind in ("article", "div"):
+        assert ht.main_text(f"<body><div class='{name}'><{kind}><h1>Title</h1>{paragraphs}</{kind}></div></body>") == want
+        assert ht.main_text(f"<body><{kind}><div class='{name}'><h1>Title</h1>{paragraphs[:len(paragraphs) // 2]}</div>{paragraphs[len(paragraphs) // 2:]}</{kind}></body>").startswith("Title\n0 ")
+
+
+def test_long_threads_beside_a_short_article():
+    thread = "".join(f"<div class='comment-body'><p>{i} {P * 3}</p></div>" for i in range(9))
+    page = f"<body><article><h1>Title</h1><p>{P}</p><p>{P}</p></article><section class='comments-section'>{thread}</section></body>"
+    assert ht.main_text(page) == "\n".join(["Title", P.strip(), P.strip()])
+    assert ht.main_text(page.replace("article", "div")) == "\n".join(["Title", P.strip(), P.strip()])
+
+
+def test_unnamed_link_lists_inside_the_article():
+    links = "".join(f"<li><a href=/{i}>Story number {i}</a></li>" for i in range(6))
+    page = f"<article><h1>Title</h1><p>{P * 3}</p><div><h3>More</h3><ul>{links}</ul></div><p>{P * 3}</p><p><a href=/x>Source</a></p></article>"
+    assert ht.main_text(page) == "\n".join(["Title", (P * 3).strip(), (P * 3).strip(), "Source"])
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "<p><b>", "<div class=ad>x", "<b><hr>", "<table><tr><td>", "<a>x", "<li>", "</b><b><div>", "<article>", "<span class=ads>", "<!--", "<x "])
+def test_deep_pages_take_linear_time(unit):
+    import time
+    page = "<body><article><p>" + P + "</p>" + unit * (200_000 // len(unit))
+    t0 = time.time()
+    out = ht.main_text(page + "<p>" + P + "</p></b></div>" * 1000)
+    assert time.time() - t0 < 4 and P.strip() in out or unit in ("<!--", "<x ")
+
+
+def plain_tree(page):
+    """Text by a slow walk over all paths: unmarked pages without article."""
+    lines = ht.read_lines(page)
+
+    def path(n):
+        return [] if n < 0 else [*path(lines.parents[n]), n]
+    size = np.array([len(x.text) for x in lines.lines], float)
+    own = size / np.array([max(1, x.tags) for x in lines.lines])
+    ratio = ht.smoothed(own)
+    links = np.array([x.linked for x in lines.lines])
+    some = (ratio >= ht.threshold(ratio)) & (links <= 0.5 * size)
+    if not some.any():
+        some = ratio >= ht.threshold(ratio)
+    some |= (own >= ht.threshold(ratio)) & (links <= 0.5 * size)
+    paths = [path(x.block) for x in lines.lines]
+    common = paths[int(np.flatnonzero(some)[0])]
+    for i in np.flatnonzero(some):
+        common = [a for a, b in zip(common, paths[i]) if a == b]
+    while common and lines.kinds[common[-1]] in ht.NO_CONTAINER:
+        common.pop()
+    return "\n".join(x.text for x, p in zip(lines.lines, paths) if not common or common[-1] in p)
+
+
+def test_random_pages_without_article_by_brute_force():
+    import random
+    rnd = random.Random(12)
+
+    def block(depth):
+        kind = rnd.choice(["div", "section", "p", "p", "ul"] if depth else ["div", "section"])
+        if kind == "p" or depth > 3:
+            return f"<p>{rnd.choice(['x', P, P * 2, 'Some <b>bold</b> words'])}</p>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>item {i} {rnd.choice(['', P])}</li>" for i in range(rnd.randrange(1, 4))) + "</ul>"
+        return f"<{kind}>" + "".join(block(depth + 1) for _ in range(rnd.randrange(1, 5))) + f"</{kind}>"
+    for _ in range(150):
+        page = "<div>" + "".join(block(0) for _ in range(rnd.randrange(1, 4))) + "</div>"
+        if page.count("<p>") + page.count("<li>"):
+            assert ht.main_text(page) == plain_tree(page)

@@ -64,7 +64,6 @@ def test_round_trip_and_independent_blocks(n):
 
 def plain(rows, end=2):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, at = [], 0
     for d, x in rows:
         i = t.encode(x or "", add_special_tokens=False).ids + [end]

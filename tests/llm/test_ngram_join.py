@@ -72,6 +72,38 @@ def test_edges_of_the_input(make, spark):
     assert got(nj.ngram_join(clash)) == [(0, 0, 1), (1, 0, 1)]
 
 
+def _nulls_last(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *map(str, r)))
+
+
+def test_rows_without_or_with_equal_ids(make):
+    base = " ".join(f"w{i}" for i in range(200))
+    near, other = base + " more", " ".join(f"x{i}" for i in range(40))
+    texts = [base, near, base, other, other + " y z", other, "", None, "lone text of six words here"]
+    ids = [1, None, None, 1, 2, 1, 1, None, None]
+    rows = _nulls_last((r.doc_id, r.class_id, r.n_links) for r in nj.ngram_join(make(texts, ids)).collect())
+    assert rows == _nulls_last([(1, 1, 2), (None, 1, 2), (None, 1, 2), (1, 1, 2), (2, 1, 2), (1, 1, 2), (1, 1, 0), (None, None, 0), (None, None, 0)])
+    kept = _nulls_last((r.doc_id, r.text) for r in nj.keep_one(make(texts, ids)).collect())
+    assert kept == _nulls_last([(1, base), (1, other), (1, ""), (None, None), (None, texts[8])])
+
+
+def test_one_row_of_each_class_stays_by_brute_force(make, family):
+    rnd = random.Random(9)
+    ids = [rnd.choice([None, rnd.randrange(30), 1000 + i]) for i in range(len(family))]
+    s = [shingles(t) for t in family]
+    cls = [c for _, c, _ in sorted(brute(family, list(range(len(family)))))]
+    left = [(i, t) for i, t, x in zip(ids, family, s) if not x]
+    for c in sorted({c for c, x in zip(cls, s) if x}):
+        members = [(ids[j], family[j]) for j in range(len(family)) if cls[j] == c and s[j]]
+        low = min((i for i, _ in members if i is not None), default=None)
+        left.append((low, {t for i, t in members if i == low}))
+    got_rows = [(r.doc_id, r.text) for r in nj.keep_one(make(family, ids)).collect()]
+    assert len(got_rows) == len(left)
+    for i, t in left:
+        hit = next(r for r in got_rows if r[0] == i and (r[1] in t if isinstance(t, set) else r[1] == t))
+        got_rows.remove(hit)
+
+
 def test_bands_reach_the_recall():
     for t, r in ((0.8, 0.995), (0.5, 0.9), (0.9, 0.99)):
         bands, rows = nj.bands_for(t, r)

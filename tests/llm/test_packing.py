@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def plain(texts, ids, capacity=4096, path=PATH, end=1):
     """Pieces by the library alone."""
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     out = []
     for d, x in zip(ids, texts):
         i = t.encode(x or "", add_special_tokens=False).ids + [end]
@@ -49,7 +48,7 @@ def test_sample(make, sample):
 def test_edges(make):
     assert packing.pack_documents(make([]), PATH).collect() == []
     long = " ".join(f"word{i}" for i in range(9000))
-    texts = ["", None, "a b", "a b", long, "x  y", "  "]
+    texts = ["", None, "a b", "a b", long, "x  y", "  ", "one <|endoftext|> two", "A<|ENDOFTEXT|>b <|startoftext|>", "< |endoftext|>"]
     rows = packing.pack_documents(make(texts).selectExpr("*", "1 as fill", "2 as members", "3 as start"), PATH).collect()
     check(rows, plain(texts, range(len(texts))))
     rows = packing.pack_documents(make(["a", "a", None], [5, 5, None]), PATH).collect()

@@ -110,3 +110,38 @@ def test_masks():
     assert pii.masked("é a@b.c x 1.2.3.4", [(2, 0, 7), (10, 1, 17)]) == "é <EMAIL> x <IP>"
     assert pii.masked("0123456789", [(1, 3, 5), (1, 2, 4), (3, 1, 7)]) == "0<PHONE>789"
     assert pii.masked("abc", []) == "abc"
+
+
+def test_patterns_on_random_texts():
+    import random
+    rnd = random.Random(21)
+    for _ in range(4000):
+        t = "".join(rnd.choices(["a", "b.c", "@", "@", ".", "-", "_", "1", "23", "4", " ", "+", "(", ")", "é", "1.2.3.4", "00300", "a@b.c"], k=rnd.randrange(0, 30)))
+        assert [(k, a, z) for a, k, z in pii.base_spans(t)] == [(pii.KINDS.index(k), a, z) for k, a, z in brute_base(t)], t
+
+
+def test_patterns_take_linear_time():
+    import time
+    n = 1_000_000
+    t0 = time.time()
+    for t in ("7" * n, "0" * n + ".1.1.1", "a" * n + " x@y", "a@" * (n // 2), "@" + "a.b" * (n // 3), "+1" * (n // 2), "+1" + "." * n, "1." * (n // 2),
+              "a" * n + "@b", "1 " * (n // 2), "_a@b.c" * (n // 6)):
+        pii.base_spans(t)
+    assert time.time() - t0 < 12
+
+
+def test_rare_kinds_train_wherever_they_stand(make):
+    import random
+    rnd = random.Random(2)
+    plain = [f"note {i} of {rnd.randrange(10 ** 6)} and more" for i in range(3000)]
+    long = "word " * 9000 + "mail ann@host.example.com now" + " word" * 9000
+    docs = make(plain + [long] + ["ring +1 (212) 555-0199 soon"] * 3).repartition(5)
+    seen = []
+    old = pii.train
+    pii.train = lambda tokens, labels: seen.append(labels)
+    try:
+        pii.fit(docs)
+    finally:
+        pii.train = old
+    kinds = np.bincount(np.concatenate(seen[0]) + 1, minlength=6)
+    assert kinds[2] == 1 and kinds[5] >= 1 and sum(len(x) for x in seen[0]) < 3 * pii.TRAIN_DOCS * 2

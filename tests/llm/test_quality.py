@@ -21,12 +21,12 @@ def brute(t):
     failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
     data, z = t.encode(), zstandard.ZstdCompressor(level=q.LEVEL)
     ratio = len(z.compress(data)) / len(data) if data else None
-    chunks = [len(z.compress(data[i:i + 4096])) / 4096 for i in range(0, len(data) - 4095, 4096)]
-    chunks = chunks if len(chunks) > 1 else []
-    bad = sum(not 0.20 <= c <= 0.75 for c in chunks)
+    n = max(1, round(len(data) / 512)) if data else 0
+    parts = [data[len(data) * i // n:len(data) * (i + 1) // n] for i in range(n)] if n > 1 else []
+    bad = [x for x in parts if not (0.34, 0.30)[len(x) >= 448] <= len(z.compress(x)) / len(x) <= (0.84, 0.80)[len(x) >= 448]]
     limits = next((lo, hi) for below, lo, hi in q.BANDS if below is None or len(data) < below)
-    good = ratio is not None and limits[0] <= ratio <= limits[1] and 2 * bad <= len(chunks)
-    return (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(cover), failed, not failed and good, ratio, len(chunks), bad)
+    good = ratio is not None and limits[0] <= ratio <= limits[1] and 4 * sum(map(len, bad)) <= len(data)
+    return (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(cover), failed, not failed and good, ratio, n, len(bad))
 
 
 def cases():
@@ -52,6 +52,24 @@ def test_bands_reject_repetition_and_noise(make):
     assert not rows[14].base_failed and not rows[14].kept  # incompressible words pass the word rules only
 
 
+def test_noise_in_any_part_of_a_text_rejects_it(make):
+    rnd = random.Random(7)
+    vocab = ["".join(rnd.choices("etaoinshrdlu", k=rnd.randrange(2, 9))) for _ in range(800)]
+
+    def prose(n):
+        out = ""
+        while len(out) < n:
+            out += rnd.choice(vocab) + " "
+        return out[:n]
+
+    def noise(n):
+        return "".join(chr(rnd.randrange(33, 118)) + " " * (i % 9 == 8) for i in range(n))[:n]
+    texts = [prose(3000) + noise(3000), prose(4096) + noise(4096), prose(8192) + noise(3900), noise(500) + prose(900), prose(700) + noise(500),
+             prose(2000) + "a b " * 300, prose(3000), prose(12000), prose(1000), prose(6000) + noise(300)]
+    rows = {r.doc_id: r for r in q.quality_rules(make(texts)).collect()}
+    assert [rows[i].kept for i in range(10)] == [False] * 6 + [True] * 4
+
+
 def test_filter_keeps_columns(make):
     texts = cases()
     df = make(texts).selectExpr("*", "1 as ratio", "2 as kept")
