@@ -232,7 +232,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, mos
     used = np.flatnonzero(length)
     codes = spark.createDataFrame([(int(i), int(length[i])) for i in used], "id long, length int")
     codes.coalesce(1).write.mode("overwrite").parquet(f"{folder}/codes")
-    placed = (raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    order = ("doc_id", "n_tokens", "ids_hash")  # rows of one id, or of none, are split as well
+    placed = (raw.withColumn("ids_hash", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
               .select(F.spark_partition_id().alias("shard"), "doc_id", "kind", "ids"))
     placed.mapInArrow(_segments(length, SEGMENT, BLOCK), SEGMENTS).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/segments")
     s.drop(raw)

@@ -102,3 +102,18 @@ def test_files_are_in_order(spark, make, tmp_path):
         for b in pq.read_table(f).column("doc_ids").to_pylist():
             seen += np.frombuffer(b, "<i8").tolist()
     assert seen == list(range(300))
+
+
+def test_many_rows_of_one_id(make):
+    texts = [f"text {i % 50} " * (i % 7) for i in range(600)]
+    ids = [4 if i % 3 else None for i in range(600)]
+    rows = h.token_id_files(make(texts + ["first", "last"], ids + [3, 5]).repartition(5), PATH).collect()
+    rows.sort(key=lambda r: r.start)
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in rows] == [None] * 200 + [3] + [4] * 400 + [5]
+    t = Tokenizer.from_file(PATH)
+    want = [zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes()) for x in texts]
+    assert sorted(r.ids_crc32 for r in rows if r.doc_id == 4) == sorted(w for w, i in zip(want, ids) if i == 4)
