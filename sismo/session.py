@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,6 +86,17 @@ def release_scratch(spark: SparkSession) -> None:
     drop_scratch(spark, *list(_WRITTEN))
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes, at the end, the intermediate tables written inside: for a
+    caller that has written or collected its results by then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        drop_scratch(spark, *[p for p in _WRITTEN if p not in before])
+
+
 def cut_lineage(df, name: str = "table"):
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder
     and read it back (never ``localCheckpoint``): one write job, survives

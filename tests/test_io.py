@@ -176,3 +176,13 @@ def test_partitioned_export_prunes_by_year(spark):
     assert back.count() == 2
     assert "PartitionFilters: [isnotnull(year" in back._jdf.queryExecution().executedPlan().toString() \
         or "PartitionFilters" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scratch_scope_deletes_what_was_written_inside(spark):
+    from sismo.session import cut_lineage, scratch_scope
+    kept = cut_lineage(spark.range(3))
+    with scratch_scope(spark):
+        gone = cut_lineage(spark.range(4))
+        path = gone.inputFiles()[0].replace("file://", "")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
