@@ -179,9 +179,8 @@ def predict(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     return p.argmax(axis=1), p.max(axis=1)
 
 
-def _labels(shared):
+def _labels(model):
     def run(batches):
-        model = shared.value
         for batch in batches:
             buf_all, off_all = lowered(batch.column(1))
             n = len(batch)
@@ -229,6 +228,5 @@ def identify_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     if model is None:
         out = docs.select(F.col("doc_id").cast("long"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(model)  # a table row a subword bucket, a column a language
-        out = docs.select("doc_id", "text").mapInArrow(_labels(shared), SCHEMA)
+        out = docs.select("doc_id", "text").mapInArrow(_labels(model), SCHEMA)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
