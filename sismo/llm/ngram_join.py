@@ -14,9 +14,9 @@ Plan, all tables in the shared scratch folder:
 4. buckets of at most ``SMALL`` nodes list their pairs in the row; the pairs
    are verified on the full shingle sets. Larger buckets are not listed:
    nodes that share such buckets are merged into hot groups, dealt into
-   blocks of about ``BLOCK`` nodes, and every pair of blocks is one task that
-   multiplies incidence matrices tile by tile, counts links and emits one row
-   per node; a group of n nodes sends each set n / BLOCK times.
+   blocks of ``TILE`` to ``BLOCK`` nodes, and every pair of blocks is one task
+   that multiplies incidence matrices tile by tile, counts links and emits one
+   row per node; a group of n nodes sends each set 8 or n / BLOCK times.
    Nothing is dropped or capped: every pair that shares a band is verified
    on its whole sets, and a hot group's pairs all are, band or not.
 5. components of the verified links; one row per document comes back.
@@ -51,7 +51,7 @@ THRESHOLD = 0.8
 RECALL = 0.995
 HASHES = 128
 SMALL = 32
-BLOCK = 4096  # nodes of a hot group whose sets travel together
+BLOCK = 4096  # most nodes of a hot group whose sets travel together
 TILE = 512    # sets multiplied at once
 SEED = 20231
 TEXT = "_text_hash"
@@ -297,7 +297,8 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
                   .select("a", "b").distinct(), "links")
     s.drop(pairs)
 
-    blocks = grp.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    size = F.count(F.lit(1))  # a group is dealt into eight blocks or more, none under a tile nor over BLOCK
+    blocks = grp.groupBy("grp").agg(F.ceil(size / F.least(F.lit(BLOCK), F.greatest(F.lit(TILE), size / 8))).cast("int").alias("nb"))
     dealt = (grp.join(blocks, "grp").join(nodes.select("node", "copies"), "node")
              .withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).join(sets, "node")
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
