@@ -19,11 +19,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FILE, START, PLACE, OFFSET = "_file", "_start", "_place", "_offset"
+BROADCAST_ROWS = 100_000
 
 
 def _offsets(counts: DataFrame) -> DataFrame:
@@ -36,19 +37,22 @@ def _counted(scan: DataFrame, start: str) -> DataFrame:
     return scan.select(F.col("_metadata.file_path").alias(FILE), F.expr(start).alias(START)).groupBy(FILE, START).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _kept(spark: SparkSession, counts: DataFrame) -> tuple[DataFrame, int]:
+def _kept(counts: DataFrame) -> tuple[DataFrame, int]:
+    """The offsets as a table, broadcast while it has at most ``BROADCAST_ROWS``
+    rows, and the number of rows counted."""
     from ..session import cut_lineage
-    offs = cut_lineage(_offsets(counts), "offsets")
-    last = counts.agg(F.sum("n")).first()[0]
-    return offs, int(last or 0)
+    counted = cut_lineage(counts, "counts")
+    files, rows = counted.agg(F.count(F.lit(1)), F.sum("n")).first()
+    offs = cut_lineage(_offsets(counted), "offsets")
+    return (F.broadcast(offs) if files <= BROADCAST_ROWS else offs), int(rows or 0)
 
 
 def parquet_positions(scan: DataFrame, pos: str = "pos") -> tuple[DataFrame, int]:
     """A plain Parquet scan with each row's 0-based position in stored order,
     and the number of rows. Runs the count pass when called."""
-    offs, n = _kept(scan.sparkSession, _counted(scan, "0L"))
+    offs, n = _kept(_counted(scan, "0L"))
     placed = scan.select(*scan.columns, F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
-    out = placed.join(F.broadcast(offs.drop(START)), FILE)  # a row per file
+    out = placed.join(offs.drop(START), FILE)  # a row per file
     return out.withColumn(pos, F.col(OFFSET) + F.col(PLACE)).select(*scan.columns, pos), n
 
 
@@ -79,12 +83,12 @@ def text_positions(scans: Sequence[DataFrame], pos: str = "pos") -> list[DataFra
     for s in scans:
         c = _counted(s, "_metadata.file_block_start")
         counts = c if counts is None else counts.union(c)
-    offs, _ = _kept(scans[0].sparkSession, counts)
+    offs, _ = _kept(counts)
     out = []
     for s in scans:
         marked = s.select(*s.columns, F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(START))
         placed = marked.mapInArrow(_places, T.StructType([*marked.schema.fields, T.StructField(PLACE, T.LongType())]))
-        known = placed.join(F.broadcast(offs), [FILE, START], "left")  # a row per split
+        known = placed.join(offs, [FILE, START], "left")  # a row per split
         off = F.when(F.col(OFFSET).isNull(), F.raise_error(F.lit("files are split otherwise than they were counted")).cast("long")).otherwise(F.col(OFFSET))
         out.append(known.withColumn(pos, off + F.col(PLACE)).select(*s.columns, pos))
     return out
