@@ -97,6 +97,35 @@ def test_exact_silhouette_blockwise(spark, block_rows):
         assert abs(r["silhouette"] - want) < 1e-9
 
 
+@pytest.mark.parametrize("rows", [10_000, 340_000, 2_000_000])
+def test_rows_are_sent_to_a_bounded_number_of_tiles(spark, rows):
+    """Larger groups get larger blocks, not more of them."""
+    sizes = spark.createDataFrame([(y, rows) for y in range(2008, 2026)] + [(1900, 3)], "year int, n long")
+    nb = {r["year"]: r["nb"] for r in sil._blocks(sizes, "year", 2048).collect()}
+    assert nb[1900] == 1 and max(nb.values()) <= 8
+    hot = sil._blocks(spark.createDataFrame([(2010, rows)], "year int, n long"), "year", 2048).first()["nb"]
+    assert (5 if rows == 10_000 else 20) <= hot <= 2 * (sil.TILES / 2) ** 0.5 + 1
+
+
+def test_tiles_keep_the_digits_of_near_rows(spark):
+    """Rows a millionth apart far from the origin, coincident rows, and more
+    rows than one square; each pair of blocks is measured once."""
+    rng = np.random.default_rng(8)
+    n = 700
+    x = 1e6 + rng.normal(size=(n, 2)) * np.where(np.arange(n) % 3, 1e-3, 50.0)[:, None]
+    x[::7] = x[0]
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(year=2010, pos=np.arange(n), cluster_label=(np.arange(n) % 5 // 2))
+    for block_rows in (300, 2048):
+        got = sil.mean_distance_to_labels(spark.createDataFrame(pdf), ["a", "b"], block_rows=block_rows).toPandas()
+        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        lab = pdf["cluster_label"].to_numpy()
+        assert len(got) == n * 3 and (got["own"] == lab[got["pos"]]).all()
+        for k in range(3):
+            g = got[got["label"] == k].sort_values("pos")
+            assert (g["cnt"] == (lab == k).sum()).all()
+            np.testing.assert_allclose(g["sum_d"], dist[:, lab == k].sum(axis=1), rtol=1e-9)
+
+
 def test_fast_silhouette_is_squared_variant(spark):
     pdf = _blobs(n_per=20)
     pdf["cluster_label"] = (pdf["a"] > 2).astype(int)
