@@ -240,3 +240,18 @@ def test_models_by_key(spark, monkeypatch):
     pdf = pd.DataFrame(rows, columns=["year", "a", "b"])
     want = pdf.groupby("year", dropna=False)["a"].transform(lambda v: (v - v.mean()) / (v.std(ddof=0) or 1))
     assert sorted(round(x, 9) for x in want) == sorted(round(float(s.split("a=")[1].split(",")[0]), 9) for s in got[0])
+
+
+def test_one_fit_serves_every_number_of_components(spark, monkeypatch):
+    from sismo.operators import pca
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(60, 3)) * [1, 2, 3] + 1, columns=list("abc")))
+    apart = [pca.fit_pca(df, list("abc"), k, centred=False) for k in (1, 2, 3)]
+    fits, fit = [], pca.PCA.fit
+    monkeypatch.setattr(pca.PCA, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    together = pca.fit_pcas(df, list("abc"), (1, 2, 3), centred=False)
+    assert len(fits) == 1
+    for x, y in zip(apart, together):
+        assert x.k == y.k
+        np.testing.assert_allclose(x.components, y.components, atol=1e-12)
+        np.testing.assert_allclose([*x.shares, *x.mean], [*y.shares, *y.mean], atol=1e-12)
