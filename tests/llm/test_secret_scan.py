@@ -83,6 +83,53 @@ def test_held_out_findings_reach_the_recall(make):
     assert (1 - none[:, ss.NONE] >= np.array(net.least)[none[:, :3].argmax(axis=1)]).mean() <= 0.05
 
 
+def test_every_window_is_learned_from(make):
+    rnd = random.Random(8)
+    texts = ["x " + "".join(rnd.choices("0123456789abcdef", k=40)) + f" and order {10**9 + i} " + f"code{i:05}Z " * (i % 3) for i in range(1500)]
+    rows = [r for b in ss._labelled(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for r in b.to_pylist()]
+    assert [sum(r["label"] == k for r in rows) for k in range(4)] == [0, 0, 1500, 3000]
+    for r in rows[:50]:
+        assert r["versions"] == len(ss._versions([(r["before"], r["value"], r["after"])], [r["label"]], np.random.default_rng(0)))
+
+
+def test_shards_find_what_one_task_finds(make, monkeypatch):
+    rnd = random.Random(6)
+    texts = corpus()
+    upper = ["la clé: " + "".join(rnd.choices("0123456789ABCDEF", k=40)) + " fin" for _ in range(20)]
+    docs = make(texts + upper)
+    monkeypatch.setattr(ss, "SHARD", 100)
+    net = ss.fit(docs)
+    assert net.least[0] < 2 and net.least[1] < 2 and net.least[2] < 2
+    rows = ss.find_secrets(docs, net).orderBy("doc_id").collect()
+    assert sum(r.n_added == 1 and r.spans == "hex:8:48" for r in rows[len(texts):]) >= 18
+    assert sum(r.n_added for r in rows[:len(texts)]) <= 4
+
+
+def test_long_values_train_whole(monkeypatch):
+    rnd = random.Random(9)
+    long = "".join(rnd.choices("0123456789abcdef", k=3000))
+    rows = [r for b in ss._labelled(iter([pa.RecordBatch.from_arrays([pa.array([f"x {long} y"])], names=["text"])])) for r in b.to_pylist()]
+    assert [(r["label"], r["value"].decode(), r["after"]) for r in rows] == [(2, long, b" y")]
+    net = ss.fresh(np.random.default_rng(3))
+    rows, y = [(b"key: ", long.encode(), b" x"), (b"", b"0123456789abcdef", b"")], np.array([2, 3])
+    got = []
+    for block in (1 << 20, 700):
+        monkeypatch.setattr(ss, "BLOCK", block)
+        logit, cache = ss._forward(net, rows)
+        got.append([logit, *ss._gradients(net, cache, (ss._softmax(logit) - np.eye(4)[y]).astype(np.float32))])
+    for a, b in zip(*got):
+        assert np.allclose(a, b, atol=1e-4, rtol=1e-3)
+
+
+def test_ranks_over_tasks_are_exact(spark):
+    rng = np.random.default_rng(4)
+    p = np.concatenate([1 - rng.random(500) ** 8, [0, 0, 1, 1]]).astype(np.float32)
+    rows = [(i % 2, int(b)) for i, b in enumerate(p.view(np.int32))]
+    df = spark.createDataFrame(rows, "label int, bits int")
+    for r in (0, 1, 12, 251):
+        assert ss._ranked(df, {0: r, 1: r}) == {k: float(np.sort(p[k::2])[r]) for k in (0, 1)}
+
+
 def test_whole_candidates_in_blocks_as_at_once(monkeypatch):
     net = ss.fresh(np.random.default_rng(1))
     rnd = random.Random(2)
